@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from marketpanel.plans import prices  # noqa: F401
+from marketpanel.plans import ingest, prices, scope  # noqa: F401
 from marketpanel.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -1,6 +1,6 @@
 """Common table expressions of the SQL oracles, written apart from the Spark jobs."""
 
-from marketpanel.sources.tables import SEASON_MONTHS
+from marketpanel.sources.tables import ITEMS, SEASON_MONTHS
 
 OBS = """obs AS (
   SELECT l_orderkey AS batch_no, l_linenumber AS page_no, l_partkey AS row_a, l_suppkey AS row_b,
@@ -148,3 +148,23 @@ feed AS (
       CAST(market_code AS VARCHAR), crop_code, 'wholesale_market_daily_transaction',
       CAST(price_c // 50000 AS VARCHAR))) AS row_hash
   FROM obs)"""
+
+
+def _list(values) -> str:
+    inner = ", ".join(f"'{v}'" for v in values)
+    return f"CAST([{inner}] AS VARCHAR[])"
+
+
+ITEM_DIM = "items(canonical_id, display_name, category, enabled, codes, season_names, aliases, traces) AS (VALUES " + ", ".join(
+    f"('{i}', '{name}', '{category}', {str(on).lower()}, {_list(codes)}, {_list(seasons)}, {_list(aliases)}, {_list(traces)})"
+    for i, name, category, on, codes, seasons, aliases, traces in ITEMS
+) + ")"
+
+NUMBER = r"'^\s*[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$'"
+
+
+def number(x: str) -> str:
+    return (
+        f"(CASE WHEN regexp_matches({x}, {NUMBER}) AND TRY_CAST(trim({x}) AS DOUBLE) >= 0 "
+        f"AND NOT isinf(TRY_CAST(trim({x}) AS DOUBLE)) THEN TRY_CAST(trim({x}) AS DOUBLE) END)"
+    )

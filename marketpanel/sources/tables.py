@@ -19,6 +19,22 @@ SEASON_MONTHS = {
     "STANDARD": (3, 4, 5, 9, 10, 11),
 }
 
+# Fixed values of the test binding: the item dimension
+# (id, display name, category, enabled, crop codes, season names, aliases, registry names).
+ITEMS = (
+    ("ring", "MACHINERY", "fruit", True, tuple(f"Brand#{i}" for i in range(1, 9)) + ("E1", "E2", "E3"),
+     ("small ring", "red ring"), ("HOUSEHOLD",), ("click",)),
+    ("bolt", "FURNITURE", "vegetable", True, tuple(f"Brand#{i}" for i in range(9, 16)) + ("E4", "E5"),
+     ("blue bolt", "small bolt"), (), ("view", "purchase")),
+    ("gear", "BUILDING", "vegetable", False, tuple(f"Brand#{i}" for i in range(16, 19)) + ("E9",),
+     ("red gear",), (), ()),
+)
+
+
+def _array(values) -> str:
+    inner = ", ".join(f"'{v}'" for v in values)
+    return f"array({inner})" if values else "CAST(array() AS array<string>)"
+
 
 class Tables:
     """Lazy readers of one data directory."""
@@ -30,9 +46,6 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
-    def sql_values(self, text: str) -> DataFrame:
-        return self.spark.sql(text)
-
     @cached_property
     def observations(self) -> DataFrame:
         return observations(self.read("lineitem"), self.read("part"), self.read("supplier"))
@@ -41,6 +54,22 @@ class Tables:
     def feed(self) -> DataFrame:
         return feed(self.observations)
 
+    @cached_property
+    def items(self) -> DataFrame:
+        rows = ", ".join(
+            f"('{i}', '{name}', '{category}', {str(on).lower()}, {_array(codes)}, {_array(seasons)}, "
+            f"{_array(aliases)}, {_array(traces)})"
+            for i, name, category, on, codes, seasons, aliases, traces in ITEMS
+        )
+        return self.spark.sql(
+            f"SELECT * FROM VALUES {rows} AS t(canonical_id, display_name, category, enabled, "
+            "market_crop_codes, seasonality_names, aliases, traceability_names)"
+        )
+
+    @cached_property
+    def raw_market(self) -> DataFrame:
+        return raw_market(self.observations)
+
     @cached_property
     def seasons(self) -> DataFrame:
         rows = ", ".join(
@@ -110,3 +139,25 @@ def feed(observations: DataFrame) -> DataFrame:
         level.alias("level"),
     )
     return keyed.withColumn("row_hash", row_hash(*[F.col(c) for c in (*IDENTITY, "level")]))
+
+
+def _decimal_text(units: Column) -> Column:
+    whole, rest = int_div(units, F.lit(100).cast("bigint")), units % 100
+    return F.concat(whole.cast("string"), F.lit("."), F.lpad(rest.cast("string"), 2, "0"))
+
+
+def raw_market(observations: DataFrame) -> DataFrame:
+    """Observations as landed text: era dates, padded codes, decimal text, some broken cells."""
+    from marketpanel.functions.dates import to_era_text
+
+    broken = F.col("row_a") % 97
+    return observations.select(
+        *ARRIVAL,
+        F.when(broken == 1, "115.02.30").otherwise(to_era_text(F.col("transaction_date"))).alias("trade_date"),
+        F.concat(F.lit(" "), F.col("crop_code")).alias("crop_code"),
+        F.col("crop_name_raw").alias("crop_name"),
+        F.col("market_code").cast("string").alias("market_code"),
+        F.when(broken == 2, "NaN").when(broken == 3, "-1").otherwise(_decimal_text(F.col("price_c"))).alias("avg_price"),
+        F.when(broken == 4, "12d").otherwise(_decimal_text(F.col("volume_c"))).alias("volume"),
+        "source_id",
+    )
