@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marketpanel.operators import calendars, filters, scope
 from marketpanel.plans import oracle as o
 from marketpanel.plans.registry import query
+from marketpanel.schemas import WINDOWS
 
 # Fixed values of the test binding.
 CALENDAR_MARKETS = tuple(range(0, 25, 2))
@@ -239,15 +240,28 @@ _GRID_WINDOWS = ", ".join(
     f"w{w} AS (PARTITION BY market_code, crop_code ORDER BY transaction_date ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
     for w, n in (("7d", 6), ("30d", 29), ("90d", 89))
 )
+_STAT_REPORT = ", ".join(
+    f"min(price_{w}) AS low_price_{w}, max(price_{w}) AS high_price_{w}, max(volume_{w}) AS most_volume_{w}, "
+    f"sum(coverage_{w})::BIGINT AS covered_{w}, count(*) FILTER (coverage_{w} >= {low}) AS valid_{w}"
+    for w, low in (("7d", 3), ("30d", 10), ("90d", 30))
+)
+
+
 @query("grid_stats", _GRID + f""",
 st AS (SELECT transaction_date, market_code, crop_code, {_STATS} FROM grid WINDOW {_GRID_WINDOWS})
-SELECT market_code::BIGINT AS market_code, crop_code, CAST(transaction_date AS VARCHAR) AS transaction_date,
-  {', '.join(f"price_{w}, volume_{w}, coverage_{w}, CASE WHEN coverage_{w} >= {low} THEN 'valid' ELSE 'insufficient' END AS status_{w}" for w, low in (("7d", 3), ("30d", 10), ("90d", 30)))}
-FROM st WHERE transaction_date = CAST(date_trunc('month', transaction_date) AS DATE)""")
+SELECT market_code::BIGINT AS market_code, crop_code, CAST(CAST(date_trunc('month', transaction_date) AS DATE) AS VARCHAR) AS month, {_STAT_REPORT}
+FROM st GROUP BY market_code, crop_code, date_trunc('month', transaction_date)""")
 def grid_stats(t):
-    """Windows of the whole grid; the report shows the first day of every month."""
+    """Windows of every grid day, reported per market, crop and month."""
     stats = scope.grid_stats(grid(t))
-    return stats.filter(F.col("transaction_date") == F.trunc("transaction_date", "month"))
+    columns = []
+    for w in WINDOWS:
+        columns += [
+            F.min(f"price_{w}").alias(f"low_price_{w}"), F.max(f"price_{w}").alias(f"high_price_{w}"),
+            F.max(f"volume_{w}").alias(f"most_volume_{w}"), F.sum(f"coverage_{w}").alias(f"covered_{w}"),
+            F.count_if(F.col(f"status_{w}") == "valid").alias(f"valid_{w}"),
+        ]
+    return stats.groupBy("market_code", "crop_code", F.trunc("transaction_date", "month").alias("month")).agg(*columns)
 
 
 @query("obs_pairs", o.with_ctes(*_CHECKED) + f""",
