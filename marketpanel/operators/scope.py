@@ -218,21 +218,38 @@ def dense_grid(rows: DataFrame, checked: DataFrame, calendar: DataFrame, manifes
 
 
 def grid_stats(grid: DataFrame) -> DataFrame:
-    """Trailing windows of every grid day. The grid is dense, so a frame of n rows is n days."""
+    """Trailing windows of every grid day.
+
+    The grid is dense, so n days are n rows, and a window sum is the difference of two running
+    sums: constant work per row instead of re-adding up to 90 rows for each.
+    """
     ordered = Window.partitionBy(*MARKET_CROP).orderBy("transaction_date")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.lit(0).cast("bigint")
+    running = {
+        "_value": F.sum(F.coalesce(F.col("price_c") * F.col("volume_c"), zero)).over(upto),
+        "_volume": F.sum(F.coalesce("volume_c", zero)).over(upto),
+        "_seen": F.count("price_c").over(upto),
+    }
+    rows = grid.select("transaction_date", *MARKET_CROP, "price_c", "volume_c").withColumns(running)
+
+    def trailing(total: str, days: int) -> Column:
+        return F.col(total) - F.coalesce(F.lag(total, days).over(ordered), zero)
+
+    sums = {
+        f"{total}_{name}": trailing(total, days)
+        for name, (days, _) in WINDOWS.items() for total in running
+    }
     columns = []
-    for name, (days, minimum) in WINDOWS.items():
-        frame = ordered.rowsBetween(-(days - 1), 0)
-        volume = F.sum("volume_c").over(frame)
-        value = F.sum(F.col("price_c") * F.col("volume_c")).over(frame)
-        count = F.count("price_c").over(frame)
+    for name, (_, minimum) in WINDOWS.items():
+        value, volume, count = (F.col(f"{total}_{name}") for total in ("_value", "_volume", "_seen"))
         columns += [
             micro_to_double(ratio_micro(value, volume)).alias(f"price_{name}"),
             F.when(count > 0, hundredths_to_double(volume)).alias(f"volume_{name}"),
             count.alias(f"coverage_{name}"),
             F.when(count >= minimum, "valid").otherwise("insufficient").alias(f"status_{name}"),
         ]
-    return grid.select("transaction_date", *MARKET_CROP, *columns)
+    return rows.withColumns(sums).select("transaction_date", *MARKET_CROP, *columns)
 
 
 def observation_pairs(rows: DataFrame, days: int = 90) -> DataFrame:

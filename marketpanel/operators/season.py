@@ -121,11 +121,11 @@ def category_summary(rows: DataFrame) -> DataFrame:
 def status_groups(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     """Source notices: one row per (status, url), ordered by the lowest category rank in it."""
     cells = rows.groupBy("source_status", "source_url", "category").agg(F.count(F.lit(1)).alias("rows"))
-    ranked = cells.join(ranks, "category", "left")
-    beyond = F.coalesce("rank", ranks.select(F.count(F.lit(1))).scalar())
-    ordered = F.array_sort(F.collect_list(F.struct(beyond.alias("rank"), F.col("category"))))
+    beyond = ranks.select(F.count(F.lit(1))).scalar()
+    ranked = cells.join(ranks, "category", "left").withColumn("rank", F.coalesce("rank", beyond))
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "category")))
     return ranked.groupBy("source_status", "source_url").agg(
-        F.min(beyond).alias("anchor_rank"),
+        F.min("rank").alias("anchor_rank"),
         F.transform(ordered, lambda c: c["category"]).alias("categories"),
         F.sum("rows").alias("rows"),
     )

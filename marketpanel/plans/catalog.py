@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from marketpanel.plans import evidence, ingest, monthly, prices, scope, season  # noqa: F401
+from marketpanel.plans import evidence, ingest, monthly, prices, quality, scope, season  # noqa: F401
 from marketpanel.plans.registry import ORACLES, QUERIES  # noqa: F401
