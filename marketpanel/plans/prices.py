@@ -115,7 +115,7 @@ def season_status(t):
 
 
 _SCORE_COLUMNS = """CAST(transaction_date AS VARCHAR) AS transaction_date, canonical_id, CAST(score AS BIGINT) AS score, verdict,
-  eligible, season_status, price, previous_change, vs_7d, vs_30d, volume_vs_7d, volatility_7d, market_count,
+  eligible, season_status, price, volume, previous_change, vs_7d, vs_30d, volume_vs_7d, volatility_7d, market_count,
   coverage_7d, coverage_30d, coverage_90d"""
 
 

@@ -174,20 +174,22 @@ def build_gate(t):
     return quality.build_gate(prices.daily(t), expected, statuses)
 
 
-_PRICE = "CASE WHEN price IS NULL THEN '—' ELSE 'NT$ ' || format('{:,.2f}', price) || '/kg' END"
+_PRICE = "CASE WHEN price IS NULL THEN '—' ELSE 'NT$ ' || format('{:,.2f}', floor(price * 100 + 0.5) / 100) || '/kg' END"
 
 
 @query("report_lines", o.SCORED + f""", r AS (SELECT *, row_number() OVER (PARTITION BY transaction_date ORDER BY eligible DESC, score DESC, canonical_id) AS rank FROM scores)
 SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, rank AS line_no, '- ' || canonical_id || ': ' || CAST(score AS VARCHAR) || ' / ' || verdict || ', ' || {_PRICE} || ', ' ||
-  format('{{:,.0f}}', volume) || ' kg, ' || CASE WHEN previous_change IS NULL THEN '—' ELSE CASE WHEN previous_change > 0 THEN '+' ELSE '' END || format('{{:.1f}}', previous_change) || '%' END AS line
+  format('{{:,.0f}}', volume) || ' kg, ' || CASE WHEN previous_change IS NULL THEN '—' ELSE CASE WHEN previous_change > 0 THEN '+' ELSE '' END || format('{{:.1f}}', floor(previous_change * 10 + 0.5) / 10) || '%' END AS line
 FROM r""")
 def report_lines(t):
     rows = score.ranked(prices.scores(t))
     dash = F.lit("—")
-    price = F.coalesce(F.concat(F.lit("NT$ "), F.format_string("%,.2f", F.col("price")), F.lit("/kg")), dash)
-    price = F.when(F.col("price").isNull(), dash).otherwise(price)
+    digits = {n: F.floor(F.col(c) * f + 0.5) / F.lit(f) for n, c, f in (("p", "price", 100.0), ("c", "previous_change", 10.0))}
+    price = F.when(F.col("price").isNull(), dash).otherwise(
+        F.concat(F.lit("NT$ "), F.format_string("%,.2f", digits["p"]), F.lit("/kg"))
+    )
     change = F.when(F.col("previous_change").isNull(), dash).otherwise(F.concat(
-        F.when(F.col("previous_change") > 0, "+").otherwise(""), F.format_string("%.1f", F.col("previous_change")), F.lit("%")
+        F.when(F.col("previous_change") > 0, "+").otherwise(""), F.format_string("%.1f", digits["c"]), F.lit("%")
     ))
     line = F.concat(
         F.lit("- "), F.col("canonical_id"), F.lit(": "), F.col("score").cast("string"), F.lit(" / "), F.col("verdict"), F.lit(", "), price,
