@@ -59,10 +59,12 @@ def daily_prices(
 
     Days on which no row is a valid trade stay, with a NULL price.
     """
-    rows = analysis_rows(observations, include_synthetic)
+    return daily_from_cells(market_cells(analysis_rows(observations, include_synthetic), by), by)
+
+
+def daily_from_cells(cells: DataFrame, by: Sequence[str] = ITEM) -> DataFrame:
     return (
-        market_cells(rows, by)
-        .groupBy("transaction_date", *by)
+        cells.groupBy("transaction_date", *by)
         .agg(*_day_measures(), F.count_if(F.col("valid_rows") > 0).alias("market_count"))
         .withColumn("price_u6", ratio_micro(F.col("value_c"), F.col("traded_c")))
     )

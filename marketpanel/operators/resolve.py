@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpanel.functions.text import row_hash
-from marketpanel.operators.skew import attach, content_digest, sequence_runs
+from marketpanel.operators.skew import attach, content_digest
 from marketpanel.schemas import FINAL_ROLE
 from marketpanel.sources.tables import ARRIVAL, IDENTITY
 
@@ -28,74 +28,101 @@ def upsert(
 
     A later row with the same hash is not a correction, so the stored row (and its fetch time)
     stays; a later row with another hash replaces it.
+
+    Rows are read once. A window finds the runs inside (key, chunk); each chunk is folded to its
+    first and last hash and the start of its last run, without a further exchange; a second window
+    over those summaries decides where the last run of the key began. `chunk` must grow with
+    `order`, and bounds what one task holds of a hot key.
     """
-    starts = sequence_runs(rows, keys, order, value, chunk).filter("is_start")
     rest = [c for c in rows.columns if c not in keys]
-    last = F.max_by(F.struct(*rest), F.struct(*order))
-    return starts.groupBy(*keys).agg(last.alias("_row")).select(*keys, "_row.*")
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    marked = rows.withColumn("_chunk", chunk).withColumn("_before", F.lag(F.struct(value)).over(inside))
+    starts = F.col("_before").isNotNull() & ~F.col(f"_before.{value}").eqNullSafe(F.col(value))
+    row = F.struct(*order, F.struct(*rest).alias("row"))
+    chunks = marked.groupBy(*keys, "_chunk").agg(
+        F.min(row).alias("_first"),
+        F.max(F.struct(*order, F.col(value).alias("value"))).alias("_last"),
+        F.max(F.when(starts, row)).alias("_inner"),
+    )
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    carried = F.lag("_last").over(across)
+    begins = F.col("_carried").isNull() | ~F.col("_carried.value").eqNullSafe(F.col(f"_first.row.{value}"))
+    run = F.coalesce(F.col("_inner"), F.when(begins, F.col("_first")))
+    return (
+        chunks.withColumn("_carried", carried)
+        .withColumn("_run", run)
+        .groupBy(*keys)
+        .agg(F.max("_run").alias("_run"))
+        .select(*keys, "_run.row.*")
+    )
 
 
-def _candidates(observations: DataFrame) -> DataFrame:
-    """Copies collapse first: one row per identity, source, role and hash."""
-    return observations.groupBy(
-        *IDENTITY, "source_role", "source_id", "source_precedence", "row_hash"
-    ).agg(F.max(F.struct(*ARRIVAL)).alias("last"), F.count(F.lit(1)).alias("copies"))
+def _final() -> Column:
+    return F.col("source_role") == FINAL_ROLE
 
 
 def winners(observations: DataFrame) -> DataFrame:
     """Authoritative winner per identity: highest precedence, then latest arrival.
 
     Two sources at the top precedence are an ambiguity: `is_ambiguous` is set and the identity has
-    no winner, so nothing is chosen silently.
+    no winner, so nothing is chosen silently. One combinable aggregate: the lowest and the highest
+    source name at the top precedence tell whether there are several.
     """
-    final = F.col("source_role") == FINAL_ROLE
-    ranked = _candidates(observations).groupBy(*IDENTITY, "source_precedence").agg(
-        F.max(F.when(final, F.struct("last", "row_hash", "source_id"))).alias("top"),
-        F.min(F.when(final, F.col("source_id"))).alias("first_source"),
-        F.max(F.when(final, F.col("source_id"))).alias("last_source"),
-        F.sum("copies").alias("rows"),
-        F.sum(F.when(final, F.col("copies")).otherwise(0)).alias("final_rows"),
-    )
-    best = F.max_by(
-        F.struct("top", "first_source", "last_source", "source_precedence"),
-        F.when(F.col("top").isNotNull(), F.col("source_precedence")),
+    final, rank = _final(), F.col("source_precedence")
+    picked = observations.groupBy(*IDENTITY).agg(
+        F.max(F.when(final, F.struct(rank.alias("rank"), F.struct(*ARRIVAL).alias("last"), "source_id"))).alias("best"),
+        F.max(F.when(final, F.struct(rank.alias("rank"), "source_id"))).alias("_high"),
+        F.min(F.when(final, F.struct((-rank).alias("rank"), F.col("source_id")))).alias("_low"),
+        F.count(F.lit(1)).alias("candidate_rows"),
+        F.count_if(final).alias("authoritative_rows"),
     )
-    picked = ranked.groupBy(*IDENTITY).agg(
-        best.alias("best"),
-        F.sum("rows").alias("candidate_rows"),
-        F.sum("final_rows").alias("authoritative_rows"),
-    )
-    ambiguous = F.coalesce(F.col("best.first_source") != F.col("best.last_source"), F.lit(False))
-    chosen = F.when(~ambiguous, F.col("best.top"))
+    ambiguous = F.coalesce(F.col("_low.source_id") != F.col("_high.source_id"), F.lit(False))
+    chosen = F.when(~ambiguous, F.col("best"))
     return picked.select(
-        *IDENTITY,
-        chosen["last"].alias("winner"),
-        chosen["row_hash"].alias("winner_hash"),
-        chosen["source_id"].alias("winner_source"),
-        F.when(~ambiguous, F.col("best.source_precedence")).alias("winner_precedence"),
+        *IDENTITY, chosen["last"].alias("winner"), chosen["source_id"].alias("winner_source"),
         "candidate_rows", "authoritative_rows", ambiguous.alias("is_ambiguous"),
     )
 
 
 def resolve(observations: DataFrame) -> DataFrame:
     """Winners with the record they supersede: the latest other row which was provisional or came
-    from the same source, and differs in content."""
-    selected = winners(observations)
-    others = attach(
-        _candidates(observations),
-        selected.filter(F.col("winner").isNotNull()).select(
-            *IDENTITY, "winner_hash", "winner_source"
-        ),
-        IDENTITY,
-    ).filter(
-        (F.col("row_hash") != F.col("winner_hash"))
-        & ((F.col("source_role") == "provisional") | (F.col("source_id") == F.col("winner_source")))
+    from the same source, and differs in content.
+
+    Per identity, role, source and precedence only the two latest contents can matter (one may be
+    the winner's own), so copies collapse first, older contents are cut before the exchange of the
+    window, and what meets per identity is bounded by the number of sources.
+    """
+    contents = observations.groupBy(
+        *IDENTITY, "source_role", "source_id", "source_precedence", "row_hash"
+    ).agg(F.max(F.struct(*ARRIVAL)).alias("last"))
+    newest = Window.partitionBy(*IDENTITY, "source_role", "source_id", "source_precedence").orderBy(F.desc("last"))
+    kept = contents.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= 2)
+    fields = ("source_precedence", "last", "row_hash", "source_id", "source_role")
+    grouped = kept.groupBy(*IDENTITY).agg(F.collect_list(F.struct(*fields)).alias("_c"))
+    finals = grouped.withColumn("_f", F.filter("_c", lambda c: c["source_role"] == FINAL_ROLE)).withColumn(
+        "_top", F.array_max("_f")
+    )
+    sources = F.transform(
+        F.filter("_f", lambda c: c["source_precedence"] == F.col("_top.source_precedence")), lambda c: c["source_id"]
+    )
+    judged = finals.withColumn("is_ambiguous", F.size(F.array_distinct(sources)) > 1).withColumn(
+        "_win", F.when(~F.col("is_ambiguous"), F.col("_top"))
     )
-    superseded = others.groupBy(*IDENTITY).agg(
-        F.max_by("row_hash", "last").alias("supersedes_hash"),
-        F.sum("copies").alias("superseded_rows"),
+    replaced = F.filter(
+        "_c",
+        lambda c: (c["row_hash"] != F.col("_win.row_hash"))
+        & ((c["source_role"] == "provisional") | (c["source_id"] == F.col("_win.source_id"))),
+    )
+    latest = F.array_max(F.transform(replaced, lambda c: F.struct(c["last"].alias("last"), c["row_hash"].alias("row_hash"))))
+    return judged.select(
+        *IDENTITY,
+        F.col("_win.last").alias("winner"),
+        F.col("_win.row_hash").alias("winner_hash"),
+        F.col("_win.source_id").alias("winner_source"),
+        F.col("_win.source_precedence").alias("winner_precedence"),
+        "is_ambiguous",
+        F.when(F.col("_win").isNotNull(), latest["row_hash"]).alias("supersedes_hash"),
     )
-    return selected.join(superseded, list(IDENTITY), "left")
 
 
 def decisions(observations: DataFrame) -> DataFrame:
@@ -150,13 +177,12 @@ def precedence_conflicts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def batch_manifest(rows: DataFrame, batch: Sequence[str], start: Column, end: Column) -> DataFrame:
     """Manifest per batch: covered dates, count, order-free content hash, range status."""
-    hex_digits = F.substring("row_hash", 8, 64)
-    shape = rows.groupBy(*batch).agg(
+    shape = [
         F.min("observed_on").alias("first_date"),
         F.max("observed_on").alias("last_date"),
         F.count_if(~F.col("observed_on").between(start, end)).alias("outside_rows"),
-    )
-    return shape.join(content_digest(rows, batch, hex_digits), list(batch)).withColumn(
+    ]
+    return content_digest(rows, batch, F.substring("row_hash", 8, 64), shape).withColumn(
         "status", F.when(F.col("outside_rows") > 0, "outside_requested_range").otherwise("success")
     )
 

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketpanel.functions.dates import day_sequence
-from marketpanel.functions.numeric import hundredths_to_double, micro_to_double, ratio_micro, round6
+from marketpanel.functions.numeric import hundredths_to_double, micro_to_double, ratio_micro_long, round6
 from marketpanel.functions.text import flags_text, market_name_key, reject_reason
 from marketpanel.operators import panel
-from marketpanel.operators.filters import is_synthetic, is_trade
+from marketpanel.operators.filters import analysis_rows, is_synthetic, is_trade
 from marketpanel.schemas import FINAL_ROLE, MINIMUM_MARKETS, WINDOWS
+from marketpanel.sources.sinks import materialize
 
 SCOPE_ITEM = ("scope", "canonical_id")
 MARKET_CROP = ("market_code", "crop_code")
@@ -57,11 +58,10 @@ def scope_panel(scoped: DataFrame, markets: DataFrame) -> DataFrame:
     """Panel per (scope, item, day) with item status, market list, scope status and gate reasons.
 
     Days on which the scope reported anything are completed with the scope's items, through an
-    equi-join on the scope.
+    equi-join on the scope. Transactions are read once, into the (day, scope, item, market) cells.
     """
-    rows = scoped.filter(F.col("canonical_id").isNotNull())
-    prices = panel.price_panel(panel.daily_prices(rows, SCOPE_ITEM), SCOPE_ITEM)
-    cells = panel.market_cells(rows, SCOPE_ITEM)
+    cells = materialize(panel.market_cells(analysis_rows(scoped), SCOPE_ITEM), "scope-cells")
+    prices = panel.price_panel(panel.daily_from_cells(cells, SCOPE_ITEM), SCOPE_ITEM)
     traded = F.when(F.col("valid_rows") > 0, F.col("market_code"))
     codes = cells.groupBy("transaction_date", *SCOPE_ITEM).agg(
         F.array_sort(F.collect_list(traded)).alias("market_codes")
@@ -169,35 +169,41 @@ def merge_reasons(quality: DataFrame) -> DataFrame:
     return quality.select(F.explode("reasons").alias("reason", "n")).groupBy("reason").agg(F.sum("n").alias("rows"))
 
 
-def single_rows(checked: DataFrame) -> DataFrame:
-    """One eligible row per (day, market, crop): the stable minimum, with a conflict mark when the
-    copies differ in price or volume."""
-    accepted = checked.filter(F.col("reason").isNull())
-    return accepted.groupBy("transaction_date", *MARKET_CROP).agg(
-        F.min(F.struct("price_c", "volume_c")).alias("_kept"),
-        (F.min(F.struct("price_c", "volume_c")) != F.max(F.struct("price_c", "volume_c"))).alias("has_conflict"),
+def grid_cells(checked: DataFrame) -> DataFrame:
+    """All the grid needs of one (day, market, crop): the stable accepted row, whether accepted
+    copies differ, and whether rows of unknown provenance were there. State is constant per cell."""
+    pair = F.when(F.col("reason").isNull(), F.struct("price_c", "volume_c"))
+    return checked.groupBy("transaction_date", *MARKET_CROP).agg(
+        F.min(pair).alias("_kept"),
+        (F.min(pair) != F.max(pair)).alias("_differs"),
+        F.max(F.coalesce(F.col("reason") == "provenance_unknown", F.lit(False))).alias("has_unknown"),
     ).select(
-        "transaction_date", *MARKET_CROP, "_kept.*", "has_conflict",
+        "transaction_date", *MARKET_CROP, "_kept.*",
+        F.coalesce("_differs", F.lit(False)).alias("has_conflict"), "has_unknown",
     )
 
 
-def dense_grid(rows: DataFrame, checked: DataFrame, calendar: DataFrame, manifests: DataFrame) -> DataFrame:
+def single_rows(checked: DataFrame) -> DataFrame:
+    """One eligible row per (day, market, crop), with a conflict mark when its copies differ."""
+    return grid_cells(checked).filter(F.col("price_c").isNotNull()).drop("has_unknown")
+
+
+def dense_grid(cells: DataFrame, calendar: DataFrame, manifests: DataFrame) -> DataFrame:
     """Every (market, crop, day) of the calendar with an observation status.
 
     The day list of a market is its calendar, its crops come from an equi-join on the market; a
     missing cell says why it is missing.
     """
+    rows = cells.filter(F.col("price_c").isNotNull()).drop("has_unknown")
     crops = rows.select(*MARKET_CROP).distinct()
     covered = manifest_days(eligible_manifests(manifests))
-    unknown = checked.filter(F.col("reason") == "provenance_unknown").select(
-        "market_code", "transaction_date"
-    ).distinct().withColumn("_unknown", F.lit(True))
-    grid = calendar.withColumnRenamed("calendar_date", "transaction_date").join(crops, "market_code")
-    cells = (
-        grid.join(rows, ["transaction_date", *MARKET_CROP], "left")
-        .join(unknown, ["market_code", "transaction_date"], "left")
-        .join(covered, "transaction_date", "left")
+    unknown = cells.filter("has_unknown").select("market_code", "transaction_date").distinct().withColumn(
+        "_unknown", F.lit(True)
     )
+    days = calendar.withColumnRenamed("calendar_date", "transaction_date").join(
+        unknown, ["market_code", "transaction_date"], "left"
+    ).join(covered, "transaction_date", "left")
+    grid = days.join(crops, "market_code").join(rows, ["transaction_date", *MARKET_CROP], "left")
     status = (
         F.when(is_trade(), "observed")
         .when(F.col("price_c") <= 0, "zero_price")
@@ -206,9 +212,9 @@ def dense_grid(rows: DataFrame, checked: DataFrame, calendar: DataFrame, manifes
         .when(F.col("manifest").isNull(), "source_unavailable")
         .otherwise("missing")
     )
-    cells = cells.withColumn("observation_status", status)
+    grid = grid.withColumn("observation_status", status)
     seen = F.col("observation_status") == "observed"
-    return cells.select(
+    return grid.select(
         "transaction_date", *MARKET_CROP, "observation_status", "schedule_status",
         F.when(seen, F.col("price_c")).alias("price_c"),
         F.when(seen, F.col("volume_c")).alias("volume_c"),
@@ -244,7 +250,7 @@ def grid_stats(grid: DataFrame) -> DataFrame:
     for name, (_, minimum) in WINDOWS.items():
         value, volume, count = (F.col(f"{total}_{name}") for total in ("_value", "_volume", "_seen"))
         columns += [
-            micro_to_double(ratio_micro(value, volume)).alias(f"price_{name}"),
+            micro_to_double(ratio_micro_long(value, volume)).alias(f"price_{name}"),
             F.when(count > 0, hundredths_to_double(volume)).alias(f"volume_{name}"),
             count.alias(f"coverage_{name}"),
             F.when(count >= minimum, "valid").otherwise("insufficient").alias(f"status_{name}"),

@@ -70,20 +70,21 @@ def sequence_runs(
     ).drop("_chunk", "_prev", "_inner_start", "_head", "_head_start", "_base")
 
 
-def content_digest(rows: DataFrame, keys: Sequence[str], hash_hex: Column) -> DataFrame:
+def content_digest(
+    rows: DataFrame, keys: Sequence[str], hash_hex: Column, others: Sequence[Column] = ()
+) -> DataFrame:
     """Order-free digest of the row hashes of a group.
 
     Four 60-bit lanes of every row hash are summed, so the state is constant per group, the partial
     sums combine before the shuffle, and a group may hold any number of rows. Equal sets give equal
-    digests in any order; duplicates count.
+    digests in any order; duplicates count. `others` are further aggregates of the same pass.
     """
     lanes = [
         F.sum(F.conv(F.substring(hash_hex, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)"))
         .cast("decimal(38,0)").cast("string").alias(f"_lane{i}")
         for i in range(4)
     ]
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("record_count"), *lanes)
-    text = F.concat_ws("|", F.col("record_count").cast("string"), *[F.col(f"_lane{i}") for i in range(4)])
-    return sums.select(
-        *keys, "record_count", F.concat(F.lit("sha256:"), F.sha2(text, 256)).alias("content_hash")
-    )
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("record_count"), *lanes, *others)
+    names = [f"_lane{i}" for i in range(4)]
+    text = F.concat_ws("|", F.col("record_count").cast("string"), *names)
+    return sums.withColumn("content_hash", F.concat(F.lit("sha256:"), F.sha2(text, 256))).drop(*names)

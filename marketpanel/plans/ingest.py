@@ -257,20 +257,17 @@ cnt AS (SELECT {_PART}, count(*) AS candidate_rows, count(*) FILTER (source_role
 
 @query("resolve", o.with_ctes(o.FEED) + _WINNERS + f""",
 prior AS (
-  SELECT {_PART}, feed.row_hash, count(*) OVER (PARTITION BY {_PART}) AS superseded_rows,
-    row_number() OVER (PARTITION BY {_PART} ORDER BY feed.batch_no DESC, feed.page_no DESC, feed.row_a DESC, feed.row_b DESC) AS k
+  SELECT {_PART}, feed.row_hash, row_number() OVER (PARTITION BY {_PART} ORDER BY feed.batch_no DESC, feed.page_no DESC, feed.row_a DESC, feed.row_b DESC) AS k
   FROM feed JOIN win USING ({_PART})
   WHERE win.n = 1 AND feed.row_hash <> win.row_hash AND (feed.source_role = 'provisional' OR feed.source_id = win.source_id))
 SELECT {_IDENT}, win.batch_no, win.page_no::BIGINT AS page_no, win.row_a, win.row_b, win.row_hash AS winner_hash, win.source_id AS winner_source,
-  win.source_precedence::BIGINT AS winner_precedence, candidate_rows, authoritative_rows, coalesce(is_ambiguous, false) AS is_ambiguous,
-  prior.row_hash AS supersedes_hash, superseded_rows
+  win.source_precedence::BIGINT AS winner_precedence, coalesce(is_ambiguous, false) AS is_ambiguous, prior.row_hash AS supersedes_hash
 FROM cnt LEFT JOIN amb USING ({_PART}) LEFT JOIN (SELECT * FROM win WHERE n = 1) win USING ({_PART})
   LEFT JOIN (SELECT * FROM prior WHERE k = 1) prior USING ({_PART})""")
 def resolve_sources(t):
     out = resolve.resolve(t.feed)
     return out.select(
-        *IDENTITY, "winner.*", "winner_hash", "winner_source", "winner_precedence", "candidate_rows",
-        "authoritative_rows", "is_ambiguous", "supersedes_hash", "superseded_rows",
+        *IDENTITY, "winner.*", "winner_hash", "winner_source", "winner_precedence", "is_ambiguous", "supersedes_hash",
     )
 
 

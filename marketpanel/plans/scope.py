@@ -6,6 +6,7 @@ from marketpanel.operators import calendars, filters, scope
 from marketpanel.plans import oracle as o
 from marketpanel.plans.registry import query
 from marketpanel.schemas import WINDOWS
+from marketpanel.sources.sinks import materialize
 
 # Fixed values of the test binding.
 CALENDAR_MARKETS = tuple(range(0, 25, 2))
@@ -53,8 +54,9 @@ def rules(years):
     return calendars.year_days(years).select("calendar_date", F.explode(found).alias("r")).select("calendar_date", "r.*")
 
 
-def market_calendar(t):
-    years = t.observations.select("market_code", F.year("transaction_date").alias("year")).distinct()
+def market_calendar(rows):
+    """Calendar of every market and year which occurs in `rows`."""
+    years = materialize(rows.select("market_code", F.year("transaction_date").alias("year")).distinct(), "years")
     days = calendars.year_days(years).drop("year")
     return calendars.expand_calendar(days, rules(years.select("year").distinct()))
 
@@ -170,7 +172,7 @@ SELECT cal.market_code::BIGINT AS market_code, CAST(calendar_date AS VARCHAR) AS
     WHEN coalesce(n, 0) > 0 THEN 'no_valid_trade' WHEN schedule_status = 'scheduled_closed' THEN 'scheduled_closed' ELSE 'missing' END AS day_status
 FROM cal LEFT JOIN c ON cal.market_code = c.market_code AND calendar_date = transaction_date""")
 def market_days(t):
-    return scope.market_days(accepted(t), market_calendar(t))
+    return scope.market_days(accepted(t), market_calendar(t.observations))
 
 
 @query("provenance", o.with_ctes(*_CHECKED) + """,
@@ -213,8 +215,9 @@ grid AS (
 
 
 def grid(t):
-    rows = checked(t)
-    return scope.dense_grid(scope.single_rows(rows), rows, market_calendar(t), manifests(t))
+    """Facts are read once into cells; calendar, crops and gaps come from those."""
+    cells = materialize(scope.grid_cells(checked(t)), "grid-cells")
+    return scope.dense_grid(cells, market_calendar(cells), manifests(t))
 
 
 @query("grid_status", _GRID + """
@@ -322,7 +325,7 @@ FROM cal LEFT JOIN n ON n.market_code = cal.market_code AND transaction_date = c
 GROUP BY calendar_date, schedule_status, schedule_reason""")
 def calendar_year(t):
     counts = t.observations.groupBy("market_code", F.col("transaction_date").alias("calendar_date")).agg(F.count(F.lit(1)).alias("n"))
-    days = market_calendar(t).join(counts, ["market_code", "calendar_date"], "left")
+    days = market_calendar(t.observations).join(counts, ["market_code", "calendar_date"], "left")
     return days.groupBy("calendar_date", "schedule_status", "schedule_reason").agg(
         F.weekday("calendar_date").alias("weekday"),
         F.count(F.lit(1)).alias("market_entries"),
@@ -331,7 +334,7 @@ def calendar_year(t):
 
 
 def _requested(t):
-    years = scoped(t).select("scope", F.year("transaction_date").alias("year")).distinct()
+    years = materialize(scoped(t).select("scope", F.year("transaction_date").alias("year")).distinct(), "years")
     days = calendars.year_days(years).drop("year")
     out = calendars.expand_calendar(days, rules(years.select("year").distinct()))
     return out.select("scope", F.col("calendar_date").alias("transaction_date"), "schedule_status")

@@ -30,6 +30,17 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(rows: DataFrame, name: str) -> DataFrame:
+    """Write a reduced table once and read it back, for jobs which need it several times.
+
+    The written table cuts the lineage: a lost executor re-reads it instead of scanning the facts
+    again, and several consumers share one pass over them.
+    """
+    path = work_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
