@@ -77,25 +77,32 @@ def published_lots(lots: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 
 
 def lot_profile(lots: DataFrame, group: Sequence[str]) -> DataFrame:
-    """Counts of one snapshot; publishing counts come from the collapsed lots."""
-    raw = lots.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("raw_record_count"),
-        F.count_if(F.col("tracecode").isNull()).alias("missing_tracecode_count"),
-        F.count_if(F.col("tracecode").isNotNull() & F.col("canonical_id").isNull()).alias("unmapped_record_count"),
-    )
-    published = published_lots(lots, group)
+    """Counts of one snapshot, from one pass: lots fold per tracecode, tracecodes per snapshot."""
+    payload = [c for c in REGISTRY_FIELDS if c != "tracecode"]
+    coded, mapped = F.col("tracecode").isNotNull(), F.col("canonical_id").isNotNull()
+    digest = F.when(coded & mapped, hash_text(*[F.col(c) for c in payload]))
+    kept = ("certification_status", "org_id", "canonical_id")
+    cells = lots.withColumn("_hash", digest).groupBy(*group, "tracecode").agg(
+        F.count(F.lit(1)).alias("_rows"),
+        F.count("_hash").alias("_copies"),
+        (F.min("_hash") != F.max("_hash")).alias("_conflict"),
+        F.min(F.when(F.col("_hash").isNotNull(), F.struct("_hash", *kept))).alias("_row"),
+    ).select(*group, "tracecode", "_rows", "_copies", "_conflict", "_row.*")
+    published = F.col("_copies") > 0
     status = F.col("certification_status")
-    counts = published.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("published_record_count"),
+    return cells.groupBy(*group).agg(
+        F.sum("_rows").alias("raw_record_count"),
+        F.sum(F.when(coded, 0).otherwise(F.col("_rows"))).alias("missing_tracecode_count"),
+        F.sum(F.when(coded, F.col("_rows") - F.col("_copies")).otherwise(0)).alias("unmapped_record_count"),
+        F.count_if(published).alias("published_record_count"),
         F.count_if(status == "active").alias("active_record_count"),
         F.count_if(status == "expired").alias("expired_record_count"),
         F.count_if(status == "unknown").alias("unknown_validity_count"),
         F.count_distinct("org_id").alias("operator_count"),
         F.count_distinct("canonical_id").alias("mapped_item_count"),
-        F.sum(F.col("copies") - 1).alias("duplicate_count"),
-        F.count_if("is_conflict").alias("conflict_count"),
+        F.sum(F.when(published, F.col("_copies") - 1).otherwise(0)).alias("duplicate_count"),
+        F.count_if("_conflict").alias("conflict_count"),
     )
-    return raw.join(counts, list(group), "left")
 
 
 def normalized_events(raw: DataFrame, items: DataFrame) -> DataFrame:

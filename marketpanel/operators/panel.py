@@ -138,29 +138,37 @@ def with_windows(daily: DataFrame, by: Sequence[str] = ITEM) -> DataFrame:
     return out.withColumns(measures)
 
 
+def with_prices(windows: DataFrame) -> DataFrame:
+    """Window sums as published numbers; later columns refer to these by name."""
+    sums: dict[str, Column] = {}
+    for name in WINDOWS:
+        days, traded = F.col(f"_days_{name}"), F.col(f"_traded_{name}")
+        sums[f"price_{name}"] = micro_to_double(ratio_micro(F.col(f"_value_{name}"), traded))
+        sums[f"volume_{name}"] = hundredths_to_double(traded)
+        sums[f"avg_volume_{name}"] = round6(F.when(days > 0, hundredths_to_double(traded) / days))
+    sums["volume"] = hundredths_to_double(F.col("traded_c"))
+    sums["price"] = micro_to_double(F.col("price_u6"))
+    return windows.withColumns(sums)
+
+
 def _window_columns(name: str, minimum: int) -> list[Column]:
-    price_u6 = ratio_micro(F.col(f"_value_{name}"), F.col(f"_traded_{name}"))
-    price = micro_to_double(price_u6)
     days = F.col(f"_days_{name}")
-    volume = hundredths_to_double(F.col(f"_traded_{name}"))
-    average = round6(F.when(days > 0, volume / days))
-    today_price = F.col("_price") / F.lit(100.0)
-    today_volume = hundredths_to_double(F.col("traded_c"))
+    today = F.col("_price") / F.lit(100.0)
     return [
-        price.alias(f"price_{name}"),
-        volume.alias(f"volume_{name}"),
-        average.alias(f"avg_volume_{name}"),
+        F.col(f"price_{name}"),
+        F.col(f"volume_{name}"),
+        F.col(f"avg_volume_{name}"),
         days.alias(f"coverage_{name}"),
         F.when(days >= minimum, "valid").otherwise("insufficient").alias(f"status_{name}"),
-        round6(change_pct(today_price, price)).alias(f"price_change_{name}"),
-        round6(change_pct(today_volume, average)).alias(f"volume_change_{name}"),
+        round6(change_pct(today, F.col(f"price_{name}"))).alias(f"price_change_{name}"),
+        round6(change_pct(F.col("volume"), F.col(f"avg_volume_{name}"))).alias(f"volume_change_{name}"),
     ]
 
 
 def _today_columns() -> list[Column]:
     return [
-        micro_to_double(F.col("price_u6")).alias("price"),
-        hundredths_to_double(F.col("traded_c")).alias("volume"),
+        F.col("price"),
+        F.col("volume"),
         F.col("market_count"),
         (F.col("excluded_rows") > 0).alias("has_warning"),
     ]
@@ -168,7 +176,9 @@ def _today_columns() -> list[Column]:
 
 def rolling_prices(daily: DataFrame, by: Sequence[str] = ITEM) -> DataFrame:
     columns = [c for name, (_, low) in WINDOWS.items() for c in _window_columns(name, low)]
-    return with_windows(daily, by).select("transaction_date", *by, *_today_columns(), *columns)
+    return with_prices(with_windows(daily, by)).select(
+        "transaction_date", *by, *_today_columns(), *columns
+    )
 
 
 def _previous_columns() -> list[Column]:
@@ -222,7 +232,7 @@ def volatility(daily: DataFrame, by: Sequence[str] = ITEM) -> DataFrame:
 def price_panel(daily: DataFrame, by: Sequence[str] = ITEM) -> DataFrame:
     """Everything a score or a page needs for each (item, day)."""
     columns = [c for name, (_, low) in WINDOWS.items() for c in _window_columns(name, low)]
-    return with_windows(daily, by).select(
+    return with_prices(with_windows(daily, by)).select(
         "transaction_date", *by, *_today_columns(), *_previous_columns(), *columns,
         _volatility().alias("volatility_7d"),
         F.when(F.col("_days_7d") >= 3, "valid").otherwise("insufficient").alias("volatility_status"),
