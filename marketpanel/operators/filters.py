@@ -16,6 +16,15 @@ def is_synthetic() -> Column:
     return (marks[0] == SYNTHETIC_MARK) | (marks[1] == SYNTHETIC_MARK)
 
 
+def is_synthetic_anywhere() -> Column:
+    """The wide form: a mark in any of the four provenance fields a row may carry."""
+    return (
+        is_synthetic()
+        | (F.coalesce(F.col("data_mode"), F.lit("")) == SYNTHETIC_MARK)
+        | F.coalesce(F.col("is_fixture"), F.lit(False))
+    )
+
+
 def analysis_rows(observations: DataFrame, include_synthetic: bool = False) -> DataFrame:
     return observations if include_synthetic else observations.filter(~is_synthetic())
 

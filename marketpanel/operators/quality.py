@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marketpanel.schemas import FEED_STATES, MARKET_STATES
+
 # Literal marks of credentials and embedded payloads.
 SECRET_MARKS = (
     "AKIA", "ghp_", "glpat-", "github_pat_", "sk-", "-----BEGIN PRIVATE KEY-----", "bearer ", "base64,",
@@ -51,6 +53,31 @@ def require_clean(found: DataFrame, blocking: Sequence[str] | None = None) -> No
         raise ContractViolation(", ".join(f"{row['rule']}: {row['n']}" for row in counts))
 
 
+def status_rules() -> list[tuple[str, Column]]:
+    """Contract of a publication status row."""
+    return [
+        ("unknown_status", ~F.col("status").isin(*MARKET_STATES)),
+        ("unknown_feed_status", ~F.col("feed_status").isin(*FEED_STATES)),
+        ("unknown_calendar_feed_status", ~F.col("calendar_feed_status").isin(*FEED_STATES)),
+        ("negative_count", (F.col("observed_record_count") < 0) | (F.col("covered_count") < 0)),
+        ("covered_above_expected", F.col("covered_count") > F.col("expected_count")),
+        ("resolved_after_requested", F.coalesce(F.col("resolved_date") > F.col("transaction_date"), F.lit(False))),
+    ]
+
+
+def registry_rules() -> list[tuple[str, Column]]:
+    """Contract of a lot before publishing."""
+    place = F.col("place")
+    return [
+        ("missing_tracecode", F.col("tracecode").isNull()),
+        ("no_coarse_place", place.isNull()),
+        ("place_not_coarse", place.isNotNull() & ~place.rlike("[縣市]$")),
+        ("unmapped_product", F.col("canonical_id").isNull()),
+        ("unknown_validity", F.col("valid_date").isNull()),
+        ("unknown_certification", ~F.col("certification_status").isin("active", "expired", "unknown")),
+    ]
+
+
 def https_url_problem(url: Column, hosts: Sequence[str]) -> Column:
     """First reason why a URL is not an allow-listed HTTPS address, else NULL."""
     valid = F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit(""))

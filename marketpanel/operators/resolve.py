@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marketpanel.functions.text import row_hash
 from marketpanel.operators.skew import attach, content_digest
 from marketpanel.schemas import FINAL_ROLE
+from marketpanel.sources.adapters import observation_id
 from marketpanel.sources.tables import ARRIVAL, IDENTITY
 
 
@@ -139,9 +140,17 @@ def decisions(observations: DataFrame) -> DataFrame:
         *IDENTITY, *ARRIVAL, "source_id", "source_role", "source_precedence", "row_hash",
         F.coalesce(F.col("winner") == position, F.lit(False)).alias("is_eligible"),
         "is_ambiguous",
+    ).withColumn(
+        "observation_id",
+        observation_id(run_id(), F.col("row_hash"), *[F.col(c) for c in ARRIVAL]),
     )
 
 
+def run_id() -> Column:
+    """A run is one source and one requested period."""
+    return row_hash(F.col("source_id"), F.col("transaction_date"))
+
+
 def run_evidence(observations: DataFrame) -> DataFrame:
     """Counts per run (source and requested period); they must reconcile by construction."""
     runs = observations.groupBy("source_id", "transaction_date").agg(
@@ -152,7 +161,7 @@ def run_evidence(observations: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("eligible_count"))
     joined = runs.join(eligible, ["source_id", "transaction_date"], "left")
     return joined.select(
-        row_hash(F.col("source_id"), F.col("transaction_date")).alias("run_id"),
+        run_id().alias("run_id"),
         "source_id", "transaction_date", "normalized_count",
         F.coalesce("eligible_count", F.lit(0)).alias("eligible_count"),
         (F.col("normalized_count") - F.coalesce("eligible_count", F.lit(0))).alias("suppressed_count"),

@@ -9,7 +9,7 @@ from marketpanel.functions.dates import day_sequence
 from marketpanel.functions.numeric import hundredths_to_double, micro_to_double, ratio_micro_long, round6
 from marketpanel.functions.text import flags_text, market_name_key, reject_reason
 from marketpanel.operators import panel
-from marketpanel.operators.filters import analysis_rows, is_synthetic, is_trade
+from marketpanel.operators.filters import analysis_rows, is_synthetic_anywhere, is_trade
 from marketpanel.schemas import FINAL_ROLE, MINIMUM_MARKETS, WINDOWS
 from marketpanel.sources.sinks import materialize
 
@@ -137,7 +137,7 @@ def with_provenance(scoped: DataFrame, manifests: DataFrame) -> DataFrame:
     return joined.withColumn(
         "reason",
         reject_reason(
-            ("fixture", is_synthetic()),
+            ("fixture", is_synthetic_anywhere()),
             ("invalid_market_identity", F.col("name_drift")),
             ("invalid_row", F.col("canonical_id").isNull() | (F.length(F.trim("crop_name_raw")) == 0)),
             ("invalid_value", (F.col("price_c") < 0) | (F.col("volume_c") < 0)),

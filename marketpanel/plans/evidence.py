@@ -84,17 +84,17 @@ lots AS (
       CAST(pack_date AS VARCHAR), certification_name, coalesce(CAST(valid_date AS VARCHAR), '\\N'),
       CASE WHEN valid_date IS NULL THEN 'unknown' WHEN valid_date >= DATE '{AS_OF}' THEN 'active' ELSE 'expired' END, CAST(pack_date AS VARCHAR))) AS h
   FROM raw LEFT JOIN names USING (product_name_raw))"""
-_LOTS = o.with_ctes(LOTS)
+LOTS_SQL = o.with_ctes(LOTS)
 _LOT_COLUMNS = """tracecode, producer, org_id, product_name_raw, canonical_id, place, CAST(pack_date AS VARCHAR) AS pack_date, certification_name,
   CAST(valid_date AS VARCHAR) AS valid_date, certification_status, CAST(pack_date AS VARCHAR) AS source_updated_date"""
 
 
-@query("minimize", _LOTS + f"SELECT feed, {_LOT_COLUMNS} FROM lots")
+@query("minimize", LOTS_SQL + f"SELECT feed, {_LOT_COLUMNS} FROM lots")
 def minimize(t):
     return lots(t).select("feed", *REGISTRY_FIELDS)
 
 
-@query("registry_norm", _LOTS + f""",
+@query("registry_norm", LOTS_SQL + f""",
 r AS (SELECT *, count(*) OVER (PARTITION BY tracecode) AS copies, min(h) OVER (PARTITION BY tracecode) <> max(h) OVER (PARTITION BY tracecode) AS is_conflict,
     row_number() OVER (PARTITION BY tracecode ORDER BY h) AS n FROM lots WHERE tracecode IS NOT NULL AND canonical_id IS NOT NULL)
 SELECT {_LOT_COLUMNS}, copies, is_conflict FROM r WHERE n = 1""")
@@ -102,7 +102,7 @@ def registry_norm(t):
     return evidence.published_lots(lots(t))
 
 
-@query("registry_profile", _LOTS + """,
+@query("registry_profile", LOTS_SQL + """,
 r AS (SELECT feed, tracecode, count(*) AS copies, count(DISTINCT h) > 1 AS conflict, min({'h': h, 's': certification_status, 'o': org_id, 'i': canonical_id}) AS k
   FROM lots WHERE tracecode IS NOT NULL AND canonical_id IS NOT NULL GROUP BY ALL),
 p AS (SELECT feed, count(*) AS published_record_count, count(*) FILTER (k.s = 'active') AS active_record_count, count(*) FILTER (k.s = 'expired') AS expired_record_count,
@@ -125,7 +125,7 @@ def coarse_place(t):
     return places.groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("lots")).withColumn("coarse", text.coarse_place(F.col("place")))
 
 
-@query("lot_validity", _LOTS + f"""
+@query("lot_validity", LOTS_SQL + f"""
 SELECT CAST(valid_date AS VARCHAR) AS valid_date, certification_status, CASE WHEN valid_date IS NULL THEN 'unknown'
     WHEN valid_date >= DATE '{LATER}' THEN 'active' ELSE 'expired' END AS later_status, count(*) AS lots
 FROM lots GROUP BY valid_date, certification_status""")

@@ -6,8 +6,8 @@ from marketpanel.functions import dates, numeric, text
 from marketpanel.operators import panel, resolve, skew
 from marketpanel.plans import oracle as o
 from marketpanel.plans.registry import query
-from marketpanel.sources import landing, sinks
-from marketpanel.sources.tables import ARRIVAL, IDENTITY
+from marketpanel.sources import adapters, landing, sinks
+from marketpanel.sources.tables import ARRIVAL, IDENTITY, SEMANTICS
 
 
 @query("scan_history", o.with_ctes(o.OBS) + """
@@ -141,6 +141,7 @@ def page_qc(t):
 
 def _numbered_pages(t):
     return t.read("pages").select(
+        "page_id",
         F.regexp_extract("url", r"^https?://([^/]+)/", 1).alias("host"),
         F.regexp_extract("url", r"^https?://[^/]+/[^/]+/([0-9]+)", 1).cast("bigint").alias("page_no"),
         "html",
@@ -155,6 +156,34 @@ def page_gaps(t):
     return landing.page_gaps(_numbered_pages(t), "host", "page_no")
 
 
+@query("page_sequence", rf"""WITH p AS (
+  SELECT regexp_extract(url, {_HOST}, 1) AS host, CAST(regexp_extract(url, {_PAGE_NO}, 1) AS BIGINT) AS page_no, page_id FROM pages)
+SELECT host, max(page_no) AS last_page, max(page_no + page_id % 3) AS advertised_last, count(*) FILTER (page_id % 11 = 0) AS skipping_links,
+  CASE WHEN count(*) FILTER (page_id % 11 = 0) > 0 THEN 'not_sequential' WHEN max(page_no) < max(page_no + page_id % 3) THEN 'terminated_early' ELSE 'complete' END AS status
+FROM p GROUP BY host""")
+def page_sequence(t):
+    step = F.when(F.col("page_id") % 11 == 0, 2).when(F.col("page_id") % 7 != 0, 1)
+    pages = _numbered_pages(t).withColumns({
+        "advertised_last": F.col("page_no") + F.col("page_id") % 3, "next_page": F.col("page_no") + step,
+    })
+    return landing.page_sequence(pages, "host", "page_no")
+
+
+@query("legacy_provenance", o.with_ctes(o.FEED) + """,
+l AS (SELECT *, batch_no % 3 = 0 AS old FROM feed)
+SELECT source_id, CASE WHEN old AND source_id = 'src_1' THEN 'authoritative_final' WHEN NOT old THEN source_role END AS source_role,
+  (CASE WHEN old AND source_id = 'src_1' THEN 15 WHEN NOT old THEN source_precedence END)::BIGINT AS source_precedence, count(*) AS rows
+FROM l GROUP BY ALL""")
+def legacy_provenance(t):
+    old = F.col("batch_no") % 3 == 0
+    names = ("dataset_semantics", "source_role", "source_precedence")
+    legacy = t.feed.withColumns({n: F.when(~old, F.col(n)) for n in names})
+    spec = adapters.SourceSpec("src_1", "https://source.example", "authoritative_final", SEMANTICS, 15, "1.0.0", "v1")
+    return adapters.with_default_provenance(legacy, spec).groupBy("source_id", "source_role", "source_precedence").agg(
+        F.count(F.lit(1)).alias("rows")
+    )
+
+
 @query("html_extract", r"""WITH p AS (
   SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS heading,
     regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS hrefs, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1) AS labels
@@ -275,7 +304,9 @@ def resolve_sources(t):
 SELECT {_IDENT}, feed.batch_no, feed.page_no::BIGINT AS page_no, feed.row_a, feed.row_b, feed.source_id, feed.source_role,
   feed.source_precedence::BIGINT AS source_precedence, feed.row_hash,
   coalesce((feed.batch_no, feed.page_no, feed.row_a, feed.row_b) = (w.batch_no, w.page_no, w.row_a, w.row_b), false) AS is_eligible,
-  coalesce(is_ambiguous, false) AS is_ambiguous
+  coalesce(is_ambiguous, false) AS is_ambiguous, 'sha256:' || sha256(concat_ws(chr(31), 'sha256:' || sha256(concat_ws(chr(31), feed.source_id,
+    CAST(feed.transaction_date AS VARCHAR))), feed.row_hash, CAST(feed.batch_no AS VARCHAR), CAST(feed.page_no AS VARCHAR), CAST(feed.row_a AS VARCHAR),
+    CAST(feed.row_b AS VARCHAR))) AS observation_id
 FROM feed JOIN cnt USING ({_PART}) LEFT JOIN amb USING ({_PART}) LEFT JOIN (SELECT * FROM win WHERE n = 1) w USING ({_PART})
 WHERE candidate_rows > 1 OR w.batch_no IS NULL""")
 def resolution_decisions(t):

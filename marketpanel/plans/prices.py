@@ -185,3 +185,26 @@ SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, place, canonical_i
 FROM e WHERE place <= 8""")
 def advice_evidence(t):
     return score.evidence_rows(scores(t))
+
+
+@query("advice_summary", o.SCORED + f""",
+c AS (SELECT transaction_date, least(count(*) FILTER (verdict IN ('priority', 'consider')), 5) AS n FROM scores GROUP BY ALL)
+SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, n AS priority_count, CAST(transaction_date AS VARCHAR) || '{score.HEADLINE_SUFFIX}' AS headline,
+  '{score.SUMMARY_PARTS[0]}' || CAST(n AS VARCHAR) || '{score.SUMMARY_PARTS[1]}' || '{score.NO_MODEL}' || '{score.SUMMARY_PARTS[2]}' AS summary FROM c""")
+def advice_summary(t):
+    return score.advice_summary(scores(t))
+
+
+_EVIDENCE_LANES = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
+
+
+@query("evidence_hash", o.SCORED + f""", e AS (
+SELECT *, row_number() OVER (PARTITION BY transaction_date ORDER BY {_RANK}) AS place
+FROM scores WHERE verdict IN ('priority', 'consider', 'hold', 'insufficient')),
+g AS (SELECT transaction_date, sha256(concat_ws(chr(31), CAST(place AS VARCHAR), canonical_id, CAST(score AS VARCHAR), verdict, season_status, CAST(market_count AS VARCHAR))) AS h
+  FROM e WHERE place <= 8)
+SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, count(*) AS record_count,
+  'sha256:' || sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_EVIDENCE_LANES})) AS content_hash
+FROM g GROUP BY transaction_date""")
+def evidence_hash(t):
+    return score.evidence_digest(score.evidence_rows(scores(t)))

@@ -6,7 +6,9 @@ from marketpanel.functions import dates, numeric, text
 from marketpanel.operators import panel, quality, score, spatial
 from marketpanel.plans import oracle as o
 from marketpanel.plans import prices
+from marketpanel.plans.evidence import LOTS_SQL, lots
 from marketpanel.plans.registry import query
+from marketpanel.plans.scope import PUBLICATION, publication
 from marketpanel.schemas import SOURCE_ROLES
 
 # Fixed values of the test binding.
@@ -57,6 +59,29 @@ def source_contract(t):
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("status_contract", PUBLICATION + """
+SELECT scope::BIGINT AS scope, unnest(list_filter([CASE WHEN resolved IS NULL THEN 'no_complete_day_yet' END, CASE WHEN status <> st THEN 'schedule_overrides_feed' END,
+  CASE WHEN covered > expected THEN 'covered_above_expected' END], lambda x: x IS NOT NULL)) AS rule, CAST(d AS VARCHAR) AS key FROM p2""")
+def status_contract(t):
+    """Publication rows against the status contract; the last two rules report, they do not block."""
+    rows = publication(t)
+    found = quality.violations(rows, F.struct("scope", "transaction_date"), [
+        *quality.status_rules(),
+        ("no_complete_day_yet", F.col("resolved_date").isNull()),
+        ("schedule_overrides_feed", F.col("status") != F.col("feed_state")),
+    ])
+    key = r"^\{([0-9]+), ([0-9-]+)\}$"
+    return found.select(F.regexp_extract("key", key, 1).cast("bigint").alias("scope"), "rule", F.regexp_extract("key", key, 2).alias("key"))
+
+
+@query("registry_contract", LOTS_SQL + """
+SELECT rule, count(*) AS rows FROM (SELECT unnest(list_filter([CASE WHEN tracecode IS NULL THEN 'missing_tracecode' END, CASE WHEN place IS NULL THEN 'no_coarse_place' END,
+  CASE WHEN canonical_id IS NULL THEN 'unmapped_product' END, CASE WHEN valid_date IS NULL THEN 'unknown_validity' END], lambda x: x IS NOT NULL)) AS rule FROM lots) GROUP BY rule""")
+def registry_contract(t):
+    found = quality.violations(lots(t), F.col("tracecode"), quality.registry_rules())
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("dim_checks", """WITH c AS (SELECT 'code_maps_to_many_items' AS rule, p_brand AS key, count(DISTINCT p_type) AS n FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 1),
 d AS (SELECT 'duplicate_category_name' AS rule, CASE WHEN p_size % 2 = 0 THEN 'fruit' ELSE 'vegetable' END || '|' || p_name AS key, count(*) AS n FROM part
   GROUP BY p_size % 2, p_name HAVING count(*) > 1),
@@ -178,11 +203,15 @@ _PRICE = "CASE WHEN price IS NULL THEN '—' ELSE 'NT$ ' || format('{:,.2f}', fl
 
 
 @query("report_lines", o.SCORED + f""", r AS (SELECT *, row_number() OVER (PARTITION BY transaction_date ORDER BY eligible DESC, score DESC, canonical_id) AS rank FROM scores)
-SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, rank AS line_no, '- ' || canonical_id || ': ' || CAST(score AS VARCHAR) || ' / ' || verdict || ', ' || {_PRICE} || ', ' ||
+, x AS (
+SELECT *, 'recommendations' AS section, rank AS line_no FROM r WHERE eligible AND rank <= 5
+UNION ALL SELECT * FROM (SELECT *, 'watch' AS section, row_number() OVER (PARTITION BY transaction_date ORDER BY rank) AS line_no FROM r WHERE verdict IN ('hold', 'insufficient')) WHERE line_no <= 5
+UNION ALL SELECT *, 'prices' AS section, rank AS line_no FROM r)
+SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, section, line_no, '- ' || canonical_id || ': ' || CAST(score AS VARCHAR) || ' / ' || verdict || ', ' || {_PRICE} || ', ' ||
   format('{{:,.0f}}', volume) || ' kg, ' || CASE WHEN previous_change IS NULL THEN '—' ELSE CASE WHEN previous_change > 0 THEN '+' ELSE '' END || format('{{:.1f}}', floor(previous_change * 10 + 0.5) / 10) || '%' END AS line
-FROM r""")
+FROM x""")
 def report_lines(t):
-    rows = score.ranked(prices.scores(t))
+    rows = score.report_sections(prices.scores(t))
     dash = F.lit("—")
     digits = {n: F.floor(F.col(c) * f + 0.5) / F.lit(f) for n, c, f in (("p", "price", 100.0), ("c", "previous_change", 10.0))}
     price = F.when(F.col("price").isNull(), dash).otherwise(
@@ -195,7 +224,7 @@ def report_lines(t):
         F.lit("- "), F.col("canonical_id"), F.lit(": "), F.col("score").cast("string"), F.lit(" / "), F.col("verdict"), F.lit(", "), price,
         F.lit(", "), F.format_string("%,.0f", F.col("volume")), F.lit(" kg, "), change,
     )
-    return rows.select("transaction_date", F.col("rank").alias("line_no"), line.alias("line"))
+    return rows.select("transaction_date", "section", "line_no", line.alias("line"))
 
 
 _RATIO = "CAST(l_quantity AS DOUBLE) / 25.0"

