@@ -229,10 +229,13 @@ def availability(items: DataFrame, market: DataFrame, lots: DataFrame, events: D
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("canonical_id").agg(F.count(F.lit(1)).alias(name))
 
-    active = lots.filter(F.col("certification_status") == "active")
+    per_lot = lots.groupBy("canonical_id").agg(
+        F.count(F.lit(1)).alias("lots"), F.count_if(F.col("certification_status") == "active").alias("active_lots")
+    )
     out = items.select("canonical_id", "display_name")
-    for df, name in ((market, "market_rows"), (active, "active_lots"), (lots, "lots"), (events, "events")):
-        out = out.join(counted(df, name), "canonical_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    for df in (counted(market, "market_rows"), per_lot, counted(events, "events")):
+        out = out.join(df, "canonical_id", "left")
+    out = out.fillna(0, ["market_rows", "lots", "active_lots", "events"])
     return out.withColumns({
         "has_market": F.col("market_rows") > 0, "has_active_lot": F.col("active_lots") > 0,
     })

@@ -95,17 +95,20 @@ def describe(months: DataFrame, item: str, value: str = "value", status: str = "
 def month_changes(months: DataFrame, item: str, value: str = "value", status: str = "value_status") -> DataFrame:
     """Change of each valid month against one and twelve calendar months before.
 
-    Calendar months, not rows: a shifted equi-join finds exactly that month or nothing.
+    Calendar months, not rows: a range frame of exactly that month on a month counter finds it or
+    nothing, on one sort and without a self-join.
     """
     valid = months.filter(F.col(status) == "valid").select(item, "period", F.col(value).alias("value"))
-    out = valid
-    for months_back, name in ((1, "month_ago"), (12, "year_ago")):
-        shifted = valid.select(item, shift_months(F.col("period"), months_back).alias("period"), F.col("value").alias(name))
-        out = out.join(shifted, [item, "period"], "left")
+    counted = valid.withColumn("_month", F.year("period") * 12 + F.month("period"))
+    by_month = Window.partitionBy(item).orderBy("_month")
+    out = counted.withColumns({
+        name: F.max("value").over(by_month.rangeBetween(-back, -back))
+        for back, name in ((1, "month_ago"), (12, "year_ago"))
+    })
     return out.withColumns({
         "mom_pct": round6(change_pct(F.col("value"), F.col("month_ago"))),
         "yoy_pct": round6(change_pct(F.col("value"), F.col("year_ago"))),
-    })
+    }).drop("_month")
 
 
 def retail_items(described: DataFrame, mapping: DataFrame, item: str = "item_raw") -> DataFrame:

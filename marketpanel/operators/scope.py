@@ -299,16 +299,11 @@ def market_gap(rows: DataFrame, first: int, second: int) -> DataFrame:
 
 def market_coverage(rows: DataFrame) -> DataFrame:
     """Distinct valid days and crops per market."""
-    cells = rows.filter(is_trade()).select("market_code", "crop_code", "transaction_date").distinct()
-    days = cells.groupBy("market_code", "transaction_date").agg(F.count(F.lit(1)).alias("crops"))
-    per_market = days.groupBy("market_code").agg(
-        F.count(F.lit(1)).alias("valid_days"), F.max("crops").alias("most_crops"),
+    return rows.filter(is_trade()).groupBy("market_code").agg(
+        F.count_distinct("transaction_date").alias("valid_days"),
+        F.count_distinct("crop_code").alias("observed_crops"),
         F.max("transaction_date").alias("last_valid_date"),
     )
-    crops = cells.select("market_code", "crop_code").distinct().groupBy("market_code").agg(
-        F.count(F.lit(1)).alias("observed_crops")
-    )
-    return per_market.join(crops, "market_code")
 
 
 def scaled_marks(daily: DataFrame, group: str) -> DataFrame:

@@ -6,6 +6,7 @@ from marketpanel.functions import dates, numeric
 from marketpanel.operators import monthly
 from marketpanel.plans import oracle as o
 from marketpanel.plans.registry import query
+from marketpanel.sources.sinks import materialize
 
 CUTOFF = "1998-06-30"
 CHUNK_BATCHES = 4096
@@ -111,10 +112,10 @@ def supply_trend(t):
         numeric.hundredths_to_double(F.max("price_c")).alias("price"),
     )
     blank = (F.col("category") == "LARGE") & (F.month("period") == 7)
-    months = months.withColumns({
+    months = materialize(months.withColumns({
         "volume_status": F.when(F.col("volume") > 0, "valid").otherwise("zero_reported"),
         "price_status": F.when(blank, "missing").when(F.col("price") > 0, "valid").otherwise("zero_reported"),
-    })
+    }), "supply-months")
     return monthly.supply_trend(
         monthly.describe(months, "category", "volume", "volume_status"),
         monthly.describe(months, "category", "price", "price_status"),

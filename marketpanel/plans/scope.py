@@ -298,9 +298,9 @@ def market_gap(t):
 
 
 @query("market_coverage", o.with_ctes(*_CHECKED) + """,
-pd AS (SELECT market_code, transaction_date, count(*) AS crops FROM single WHERE trade GROUP BY ALL)
-SELECT market_code::BIGINT AS market_code, count(*) AS valid_days, max(crops) AS most_crops, CAST(max(transaction_date) AS VARCHAR) AS last_valid_date,
-  (SELECT count(DISTINCT crop_code) FROM single s WHERE trade AND s.market_code = pd.market_code) AS observed_crops
+pd AS (SELECT * FROM single WHERE trade)
+SELECT market_code::BIGINT AS market_code, count(DISTINCT transaction_date) AS valid_days, count(DISTINCT crop_code) AS observed_crops,
+  CAST(max(transaction_date) AS VARCHAR) AS last_valid_date
 FROM pd GROUP BY market_code""")
 def market_coverage(t):
     return scope.market_coverage(scope.single_rows(checked(t)))
@@ -318,7 +318,7 @@ def scaled_marks(t):
         (F.col("price_c").cast("double") / 100.0).alias("price"),
         (F.col("volume_c").cast("double") / 100.0).alias("volume"),
     )
-    return scope.scaled_marks(rows, "crop_code")
+    return scope.scaled_marks(materialize(rows, "marks"), "crop_code")
 
 
 @query("calendar_year", o.with_ctes(o.OBS, calendar_cte()) + """,

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from marketpanel.operators import season
 from marketpanel.plans import oracle as o
 from marketpanel.plans.registry import query
+from marketpanel.sources.sinks import materialize
 
 # Fixed values of the test binding: authored symbols and category ranks.
 SYMBOLS = (("fruit", "small ring", "ring"), ("fruit", "red ring", "ring"), ("vegetable", "blue bolt", "bolt"))
@@ -201,7 +202,7 @@ def refresh_decision(t):
         F.when((m == 5) | (F.col("l_linenumber") % 2 == 0), "fruit").otherwise("vegetable").alias("category"),
         F.when((m == 8) & (F.col("l_linenumber") == 3), "stale").otherwise("live").alias("source_status"),
     )
-    seen = rows.select("snapshot").distinct()
+    seen = materialize(rows.select("snapshot").distinct(), "snapshots")
     absent = seen.select(F.add_months("snapshot", -1200).alias("snapshot"))
     requested = seen.unionByName(absent).select("snapshot", _month("snapshot").alias("month"), (m == 2).alias("is_forced"))
     return season.refresh_decision(requested, cached, "snapshot")

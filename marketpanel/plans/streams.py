@@ -45,7 +45,8 @@ def stream_upsert(t):
 FROM events GROUP BY CAST(ts AS DATE), event_type""")
 def stream_daily(t):
     folder = work_folder(t.spark, "stream-daily")
-    stream = _event_stream(t).withColumn("ts", F.col("ts").cast("timestamp"))
+    utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
+    stream = _event_stream(t).withColumn("ts", utc)
     totals = upserts.daily_totals(stream, "ts", "event_type", F.round(F.col("value") * 100).cast("bigint"))
     _finish(upserts.keyed_updates_stream(totals, f"{folder}/table", f"{folder}/checkpoint", ["day", "event_type"], "day"))
     return t.spark.read.parquet(f"{folder}/table").select("day", "event_type", "event_count", "total_c")

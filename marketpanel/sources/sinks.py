@@ -52,8 +52,9 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 def overwrite_partitions(rows: DataFrame, path: str, partition: str) -> None:
     """Replace only the partitions present in `rows`. Rows are clustered by partition first, so a
-    task writes few files; adaptive execution may split a hot date over several tasks."""
-    rows.repartition(partition).write.mode("overwrite").option(
+    task writes few files; the rebalance lets adaptive execution split a hot date over many tasks
+    and merge small ones."""
+    rows.hint("rebalance", partition).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy(partition).parquet(path)
 

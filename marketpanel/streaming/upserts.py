@@ -69,12 +69,15 @@ def upsert_stream(
 
 def daily_totals(stream: DataFrame, ts: str, item: str, amount: Column, delay: str = "4 days") -> DataFrame:
     """Daily tumbling totals per item with a bounded state: a day leaves the state when the
-    watermark has passed it."""
+    watermark has passed it. Days are UTC days, whatever the session's zone."""
     return (
         stream.withWatermark(ts, delay)
         .groupBy(F.window(ts, "1 day"), item)
         .agg(F.count(F.lit(1)).alias("event_count"), F.sum(amount).alias("total_c"))
-        .select(F.col("window.start").cast("date").alias("day"), item, "event_count", "total_c")
+        .select(
+            F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86400).cast("int")).alias("day"),
+            item, "event_count", "total_c",
+        )
     )
 
 
