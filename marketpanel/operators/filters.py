@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,13 +18,14 @@ def is_synthetic() -> Column:
     return (marks[0] == SYNTHETIC_MARK) | (marks[1] == SYNTHETIC_MARK)
 
 
-def is_synthetic_anywhere() -> Column:
-    """The wide form: a mark in any of the four provenance fields a row may carry."""
-    return (
-        is_synthetic()
-        | (F.coalesce(F.col("data_mode"), F.lit("")) == SYNTHETIC_MARK)
-        | F.coalesce(F.col("is_fixture"), F.lit(False))
-    )
+def is_synthetic_anywhere(columns: Sequence[str]) -> Column:
+    """The wide form: a mark in any of the provenance fields the rows carry."""
+    marked = is_synthetic()
+    if "data_mode" in columns:
+        marked = marked | (F.coalesce(F.col("data_mode"), F.lit("")) == SYNTHETIC_MARK)
+    if "is_fixture" in columns:
+        marked = marked | F.coalesce(F.col("is_fixture"), F.lit(False))
+    return marked
 
 
 def analysis_rows(observations: DataFrame, include_synthetic: bool = False) -> DataFrame:

@@ -137,7 +137,7 @@ def with_provenance(scoped: DataFrame, manifests: DataFrame) -> DataFrame:
     return joined.withColumn(
         "reason",
         reject_reason(
-            ("fixture", is_synthetic_anywhere()),
+            ("fixture", is_synthetic_anywhere(scoped.columns)),
             ("invalid_market_identity", F.col("name_drift")),
             ("invalid_row", F.col("canonical_id").isNull() | (F.length(F.trim("crop_name_raw")) == 0)),
             ("invalid_value", (F.col("price_c") < 0) | (F.col("volume_c") < 0)),
