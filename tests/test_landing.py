@@ -152,3 +152,18 @@ def test_snapshots_and_exports(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "c")).collect()] == ["k,v,n", "a,1,"]
     sinks.write_json(one, str(tmp_path / "j"))
     assert [r.value for r in spark.read.text(str(tmp_path / "j")).collect()] == ['{"k":"a","n":null,"v":1}']
+
+
+def test_pagination_links_and_sequence(spark):
+    def page(numbers, nxt):
+        links = "".join(f'<a href="?page={n}" title="第{n}頁">{n}</a>' for n in numbers)
+        return f'<ul class="pagination">{links}<a href="{nxt}" title="下一頁">next</a></ul>'
+
+    pages = spark.createDataFrame([
+        ("a", 1, page([1, 2], "x?type=1&amp;page=2&period=8")), ("a", 2, page([1, 2], "#")),
+        ("b", 1, page([1, 3], "x?type=1&page=3")), ("c", 1, page([1, 2], "#"))], "batch string, page_no int, html string")
+    read = landing.pagination(pages)
+    out = {(r.batch, r.page_no): (r.has_current, r.advertised_last, r.next_page) for r in read.collect()}
+    assert out["a", 1] == (True, 2, 2) and out["a", 2] == (True, 2, None)
+    status = {r.batch: r.status for r in landing.page_sequence(read, "batch", "page_no").collect()}
+    assert status == {"a": "complete", "b": "not_sequential", "c": "terminated_early"}
