@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -18,15 +17,11 @@ _CSV_OPTIONS = {
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint directory of the cluster.
-
-    Only where the session names none and runs locally (tests) is a temporary folder made.
-    """
+    """A fresh folder under the shared directory that `spark.checkpoint.dir` names; a session that
+    names none gets one in its warehouse, which driver and executors share as well."""
     base = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
