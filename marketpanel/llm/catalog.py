@@ -1,4 +1,4 @@
 """All registered queries of the text operators."""
 
-from marketpanel.llm import shards  # noqa: F401
+from marketpanel.llm import quality_rules, shards  # noqa: F401
 from marketpanel.llm.common import ORACLES, QUERIES  # noqa: F401
