@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ def text_bytes(docs: DataFrame, *extra: str) -> DataFrame:
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about `limit` bytes of `column`, one row at least."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes) // limit
         starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for lo, hi in zip(starts, starts[1:]):
