@@ -36,6 +36,14 @@ def text_bytes(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), body.alias("body"), *extra)
 
 
+def with_body(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` plus the text as UTF-8 bytes (null: empty), under a name that no column has."""
+    name = "body"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    return docs.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")), name
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about `limit` bytes of `column`, one row at least."""
     for batch in batches:
