@@ -1,4 +1,4 @@
 """All registered queries of the text operators."""
 
-from marketpanel.llm import bpe, decontaminate, near_dup, quality_rules, shards, url_filter  # noqa: F401
+from marketpanel.llm import bpe, decontaminate, near_dup, pii, quality_rules, shards, url_filter  # noqa: F401
 from marketpanel.llm.common import ORACLES, QUERIES  # noqa: F401
