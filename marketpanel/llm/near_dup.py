@@ -2,11 +2,11 @@
 
 A document is the set of its distinct five-word shingles. Copies of a set collapse to one class first.
 Bands of full minima give candidates; signatures keep the low bits of the minima, and the share of
-equal ones, corrected for chance collisions, estimates the similarity. What passes the estimate is
-confirmed on the full sets. Inside a bucket not all pairs are emitted: the first round takes a maximal
-spanning forest of the estimates, later rounds the best untried pairs between different components, in
-growing numbers, until none is left that the estimate admits. So no link that joins two components is
-lost but by the bands (below 1e-7 at the threshold) or the margin of the estimate (5 deviations).
+equal ones, corrected for chance collisions, estimates the similarity. Inside a bucket not all pairs are
+emitted but a maximal spanning forest of those that the estimate admits, which joins the same classes.
+The loose groups so found are compared on their full sets, in blocks, and again only a spanning forest
+of the confirmed links leaves a block. So no link that joins two components is lost but by the bands
+(below 1e-7 at the threshold) or the margin of the estimate (5 deviations).
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ WORDS = -(-LANES * BITS // 64)
 # Shared and united shingles: linked if LINK[1] * shared >= LINK[0] * united.
 LINK = (85, 100)
 MARGIN = 0.17
-CHUNK = 512  # members of a bucket that one group compares, times two
+# Members, and their shingles, of a chunk; a group compares two chunks.
+CHUNK, CHUNK_SHINGLES = 512, 1 << 20
 SLICE = 4 << 20
 
 
@@ -130,116 +131,114 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _groups(batches: Iterator[pa.RecordBatch]):
-    """(ids, signatures, labels) of each run of equal (key, i, j) in sorted rows."""
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Each run of equal (key, i, j) in sorted rows that has two rows or more."""
     held: list[pa.RecordBatch] = []
 
-    def cut(rows: pa.Table, last: bool):
+    def starts(rows: pa.Table) -> np.ndarray:
         key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
-        ends = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-        ids, labels = rows.column("id").to_numpy(), rows.column("label").to_numpy()
-        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(-1, WORDS)
-        stops = [0, *ends.tolist()] + [len(key)] * last
+        return np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+
+    def cut(rows: pa.Table, stops: list[int]):
         for lo, hi in zip(stops, stops[1:]):
             if hi - lo > 1:
-                yield ids[lo:hi], sig[lo:hi], labels[lo:hi]
+                yield rows.slice(lo, hi - lo)
 
     for batch in batches:
-        rows = pa.Table.from_batches([*held, batch])
-        if not rows.num_rows:
+        if not batch.num_rows:
             continue
-        yield from cut(rows, False)
-        key, i, j = (rows.column(c).to_numpy() for c in ("key", "i", "j"))
-        start = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0))
-        rest = rows.slice(int(start[-1]) + 1 if len(start) else 0).combine_chunks()
-        held = rest.to_batches()
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+        at = starts(rows).tolist()
+        yield from cut(rows, [0, *at])
+        held = rows.slice(at[-1] if at else 0).to_batches()
     if held:
-        yield from cut(pa.Table.from_batches(held), True)
-
-
-def _pairs(a: list, b: list, more: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"]
-    )
+        rows = pa.Table.from_batches(held).combine_chunks()
+        yield from cut(rows, [0, *starts(rows).tolist(), rows.num_rows])
 
 
-def _forest(least: float):
-    """Pairs of a maximal spanning forest of the estimates in each group, grown from the first member."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a: list[int] = []
-        b: list[int] = []
-        for ids, sig, _ in _groups(batches):
-            m = len(ids)
-            best, near = estimate(sig[0], sig), np.zeros(m, np.int64)
-            out = np.ones(m, bool)
-            out[0] = False
-            for _ in range(m - 1):
-                x = int(np.argmax(np.where(out, best, -2.0)))
-                if best[x] >= least:
-                    a.append(int(ids[x]))
-                    b.append(int(ids[near[x]]))
-                out[x] = False
-                if m > 2:
-                    new = estimate(sig[x], sig)
-                    better = new > best
-                    best[better], near[better] = new[better], x
-            if len(a) > 20_000:
-                yield _pairs(a, b, [False] * len(a))
-                a, b = [], []
-        yield _pairs(a, b, [False] * len(a))
-
-    return run
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _between(least: float, most: int):
-    """The `most` best pairs between each two components of a group; `more` if there are others."""
+def _in_batches(each):
+    """A task that sends on the pairs that `each` finds in its groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sig, labels in _groups(batches):
-            found = []
-            for x in range(len(ids) - 1):
-                other = np.flatnonzero(labels[x + 1:] != labels[x]) + x + 1
-                if len(other):
-                    value = estimate(sig[x], sig[other])
-                    good = value >= least
-                    if good.any():
-                        found.append(np.column_stack([np.full(good.sum(), x), other[good], -value[good] * 1e6]).astype(np.int64))
-            if not found:
-                continue
-            x, y, cost = np.concatenate(found).T
-            lx, ly = np.minimum(labels[x], labels[y]), np.maximum(labels[x], labels[y])
-            order = np.lexsort((ids[y], ids[x], cost, ly, lx))
-            lx, ly, x, y = lx[order], ly[order], x[order], y[order]
-            first = np.r_[True, (np.diff(lx) != 0) | (np.diff(ly) != 0)]
-            rank = np.arange(len(x)) - np.maximum.accumulate(np.where(first, np.arange(len(x)), 0))
-            keep = rank < most
-            yield _pairs(ids[x[keep]].tolist(), ids[y[keep]].tolist(), [not keep.all()] * int(keep.sum()))
+        found: list[tuple[int, int]] = []
+        for group in _groups(batches):
+            found += each(group)
+            if len(found) > 20_000:
+                yield _pairs(found)
+                found = []
+        yield _pairs(found)
 
     return run
 
 
-_PAIRS = "a bigint, b bigint, more boolean"
-
-
-def _in_groups(members: DataFrame, run) -> DataFrame:
-    """Apply `run` to the members of each bucket. A bucket of many is cut into chunks, and each two chunks
-    meet in a group of their own, so no group grows with the bucket."""
-    chunks = F.greatest(F.lit(1), F.ceil(F.col("m") / CHUNK).cast("int"))
-    rows = members.withColumn("_c", F.pmod(F.xxhash64("id"), chunks)).withColumn("_o", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.filter((F.col("_c") != F.col("_o")) | (F.col("m") <= CHUNK))
-    rows = rows.select("key", F.least("_c", "_o").cast("int").alias("i"), F.greatest("_c", "_o").cast("int").alias("j"), "id", "sig", "label")
+def _forest(least: float):
+    """Pairs of a maximal spanning forest of the estimates in a group, grown from its first member."""
+
+    def each(group: pa.Table) -> list[tuple[int, int]]:
+        ids = group.column("id").to_numpy()
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint64).reshape(-1, WORDS)
+        found, m = [], len(ids)
+        best, near = estimate(sig[0], sig), np.zeros(m, np.int64)
+        best[0] = -2.0
+        out = np.arange(m) > 0
+        for _ in range(m - 1):
+            x = int(np.argmax(best))
+            if best[x] >= least:
+                found.append((int(ids[x]), int(ids[near[x]])))
+            out[x] = False
+            if m > 2:
+                new = estimate(sig[x], sig)
+                better = out & (new > best)
+                best[better], near[better] = new[better], x
+            best[x] = -2.0
+        return found
+
+    return each
+
+
+def _confirmed(link: tuple[int, int]):
+    """Pairs of a spanning forest of the links in a group, judged on the full sets."""
+
+    def each(group: pa.Table) -> list[tuple[int, int]]:
+        ids, lists = group.column("id").to_numpy(), group.column("shingles").combine_chunks()
+        offsets = lists.offsets.to_numpy()
+        sizes, values = np.diff(offsets), lists.values.to_numpy()[offsets[0]:offsets[-1]]
+        if len(ids) == 2:
+            shared = sizes.sum() - len(np.unique(values))
+            return [(int(ids[0]), int(ids[1]))] if link[1] * shared >= link[0] * (sizes.sum() - shared) else []
+        starts = offsets[:-1] - offsets[0]
+        names, places = np.unique(values, return_inverse=True)
+        mark, root, found = np.zeros(len(names), np.int64), np.arange(len(ids)), []
+        for x in range(len(ids) - 1):
+            if (root == root[x]).all():
+                break
+            own = places[starts[x]:starts[x] + sizes[x]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[places], starts)
+            mark[own] = 0
+            linked = np.flatnonzero((link[1] * shared >= link[0] * (sizes[x] + sizes - shared)) & (root != root[x]))
+            for y in linked.tolist():
+                if root[y] != root[x]:
+                    found.append((int(ids[x]), int(ids[y])))
+                    root[root == root[y]] = root[x]
+        return found
+
+    return each
+
+
+def _in_groups(members: DataFrame, chunks, each) -> DataFrame:
+    """Pairs that `each` finds among the members of a key. A key of many is cut into `chunks`, and each two
+    chunks meet in a group of their own, so no group grows with the number of members."""
+    rows = members.withColumn("_n", F.greatest(F.lit(1), chunks.cast("int"))).withColumn("_c", F.pmod(F.xxhash64("id"), F.col("_n")))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).filter((F.col("_c") != F.col("_o")) | (F.col("_n") == 1))
+    rows = rows.withColumns({"i": F.least("_c", "_o").cast("int"), "j": F.greatest("_c", "_o").cast("int")}).drop("m", "n", "_n", "_c", "_o")
     dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    return dealt.mapInArrow(run, _PAIRS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "more").filter("a < b")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, link: tuple[int, int]) -> DataFrame:
-    """Pairs whose full sets are similar enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    shared = F.size(F.array_intersect("sa", "sb"))
-    united = F.size("sa") + F.size("sb") - shared
-    return pairs.join(left, "a").join(right, "b").filter(link[1] * shared >= link[0] * united).select("a", "b")
+    return dealt.mapInArrow(_in_batches(each), "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct()
 
 
 def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
@@ -262,36 +261,20 @@ def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     banded = classes.select("id", "digest", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     placed = materialize(banded.join(shared, "key"), "near-buckets")
-    wanted = placed.select(F.col("id").alias("doc_id"), "digest").distinct()
-    sets = materialize(
-        text_bytes(docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")).mapInArrow(_sets, "id bigint, digest binary, shingles array<bigint>")
-        .join(wanted.select(F.col("doc_id").alias("id"), "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "shingles"),
-        "near-sets",
-    )
-    members = placed.drop("digest").join(classes.select("digest", "sig", F.col("id").alias("_id")), F.col("id") == F.col("_id")).drop("_id", "digest")
-    # A doc_id that repeats with different texts: its links count for the doc_id.
-    members = materialize(members.withColumn("label", F.col("id")), "near-members")
-
-    tried = materialize(_in_groups(members, _forest(least)).select("a", "b").distinct(), "near-pairs")
-    links = materialize(_confirmed(tried, sets, link), "near-links")
+    members = placed.join(classes.select("digest", "sig"), "digest").select("key", "m", "id", "sig")
+    near = materialize(_in_groups(members, F.ceil(F.col("m") / CHUNK), _forest(least)), "near-pairs")
+    loose = materialize(components(near), "near-loose")
+    # The sets of these classes are made again from the texts, as most documents never need theirs. Both
+    # joins are told to shuffle, so that the plan is the same for any size.
+    wanted = classes.join(loose, "id", "left_semi").select("id", "digest")
+    texts = text_bytes(docs).join(wanted.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, "id bigint, digest binary, shingles array<bigint>").join(wanted.hint("merge"), ["id", "digest"], "left_semi")
+    sets = materialize(sets.dropDuplicates(["id", "digest"]).select("id", "shingles"), "near-sets")
+    sized = sets.select("id", F.size("shingles").alias("n")).join(loose, "id").groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    grouped = sets.join(loose.join(sized, "label"), "id").withColumnRenamed("label", "key")
+    chunks = F.ceil(F.greatest(F.col("m") / CHUNK, F.col("n") / CHUNK_SHINGLES))
+    links = materialize(_in_groups(grouped, chunks, _confirmed(link)), "near-links")
     labels = materialize(components(links), "near-labels")
-    most = 4
-    while True:
-        now = members.drop("label").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        mixed = now.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
-        found = materialize(_in_groups(now.join(mixed, "key", "left_semi"), _between(least, most)), "near-pairs")
-        fresh = materialize(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        if fresh.isEmpty():
-            if found.filter("more").isEmpty():
-                break
-            most *= 8
-            continue
-        more = materialize(_confirmed(fresh, sets, link), "near-links")
-        tried = tried.union(fresh)
-        if not more.isEmpty():
-            links = links.union(more)
-            labels = materialize(components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(more)), "near-labels")
-        most *= 8
     classes_ = classes.select("digest", "id", "copies")
     moved = materialize(
         classes_.join(labels, "id", "left").withColumn("component", F.coalesce("label", "id")).filter("copies > 1 OR component <> id").select("digest", "component"),
