@@ -164,15 +164,16 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the rules keep, with their own columns. Cutoffs come from the labelled
-    documents alone; then the rules run in the scan of all of them."""
-    good = labels.filter("quality = 1").select("doc_id").distinct()
-    plain = _plain(docs)
-    labelled = text_stats(plain.join(good, "doc_id", "left_semi"))
-    cutoffs = materialize(certified_cutoffs(labelled, labels), "quality-cutoffs")
+    """The rows of `docs` that the rules keep, with their own columns.
+
+    Rows and statistics are written once: the cutoffs read the narrow columns of labelled documents, and the
+    verdict then filters written values (Spark would otherwise copy the statistics into the filter).
+    """
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                         F.col("doc_id"), F.col("lang"), F.col("text"))
-    return judge(text_stats(packed), cutoffs).filter("kept").select("row.*")
+                         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang"), F.col("text"))
+    held = materialize(text_stats(packed).drop("text"), "quality-rows")
+    cutoffs = materialize(certified_cutoffs(held, labels), "quality-cutoffs")
+    return judge(held, cutoffs).filter("kept").select("row.*")
 
 
 _WORDS_SQL = r"list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
