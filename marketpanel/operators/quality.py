@@ -48,7 +48,7 @@ def duplicate_keys(rows: DataFrame, rule: str, keys: Sequence[str]) -> DataFrame
 def require_clean(found: DataFrame, blocking: Sequence[str] | None = None) -> None:
     """Refuse to go on when a blocking rule has rows. Only rule names and counts reach the driver."""
     held = found if blocking is None else found.filter(F.col("rule").isin(*blocking))
-    counts = held.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).orderBy("rule").limit(100).collect()
+    counts = held.groupBy("rule").agg(F.count(F.lit(1)).alias("n")).orderBy("rule").collect()
     if counts:
         raise ContractViolation(", ".join(f"{row['rule']}: {row['n']}" for row in counts))
 
@@ -164,21 +164,45 @@ def text_policy(
     return texts.select(*keep, F.explode(broken).alias("rule"))
 
 
+# A link attribute of a, link, area, script, img or iframe, in either kind of quotes.
+_LINK = r"""(?is)<(?:a|link|area|script|img|iframe)\b[^>]*?\b(?:href|src)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+
+
+def resolved(page: Column, href: Column) -> Column:
+    """Absolute address of a link without its query and fragment, as seen from the address of its page."""
+    site = F.regexp_extract(page, r"^(https?://[^/?#]+)", 1)
+    own = F.regexp_replace(F.regexp_replace(page, r"^https?://[^/?#]+", ""), r"[?#].*$", "")
+    target = F.regexp_replace(href, r"[?#].*$", "")
+    folder = F.regexp_replace(F.when(own == "", "/").otherwise(own), r"[^/]*$", "")
+    path = F.when(target == "", own).when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(folder, target))
+    # Segment by segment: "." is nothing, ".." takes the last one away.
+    steps = F.split(path, "/")
+    kept = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda done, step: F.when(step == ".", done)
+        .when(step == "..", F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(done))
+        .otherwise(F.concat(done, F.array(step))),
+    )
+    last = F.element_at(steps, -1)
+    ends = F.when(last.isin(".", "..") , F.lit("/")).otherwise(F.lit(""))
+    return F.concat(site, F.array_join(kept, "/"), ends)
+
+
 def page_links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Absolute targets of site links; external schemes, anchors and mail links are left out."""
-    base = F.regexp_extract(url, r"^(https?://[^/]+)", 1)
-    links = F.regexp_extract_all(html, F.lit(r'href="([^"]*)"'), F.lit(1))
-    out = pages.select("page_id", base.alias("_base"), F.explode(links).alias("href"))
-    inside = out.filter(~F.col("href").rlike("^(https:|http:|#|mailto:)"))
-    path = F.regexp_replace("href", r"[?#].*$", "")
-    return inside.select("page_id", "href", F.concat("_base", path).alias("target"))
+    """Absolute targets of site links; external schemes, anchors, mail and script links are left out."""
+    both = F.zip_with(
+        F.regexp_extract_all(html, F.lit(_LINK), F.lit(1)), F.regexp_extract_all(html, F.lit(_LINK), F.lit(2)), lambda a, b: F.concat(a, b)
+    )
+    out = pages.select("page_id", F.col(url).alias("_page"), F.explode(both).alias("href"))
+    inside = out.filter(~F.col("href").rlike("(?i)^([a-z][a-z0-9+.-]*:|//|#)"))
+    return inside.select("page_id", "href", resolved(F.col("_page"), F.col("href")).alias("target"))
 
 
 def broken_links(pages: DataFrame) -> DataFrame:
     """Targets without a page. Links collapse to distinct targets before the anti-join, so a target
     linked from everywhere is one row."""
     targets = page_links(pages).groupBy("target").agg(F.count(F.lit(1)).alias("links"))
-    known = pages.select(F.regexp_replace("url", r"[?#].*$", "").alias("target")).distinct()
+    known = pages.select(resolved(F.col("url"), F.lit("")).alias("target")).distinct()
     return targets.join(known, "target", "left_anti")
 
 

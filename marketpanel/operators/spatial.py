@@ -15,29 +15,25 @@ CENTRAL_MERIDIAN, SCALE, FALSE_EASTING = 121.0, 0.9999, 250000.0
 
 
 def transverse_mercator(longitude: Column, latitude: Column) -> tuple[Column, Column]:
-    """Easting and northing in metres: the standard series of the transverse Mercator projection."""
-    e2 = FLATTENING * (2 - FLATTENING)
-    ep2 = e2 / (1 - e2)
-    arc = (
-        1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256,
-        3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024,
-        15 * e2**2 / 256 + 45 * e2**3 / 1024,
-        35 * e2**3 / 3072,
+    """Easting and northing in metres, by Krüger's series in the third flattening (order 4)."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    series = (
+        n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180,
+        13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440,
+        61 * n**3 / 240 - 103 * n**4 / 140,
+        49561 * n**4 / 161280,
     )
-    phi = F.radians(latitude)
-    sine, cosine, tangent = F.sin(phi), F.cos(phi), F.tan(phi)
-    normal = F.lit(SEMI_MAJOR) / F.sqrt(1 - e2 * sine * sine)
-    t, c = tangent * tangent, ep2 * cosine * cosine
-    a = cosine * F.radians(longitude - CENTRAL_MERIDIAN)
-    a2 = a * a
-    meridian = SEMI_MAJOR * (
-        arc[0] * phi - arc[1] * F.sin(2 * phi) + arc[2] * F.sin(4 * phi) - arc[3] * F.sin(6 * phi)
-    )
-    east = a * (1 + a2 * ((1 - t + c) / 6 + a2 * (5 - 18 * t + t * t + 72 * c - 58 * ep2) / 120))
-    north = a2 * (
-        0.5 + a2 * ((5 - t + 9 * c + 4 * c * c) / 24 + a2 * (61 - 58 * t + t * t + 600 * c - 330 * ep2) / 720)
-    )
-    return FALSE_EASTING + SCALE * normal * east, SCALE * (meridian + normal * tangent * north)
+    eccentric = 2 * n**0.5 / (1 + n)
+    sine, offset = F.sin(F.radians(latitude)), F.radians(longitude - CENTRAL_MERIDIAN)
+    conformal = F.sinh(F.atanh(sine) - eccentric * F.atanh(eccentric * sine))
+    xi = F.atan2(conformal, F.cos(offset))
+    eta = F.atanh(F.sin(offset) / F.sqrt(1 + conformal * conformal))
+    north, east = xi, eta
+    for j, a in enumerate(series, 1):
+        north = north + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    return FALSE_EASTING + SCALE * radius * east, SCALE * radius * north
 
 
 def polygon_edges(vertices: DataFrame) -> DataFrame:

@@ -127,16 +127,20 @@ _PAGE_NO = r"'^https?://[^/]+/[^/]+/([0-9]+)'"
 
 
 @query("page_qc", rf"""WITH p AS (
-  SELECT regexp_extract(url, {_HOST}, 1) AS host, CAST(regexp_extract(url, {_PAGE_NO}, 1) AS BIGINT) AS page_no, html FROM pages),
+  SELECT regexp_extract(url, {_HOST}, 1) AS host, CAST(regexp_extract(url, {_PAGE_NO}, 1) AS BIGINT) AS page_no,
+    CASE page_id % 5 WHEN 0 THEN html WHEN 1 THEN '  ' ELSE '[' || html || ']' END AS html FROM pages),
 a AS (SELECT host, count(*) AS page_rows, count(DISTINCT page_no) AS distinct_pages, min(page_no) AS first_page,
     max(page_no) AS last_page, count(*) FILTER (length(trim(html)) = 0) AS empty_bodies,
     count(*) FILTER (regexp_matches(html, '^\s*<')) AS html_bodies, count(*) FILTER (length(html) > 20000) AS oversize_bodies,
     count(*) - count(DISTINCT html) AS repeated_bodies FROM p GROUP BY host)
 SELECT *, last_page - first_page + 1 - distinct_pages AS missing_pages,
-  CASE WHEN repeated_bodies > 0 THEN 'repeated_page' WHEN last_page - first_page + 1 > distinct_pages THEN 'page_gap' ELSE 'complete' END AS status
+  CASE WHEN repeated_bodies > 0 THEN 'repeated_page' WHEN empty_bodies > 0 THEN 'empty_body' WHEN html_bodies > 0 THEN 'html_body'
+    WHEN oversize_bodies > 0 THEN 'oversize_body' WHEN last_page - first_page + 1 > distinct_pages THEN 'page_gap' ELSE 'complete' END AS status
 FROM a""")
 def page_qc(t):
-    return landing.page_set_checks(_numbered_pages(t), "host", "page_no", "html", longest=20000)
+    kind = F.col("page_id") % 5
+    body = F.when(kind == 0, F.col("html")).when(kind == 1, "  ").otherwise(F.concat(F.lit("["), F.col("html"), F.lit("]")))
+    return landing.page_set_checks(_numbered_pages(t).withColumn("html", body), "host", "page_no", "html", longest=20000)
 
 
 def _numbered_pages(t):
@@ -203,7 +207,7 @@ def _landed_files(t):
     header = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "﻿序號,項目,平均(元/台斤)")
         .when(F.col("o_orderpriority") == "2-HIGH", "序號,縣市名,縣市別代碼,項目,平均(元/台斤)")
-        .when(F.col("o_orderpriority") == "3-MEDIUM", "類別,交易量（公斤）,平均價格（元／公斤）")
+        .when(F.col("o_orderpriority") == "3-MEDIUM", '"類別","交易量（公斤）",平均價格（元／公斤）')
         .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "a,b,c")
         .otherwise("類別,交易量(公斤),平均價格(元/公斤)")
     )
@@ -211,7 +215,7 @@ def _landed_files(t):
     line = (
         F.when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("1,臺北市,63,"), key, F.lit(",45")))
         .when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("魚,1,"), key, F.lit(",9")))
-        .otherwise(F.concat(F.lit("x , "), key, F.lit(' ,"1,250"')))
+        .otherwise(F.concat(F.lit("x , "), key, F.lit(' ,"1,\n250"')))
     )
     body = F.concat(header, F.lit("\r\n"), line, F.lit("\n\n , ,\n"), line)
     return t.read("orders").select("o_orderkey", body.alias("raw_text"))
@@ -225,27 +229,63 @@ SELECT o_orderkey, contract, CAST(line_no AS BIGINT) AS line_no,
   CAST(CASE p WHEN '2-HIGH' THEN 5 WHEN '5-LOW' THEN 4 ELSE 3 END AS BIGINT) AS width,
   CASE p WHEN '2-HIGH' THEN '1' WHEN '5-LOW' THEN '魚' ELSE 'x' END AS c0,
   CASE p WHEN '2-HIGH' THEN '臺北市' WHEN '5-LOW' THEN '1' ELSE k END AS c1,
-  CASE p WHEN '2-HIGH' THEN '63' WHEN '5-LOW' THEN k ELSE '1,250' END AS c2,
+  CASE p WHEN '2-HIGH' THEN '63' WHEN '5-LOW' THEN k ELSE '1,' || chr(10) || '250' END AS c2,
   CASE p WHEN '2-HIGH' THEN k WHEN '5-LOW' THEN '9' END AS c3,
   CASE p WHEN '2-HIGH' THEN '45' END AS c4,
-  CASE WHEN contract IS NULL THEN 'unknown_header' WHEN p = '5-LOW' THEN 'row_width' END AS problem
+  CASE WHEN contract IS NULL THEN 'unknown_header' WHEN p = '5-LOW' THEN 'row_width' END AS problem,
+  CASE p WHEN '5-LOW' THEN '魚,1,' || k || ',9' WHEN '4-NOT SPECIFIED' THEN 'x , ' || k || ' ,"1,' || chr(10) || '250"' END AS rejected_line
 FROM f""")
 def csv_contract(t):
     return landing.csv_rows(_landed_files(t))
 
 
+def _result_pages(t):
+    """The given pages with a marked result table of their list links and a pager, as a search site shows them."""
+    items = F.regexp_extract_all("html", F.lit(r'<li><a href="/([^"]*)">'), F.lit(1))
+    row = lambda x, i: F.concat(
+        F.lit('<tr><td data-th="種類">'), F.when(i % 3 == 2, "其他").when(i % 3 == 1, "水果").otherwise("蔬菜"),
+        F.lit('</td><td class="c" data-th="農產品"><b>'), x, F.lit('</b> </td><td data-th="品種名稱">v</td><td data-th="縣市">屏東縣</td>'),
+        F.when(i % 4 == 3, "").otherwise('<td data-th="行政區">內埔鄉</td>'), F.lit('<td data-th="盛產月份">3月、 '), (i + 8).cast("string"), F.lit("月</td></tr>"),
+    )
+    table = F.concat(F.lit('<table class="x products"><tr><th>h</th></tr>'), F.array_join(F.transform(items, row), "\n"), F.lit("</table>"))
+    page = F.col("page_id") % 7 + 1
+    pager = F.concat(
+        F.when(F.col("page_id") % 5 != 0, F.concat(F.lit('<a title="第'), page.cast("string"), F.lit('頁">n</a>'))).otherwise(""),
+        F.lit('<a title="第7頁">7</a><a class="next" href="/list?x=1&amp;page='), (page + 1).cast("string"), F.lit('" title="下一頁">next</a>'),
+    )
+    return t.read("pages").select("page_id", page.cast("int").alias("page_no"), F.concat("html", table, pager).alias("html"))
+
+
+@query("product_table", r"""WITH p AS (SELECT page_id, regexp_extract_all(html, '<li><a href="/([^"]*)">', 1) AS x FROM pages),
+r AS (SELECT page_id, unnest(range(len(x))) AS i, unnest(x) AS name FROM p)
+SELECT page_id, i AS row_no, CASE i % 3 WHEN 0 THEN 'vegetable' WHEN 1 THEN 'fruit' END AS category, trim(name) AS display_name, 'v' AS variety, '屏東縣' AS county,
+  CASE WHEN i % 4 <> 3 THEN '內埔鄉' END AS district, '3|' || CAST(i + 8 AS VARCHAR) AS months,
+  CASE WHEN i % 3 = 2 THEN 'unknown_category' WHEN i % 4 = 3 THEN 'missing_field' WHEN i + 8 > 12 THEN 'month_outside_year' WHEN i <> 0 THEN 'month_mismatch' END AS reject
+FROM r""")
+def product_table(t):
+    cells = landing.table_cells(_result_pages(t), "products")
+    return landing.product_rows(cells, {"水果": "fruit", "蔬菜": "vegetable"}, 8)
+
+
+@query("pagination", """SELECT page_id, page_id % 7 + 1 AS page_no, page_id % 5 <> 0 OR page_id % 7 = 6 AS has_current, 7::BIGINT AS advertised_last, page_id % 7 + 2 AS next_page FROM pages""")
+def pagination(t):
+    return landing.pagination(_result_pages(t)).drop("html")
+
+
 @query("normalize", o.with_ctes(o.OBS, o.ITEM_DIM) + """,
 codes AS (SELECT unnest(codes) AS crop_code, canonical_id, display_name, category FROM items WHERE enabled),
 n AS (
   SELECT CASE WHEN row_a % 97 <> 1 THEN transaction_date END AS transaction_date, crop_code, crop_name_raw,
     codes.canonical_id, coalesce(display_name, crop_name_raw) AS display_name, coalesce(category, 'unknown') AS category,
-    CAST(market_code AS VARCHAR) AS market_code, CASE WHEN row_a % 97 NOT IN (2, 3) THEN price_c END AS price_c,
-    CASE WHEN row_a % 97 <> 4 THEN volume_c END AS volume_c, source_id
+    CAST(market_code AS VARCHAR) AS market_code, CASE WHEN row_a % 97 NOT IN (2, 3) THEN
+      CAST(CAST(price_c AS DECIMAL(20, 0)) * CAST(0.01 AS DECIMAL(3, 2)) + CASE WHEN row_a % 5 = 0 THEN 0.005 ELSE 0.000 END AS DECIMAL(38, 6)) END AS price,
+    CASE WHEN row_a % 97 <> 4 THEN CAST(CAST(volume_c AS DECIMAL(20, 0)) * CAST(0.01 AS DECIMAL(3, 2)) AS DECIMAL(38, 6)) END AS volume, source_id
   FROM obs LEFT JOIN codes USING (crop_code))
-SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, * EXCLUDE (transaction_date), 'sha256:' || sha256(concat_ws(chr(31),
+SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, * EXCLUDE (transaction_date, price, volume), CAST(price AS DOUBLE) AS price,
+  CAST(volume AS DOUBLE) AS volume, 'sha256:' || sha256(concat_ws(chr(31),
     coalesce(CAST(transaction_date AS VARCHAR), '\\N'), crop_code, crop_name_raw, coalesce(canonical_id, '\\N'), display_name, category,
-    market_code, coalesce(CAST(price_c AS VARCHAR), '\\N'), coalesce(CAST(volume_c AS VARCHAR), '\\N'), source_id)) AS row_hash,
-  CASE WHEN transaction_date IS NULL THEN 'bad_date' WHEN price_c IS NULL THEN 'bad_price' WHEN volume_c IS NULL THEN 'bad_volume' END AS reject
+    market_code, coalesce(CAST(price AS VARCHAR), '\\N'), coalesce(CAST(volume AS VARCHAR), '\\N'), source_id)) AS row_hash,
+  CASE WHEN transaction_date IS NULL THEN 'bad_date' WHEN price IS NULL THEN 'bad_price' WHEN volume IS NULL THEN 'bad_volume' END AS reject
 FROM n""")
 def normalize(t):
     return landing.normalize_rows(t.raw_market, t.items)

@@ -170,7 +170,7 @@ b AS (SELECT *, row_number() OVER (PARTITION BY transaction_date, list ORDER BY
 SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, list, place, canonical_id, CAST(score AS BIGINT) AS score, verdict,
   CASE verdict {_LABEL} END || '：' || CASE WHEN len(codes) > 0
     THEN array_to_string(list_transform(codes, lambda c: CASE c {_REASON} END), '、') ELSE '依決定性規則判定' END || '。' AS text,
-  CAST(transaction_date AS VARCHAR) || ' 當季採買觀察｜規則分析模式' AS headline
+  CAST(transaction_date AS VARCHAR) || ': what to buy' AS headline
 FROM b WHERE place <= CASE WHEN list = 'priority' THEN 5 ELSE 3 END""")
 def advice(t):
     return score.advice(scores(t))
@@ -189,19 +189,22 @@ def advice_evidence(t):
 
 @query("advice_summary", o.SCORED + f""",
 c AS (SELECT transaction_date, least(count(*) FILTER (verdict IN ('priority', 'consider')), 5) AS n FROM scores GROUP BY ALL)
-SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, n AS priority_count, CAST(transaction_date AS VARCHAR) || '{score.HEADLINE_SUFFIX}' AS headline,
-  '{score.SUMMARY_PARTS[0]}' || CAST(n AS VARCHAR) || '{score.SUMMARY_PARTS[1]}' || '{score.NO_MODEL}' || '{score.SUMMARY_PARTS[2]}' AS summary FROM c""")
+SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, n AS priority_count, CAST(transaction_date AS VARCHAR) || ': what to buy' AS headline,
+  CAST(n AS VARCHAR) || ' on the list. Decided by fixed rules.' AS summary FROM c""")
 def advice_summary(t):
     return score.advice_summary(scores(t))
 
 
+NUL = "\\N"  # what the hash takes for a null
 _EVIDENCE_LANES = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4))
 
 
 @query("evidence_hash", o.SCORED + f""", e AS (
 SELECT *, row_number() OVER (PARTITION BY transaction_date ORDER BY {_RANK}) AS place
 FROM scores WHERE verdict IN ('priority', 'consider', 'hold', 'insufficient')),
-g AS (SELECT transaction_date, sha256(concat_ws(chr(31), CAST(place AS VARCHAR), canonical_id, CAST(score AS VARCHAR), verdict, season_status, CAST(market_count AS VARCHAR))) AS h
+g AS (SELECT transaction_date, sha256(concat_ws(chr(31), CAST(place AS VARCHAR), canonical_id, CAST(CAST(score AS BIGINT) AS VARCHAR), verdict, season_status,
+    {', '.join(f"coalesce(CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR), '{NUL}')" for c in ('price', 'previous_change', 'vs_7d', 'vs_30d', 'volume_vs_7d'))},
+    {', '.join(f"coalesce(CAST({c} AS VARCHAR), '{NUL}')" for c in ('market_count', 'coverage_7d', 'coverage_30d', 'coverage_90d'))}, array_to_string(codes, '|'))) AS h
   FROM e WHERE place <= 8)
 SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, count(*) AS record_count,
   'sha256:' || sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_EVIDENCE_LANES})) AS content_hash

@@ -47,9 +47,9 @@ def stream_daily(t):
     folder = work_folder(t.spark, "stream-daily")
     utc = F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())
     stream = _event_stream(t).withColumn("ts", utc)
-    totals = upserts.daily_totals(stream, "ts", "event_type", F.round(F.col("value") * 100).cast("bigint"))
-    _finish(upserts.keyed_updates_stream(totals, f"{folder}/table", f"{folder}/checkpoint", ["day", "event_type"], "day"))
-    return t.spark.read.parquet(f"{folder}/table").select("day", "event_type", "event_count", "total_c")
+    amount = F.round(F.col("value") * 100).cast("bigint")
+    _finish(upserts.daily_totals_stream(stream, "ts", "event_type", amount, f"{folder}/table", f"{folder}/checkpoint"))
+    return upserts.daily_totals(t.spark, f"{folder}/table", "event_type").select("day", "event_type", "event_count", "total_c")
 
 
 @query("stream_dedup", "SELECT event_id, event_type, user_id FROM events")

@@ -45,6 +45,41 @@ def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _path(spark: SparkSession, path: str):
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return held, held.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a job has finished writing a folder."""
+    held, system = _path(spark, path + "/_SUCCESS")
+    return system.exists(held)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    held, system = _path(spark, path)
+    system.delete(held, True)
+
+
+# Partitions that one batch may touch; more is an error, never a cut.
+MOST_PARTITIONS = 10_000
+
+
+def touched_partitions(incoming: DataFrame, partition: str) -> list:
+    """The partition values of a batch, to be named in the filter of a scan so that it prunes."""
+    found = [row[0] for row in incoming.select(partition).distinct().limit(MOST_PARTITIONS + 1).collect()]
+    if len(found) > MOST_PARTITIONS:
+        raise ValueError(f"a batch touches more than {MOST_PARTITIONS} values of {partition}; split it")
+    return found
+
+
+def only_partitions(stored: DataFrame, partition: str, values: list) -> DataFrame:
+    """Rows of the named partitions, as literals that the scan prunes by."""
+    known = [v for v in values if v is not None]
+    condition = F.col(partition).isin(known) if known else F.lit(False)
+    return stored.filter(condition | F.col(partition).isNull() if None in values else condition)
+
+
 def overwrite_partitions(rows: DataFrame, path: str, partition: str) -> None:
     """Replace only the partitions present in `rows`. Rows are clustered by partition first, so a
     task writes few files; the rebalance lets adaptive execution split a hot date over many tasks

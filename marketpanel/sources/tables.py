@@ -36,22 +36,6 @@ def _array(values) -> str:
     return f"array({inner})" if values else "CAST(array() AS array<string>)"
 
 
-# Tables which jobs transform row by row, with a key which deals their rows out evenly.
-_WIDE_TABLES = {"lineitem": "l_orderkey", "orders": "o_orderkey", "documents": "doc_id"}
-_SMALL_SPLITS = 16
-
-
-def deal_out(rows: DataFrame, key: str) -> DataFrame:
-    """Spread a small table over the cores.
-
-    A file with one row group is read by one task, however it is split. Tables with more splits
-    than a handful are left alone, so nothing is shuffled at scale.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    splits = rows.rdd.getNumPartitions()
-    return rows.repartition(cores, key) if 1 < splits < min(cores, _SMALL_SPLITS) else rows
-
-
 class Tables:
     """Lazy readers of one data directory."""
 
@@ -60,8 +44,7 @@ class Tables:
         self.directory = directory.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        rows = self.spark.read.parquet(f"{self.directory}/{name}.parquet")
-        return deal_out(rows, _WIDE_TABLES[name]) if name in _WIDE_TABLES else rows
+        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
     @cached_property
     def observations(self) -> DataFrame:
@@ -174,7 +157,9 @@ def raw_market(observations: DataFrame) -> DataFrame:
         F.concat(F.lit(" "), F.col("crop_code")).alias("crop_code"),
         F.col("crop_name_raw").alias("crop_name"),
         F.col("market_code").cast("string").alias("market_code"),
-        F.when(broken == 2, "NaN").when(broken == 3, "-1").otherwise(_decimal_text(F.col("price_c"))).alias("avg_price"),
+        # A third decimal on every fifth row, beside small and large prices.
+        F.when(broken == 2, "NaN").when(broken == 3, "-1")
+        .otherwise(F.concat(_decimal_text(F.col("price_c")), F.when(F.col("row_a") % 5 == 0, "5").otherwise(""))).alias("avg_price"),
         F.when(broken == 4, "12d").otherwise(_decimal_text(F.col("volume_c"))).alias("volume"),
         "source_id",
     )

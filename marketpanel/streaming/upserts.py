@@ -1,8 +1,9 @@
 """Micro-batch forms of the batch jobs.
 
-Every sink is idempotent: a replayed batch reads the same stored rows and writes the same result,
-so losing executors or restarting from the checkpoint cannot lose or double a row. Nothing is
-dropped for being late; a correction simply touches its own date partition again.
+Nothing is dropped for being late: no job here has a watermark. A batch names the partitions that it
+touches, so stored history is pruned to them. Each sink can be replayed: either a batch writes a folder
+of its own, or its result is finished in a stage before the table changes, and a replay publishes that
+stage without reading the table again.
 """
 
 from __future__ import annotations
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketpanel.operators.resolve import upsert
-from marketpanel.sources.sinks import overwrite_partitions, read_or_none
+from marketpanel.sources.sinks import (
+    is_complete, only_partitions, overwrite_partitions, read_or_none, remove_folder, touched_partitions,
+)
 
 
 def merge_partitions(
@@ -29,16 +32,16 @@ def merge_partitions(
 ) -> None:
     """Upsert `incoming` into the touched partitions of a date-partitioned table.
 
-    The merged partitions are written to a stage first and moved from there, so the table is never
-    read and overwritten by one job.
+    `stage` names the batch. The merged partitions are finished there before the table changes; if the
+    stage is complete (the batch ran before and broke off while publishing, when stored partitions may be
+    gone), it is published as it is.
     """
-    stored = read_or_none(spark, path)
-    if stored is not None:
-        touched = incoming.select(partition).distinct()
-        stored = stored.join(touched, partition, "left_semi").select(*incoming.columns)
-        incoming = stored.unionByName(incoming)
-    merged = upsert(incoming, chunk, keys, order, value)
-    merged.write.mode("overwrite").parquet(stage)
+    if not is_complete(spark, stage):
+        stored = read_or_none(spark, path)
+        if stored is not None:
+            stored = only_partitions(stored, partition, touched_partitions(incoming, partition)).select(*incoming.columns)
+            incoming = stored.unionByName(incoming)
+        upsert(incoming, chunk, keys, order, value).write.mode("overwrite").parquet(stage)
     overwrite_partitions(spark.read.parquet(stage), path, partition)
 
 
@@ -52,13 +55,25 @@ def upsert_stream(
     partition: str,
     chunk: Callable[[], Column],
 ):
-    """Start the correction-safe upsert of a stream; processes what is there and stops."""
+    """Start the correction-safe upsert of a stream; processes what is there and stops.
+
+    A row counts as later than all rows of the batches before, whatever its own order, as in the batch job
+    over rows ordered by (ingest, order); `ingest` is stored beside the row. So it need not be known where
+    the run of a stored row ended.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
+        spark, stage = batch.sparkSession, f"{path}-stage"
+        stamped = batch.withColumn("ingest", F.lit(batch_id).cast("bigint"))
         merge_partitions(
-            batch.sparkSession, batch, path, f"{path}-stage/{batch_id}", keys, order, value, partition, chunk()
+            spark, stamped, path, f"{stage}/{batch_id}", keys, ["ingest", *order], value, partition, F.struct("ingest", chunk())
         )
+        remove_folder(spark, f"{stage}/{batch_id - 1}")  # its batch is committed
 
+    return _started(stream, apply, checkpoint)
+
+
+def _started(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     return (
         stream.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
@@ -67,54 +82,46 @@ def upsert_stream(
     )
 
 
-def daily_totals(stream: DataFrame, ts: str, item: str, amount: Column, delay: str = "4 days") -> DataFrame:
-    """Daily tumbling totals per item with a bounded state: a day leaves the state when the
-    watermark has passed it. Days are UTC days, whatever the session's zone."""
-    return (
-        stream.withWatermark(ts, delay)
-        .groupBy(F.window(ts, "1 day"), item)
-        .agg(F.count(F.lit(1)).alias("event_count"), F.sum(amount).alias("total_c"))
-        .select(
-            F.date_from_unix_date(F.floor(F.unix_seconds("window.start") / 86400).cast("int")).alias("day"),
-            item, "event_count", "total_c",
-        )
+def _own_folder(rows: DataFrame, path: str, batch_id: int, partition: str) -> None:
+    """Rows of a batch in a folder of its own; a replay writes the same folder again."""
+    rows.write.mode("overwrite").partitionBy(partition).parquet(f"{path}/batch_id={batch_id}")
+
+
+def daily_totals_stream(stream: DataFrame, ts: str, item: str, amount: Column, path: str, checkpoint: str):
+    """Daily totals per item as partial sums a batch; `daily_totals` adds them up. A late row adds to its
+    own day in its own batch, so no state is held and nothing is too late. Days are UTC days."""
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy(day.alias("day"), item).agg(F.count(F.lit(1)).alias("event_count"), F.sum(amount).alias("total_c"))
+        _own_folder(sums, path, batch_id, "day")
+
+    return _started(stream, apply, checkpoint)
+
+
+def daily_totals(spark: SparkSession, path: str, item: str) -> DataFrame:
+    """(day, item, event_count, total_c) over all batches; a filter on `day` prunes."""
+    return spark.read.parquet(path).groupBy("day", item).agg(
+        F.sum("event_count").alias("event_count"), F.sum("total_c").alias("total_c")
     )
 
 
-def keyed_updates_stream(updates: DataFrame, path: str, checkpoint: str, keys: Sequence[str], partition: str):
-    """Keep the latest update per key in a partitioned table (update mode of an aggregate)."""
+def unique_stream(stream: DataFrame, ts: str, key: str, path: str, checkpoint: str):
+    """Exact duplicates dropped, however late one arrives: a batch's rows are compared with the stored rows
+    of the days that it touches. Copies of a row have one time, and so one day."""
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86400).cast("int"))
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("batch_id", F.lit(batch_id))
+        fresh = batch.withColumn("day", day).dropDuplicates([key])
         stored = read_or_none(spark, path)
         if stored is not None:
-            touched = fresh.select(partition).distinct()
-            fresh = stored.join(touched, partition, "left_semi").select(*fresh.columns).unionByName(fresh)
-        rest = [c for c in fresh.columns if c not in keys]
-        latest = fresh.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("batch_id")).alias("_r"))
-        stage = f"{path}-stage/{batch_id}"
-        latest.select(*keys, "_r.*").write.mode("overwrite").parquet(stage)
-        overwrite_partitions(spark.read.parquet(stage), path, partition)
+            before = stored.filter(F.col("batch_id") < batch_id)
+            known = only_partitions(before, "day", touched_partitions(fresh, "day")).select(key)
+            fresh = fresh.join(known, key, "left_anti")
+        _own_folder(fresh, path, batch_id, "day")
 
-    return (
-        updates.writeStream.outputMode("update").foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def unique_stream(stream: DataFrame, ts: str, key: str, path: str, checkpoint: str, delay: str = "4 days"):
-    """Exact duplicates dropped inside the watermark; feed files in date order, since a row which
-    arrives behind the watermark is dropped with them. Use `upsert_stream` where that can happen."""
-    unique = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
-    return (
-        unique.writeStream.outputMode("append").format("parquet")
-        .option("path", path).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _started(stream, apply, checkpoint)
 
 
 def with_stale_fallback(live: DataFrame, last_good: DataFrame, keys: Sequence[str]) -> DataFrame:

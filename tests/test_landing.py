@@ -30,7 +30,9 @@ def test_numbers(spark):
 
 
 def test_hundredths_are_never_rounded_away(spark):
-    assert values(spark, ["20", "20.55", "20.555", "0.1"], landing.cents(F.col("t"))) == [2000, 2055, None, 10]
+    assert values(spark, ["20", "20.55", "20.555", "0.1"], landing.exact_amount(F.col("t")).cast("string")) == ["20.000000", "20.550000", "20.555000", "0.100000"]
+    exact = values(spark, ["12.345", "4999.994", "5000.123", "12345.678", "0.1234567", "1e3", "-1", "NaN", "9" * 40], landing.exact_amount(F.col("t")).cast("string"))
+    assert exact == ["12.345000", "4999.994000", "5000.123000", "12345.678000", None, "1000.000000", None, None, None]
 
 
 def test_number_states_fold_width(spark):
@@ -83,23 +85,24 @@ def test_pages_of_json(spark):
 
 def test_page_set(spark):
     pages = spark.createDataFrame(
-        [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("b", 2, "x"), ("c", 1, "<p>"), ("c", 4, "z")], "b string, p int, body string")
+        [("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("b", 2, "x"), ("c", 1, "<p>"), ("c", 4, "z"), ("d", 1, "v"), ("d", 4, "z"), ("e", 1, " ")], "b string, p int, body string")
     out = {r.b: r for r in landing.page_set_checks(pages, "b", "p", "body", 100).collect()}
-    assert (out["a"].status, out["b"].status, out["c"].status) == ("complete", "repeated_page", "page_gap")
+    assert (out["a"].status, out["b"].status, out["c"].status, out["d"].status, out["e"].status) == (
+        "complete", "repeated_page", "html_body", "page_gap", "empty_body")
     assert out["c"].missing_pages == 2 and out["c"].html_bodies == 1
-    assert [(r.b, r.missing_page) for r in landing.page_gaps(pages, "b", "p").collect()] == [("c", 2)]
+    assert sorted((r.b, r.missing_page) for r in landing.page_gaps(pages, "b", "p").collect()) == [("c", 2), ("d", 2)]
 
 
 def test_pinned_headers_and_widths(spark):
     files = spark.createDataFrame([
         (1, "﻿序號,項目,平均(元/台斤)\r\n1, 甘藍 ,\"1,250\"\n\n"),
         (2, "類別,交易量（公斤）,平均價格（元／公斤）\n魚,1,2\n魚,1\n雞,1,2,3"),
-        (3, "a,b\n1,2")], "f int, raw_text string")
+        (3, "a,b\n1,2"), (4, '"序號",項目,"平均(元/台斤)"\n1,"a\nb","1,250"')], "f int, raw_text string")
     out = sorted(tuple(r) for r in landing.csv_rows(files).select("f", "line_no", "contract", "c1", "c2", "problem").collect())
     assert out == [
         (1, 1, "retail-3col", "甘藍", "1,250", None),
         (2, 1, "supply-v0", "1", "2", None), (2, 2, "supply-v0", "1", None, "row_width"), (2, 3, "supply-v0", "1", "2", "row_width"),
-        (3, 1, None, "2", None, "unknown_header")]
+        (3, 1, None, "2", None, "unknown_header"), (4, 1, "retail-3col", "a\nb", "1,250", None)]
 
 
 TABLE = """<html><table class="x table-a-products"><tr><th>h</th></tr>
@@ -124,7 +127,7 @@ def test_normalised_rows(spark):
     items = spark.sql("SELECT 'banana' AS canonical_id, 'Banana' AS display_name, 'fruit' AS category, true AS enabled, array('A1') AS market_crop_codes"
                       " UNION ALL SELECT 'off', 'Off', 'fruit', false, array('A2')")
     out = {r.crop_code: r for r in landing.normalize_rows(raw, items).collect()}
-    assert (out["A1"].canonical_id, out["A1"].price_c, out["A1"].volume_c, out["A1"].reject) == ("banana", 2000, 100000, None)
+    assert (out["A1"].canonical_id, out["A1"].price, out["A1"].volume, out["A1"].reject) == ("banana", 20, 1000, None)
     assert (out["Z9"].category, out["Z9"].display_name, out["Z9"].reject) == ("unknown", "其他", "bad_price")
     assert (out["A2"].canonical_id, out["A2"].reject) == (None, "bad_date")
     again = landing.normalize_rows(raw.repartition(3), items).collect()
