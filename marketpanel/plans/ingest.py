@@ -272,20 +272,31 @@ def pagination(t):
     return landing.pagination(_result_pages(t)).drop("html")
 
 
-@query("normalize", o.with_ctes(o.OBS, o.ITEM_DIM) + """,
+def _hundredths(units, extra="0.000"):
+    return f"CAST(CAST({units} AS DECIMAL(20, 0)) * CAST(0.01 AS DECIMAL(3, 2)) + {extra} AS DECIMAL(38, 6))"
+
+
+_AMOUNTS = ("high_price", "mid_price", "low_price", "price", "volume")
+
+
+@query("normalize", o.with_ctes(o.OBS, o.ITEM_DIM) + f""",
 codes AS (SELECT unnest(codes) AS crop_code, canonical_id, display_name, category FROM items WHERE enabled),
 n AS (
-  SELECT CASE WHEN row_a % 97 <> 1 THEN transaction_date END AS transaction_date, crop_code, crop_name_raw,
+  SELECT '1.0' AS schema_version, CASE WHEN row_a % 97 <> 1 THEN transaction_date END AS transaction_date,
+    CASE WHEN row_b % 3 <> 0 THEN 'N0' || CAST(row_b % 3 AS VARCHAR) END AS category_code, crop_code, crop_name_raw,
     codes.canonical_id, coalesce(display_name, crop_name_raw) AS display_name, coalesce(category, 'unknown') AS category,
-    CAST(market_code AS VARCHAR) AS market_code, CASE WHEN row_a % 97 NOT IN (2, 3) THEN
-      CAST(CAST(price_c AS DECIMAL(20, 0)) * CAST(0.01 AS DECIMAL(3, 2)) + CASE WHEN row_a % 5 = 0 THEN 0.005 ELSE 0.000 END AS DECIMAL(38, 6)) END AS price,
-    CASE WHEN row_a % 97 <> 4 THEN CAST(CAST(volume_c AS DECIMAL(20, 0)) * CAST(0.01 AS DECIMAL(3, 2)) AS DECIMAL(38, 6)) END AS volume, source_id
+    CASE WHEN row_a % 97 = 6 THEN '' ELSE CAST(market_code AS VARCHAR) END AS market_code, 'market ' || CAST(market_code AS VARCHAR) AS market_name,
+    {_hundredths('price_c + 100')} AS high_price, CASE WHEN row_a % 11 = 0 THEN CAST(0 AS DECIMAL(38, 6)) ELSE {_hundredths('price_c')} END AS mid_price,
+    CASE WHEN row_a % 97 <> 5 THEN {_hundredths('price_c // 2')} END AS low_price,
+    CASE WHEN row_a % 97 NOT IN (2, 3) THEN {_hundredths('price_c', 'CASE WHEN row_a % 5 = 0 THEN 0.005 ELSE 0.000 END')} END AS price,
+    CASE WHEN row_a % 97 <> 4 THEN {_hundredths('volume_c')} END AS volume, source_id, fetched_at
   FROM obs LEFT JOIN codes USING (crop_code))
-SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, * EXCLUDE (transaction_date, price, volume), CAST(price AS DOUBLE) AS price,
-  CAST(volume AS DOUBLE) AS volume, 'sha256:' || sha256(concat_ws(chr(31),
-    coalesce(CAST(transaction_date AS VARCHAR), '\\N'), crop_code, crop_name_raw, coalesce(canonical_id, '\\N'), display_name, category,
-    market_code, coalesce(CAST(price AS VARCHAR), '\\N'), coalesce(CAST(volume AS VARCHAR), '\\N'), source_id)) AS row_hash,
-  CASE WHEN transaction_date IS NULL THEN 'bad_date' WHEN price IS NULL THEN 'bad_price' WHEN volume IS NULL THEN 'bad_volume' END AS reject
+SELECT CAST(transaction_date AS VARCHAR) AS transaction_date, * EXCLUDE (transaction_date, {', '.join(_AMOUNTS)}),
+  {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _AMOUNTS)}, 'sha256:' || sha256(concat_ws(chr(31), schema_version,
+    coalesce(CAST(transaction_date AS VARCHAR), '\\N'), coalesce(category_code, '\\N'), crop_code, crop_name_raw, coalesce(canonical_id, '\\N'), display_name, category,
+    market_code, market_name, {', '.join(f"coalesce(CAST({c} AS VARCHAR), '{chr(92)}N')" for c in _AMOUNTS)}, source_id)) AS row_hash,
+  CASE WHEN market_code = '' THEN 'missing_required' WHEN transaction_date IS NULL THEN 'bad_date' WHEN price IS NULL OR low_price IS NULL THEN 'bad_price'
+    WHEN volume IS NULL THEN 'bad_volume' END AS reject
 FROM n""")
 def normalize(t):
     return landing.normalize_rows(t.raw_market, t.items)

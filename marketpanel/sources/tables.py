@@ -156,7 +156,13 @@ def raw_market(observations: DataFrame) -> DataFrame:
         F.when(broken == 1, "115.02.30").otherwise(to_era_text(F.col("transaction_date"))).alias("trade_date"),
         F.concat(F.lit(" "), F.col("crop_code")).alias("crop_code"),
         F.col("crop_name_raw").alias("crop_name"),
-        F.col("market_code").cast("string").alias("market_code"),
+        F.when(broken == 6, "").otherwise(F.col("market_code").cast("string")).alias("market_code"),
+        F.concat(F.lit(" market "), F.col("market_code").cast("string")).alias("market_name"),
+        F.when(F.col("row_b") % 3 != 0, F.concat(F.lit("N0"), (F.col("row_b") % 3).cast("string"))).alias("category_code"),
+        _decimal_text(F.col("price_c") + 100).alias("high_price"),
+        F.when(F.col("row_a") % 11 != 0, _decimal_text(F.col("price_c"))).alias("mid_price"),
+        F.when(broken == 5, "x").otherwise(_decimal_text(int_div(F.col("price_c"), F.lit(2).cast("bigint")))).alias("low_price"),
+        "fetched_at",
         # A third decimal on every fifth row, beside small and large prices.
         F.when(broken == 2, "NaN").when(broken == 3, "-1")
         .otherwise(F.concat(_decimal_text(F.col("price_c")), F.when(F.col("row_a") % 5 == 0, "5").otherwise(""))).alias("avg_price"),

@@ -122,14 +122,20 @@ def test_result_table(spark):
 
 def test_normalised_rows(spark):
     raw = spark.createDataFrame([
-        ("115.08.25", " A1 ", "香蕉", "104", "20", "1000", "s"), ("115.08.25", "Z9", "其他", "104", "NaN", "1", "s"), ("bad", "A2", "x", "1", "1", "1", "s")],
-        "trade_date string, crop_code string, crop_name string, market_code string, avg_price string, volume string, source_id string")
+        ("115.08.25", " A1 ", "香蕉", "104", "20", "1000", "s", "m", "9"), ("115.08.25", "Z9", "其他", "104", "NaN", "1", "s", "m", None),
+        ("bad", "A2", "x", "1", "1", "1", "s", "m", None), ("115.08.25", "A3", "x", "1", "1", "1", "s", " ", None)],
+        "trade_date string, crop_code string, crop_name string, market_code string, avg_price string, volume string, source_id string, market_name string, low_price string")
+    raw = raw.selectExpr("*", "'N04' AS category_code", "'21' AS high_price", "CAST(NULL AS string) AS mid_price", "'2026-08-25T10:00:00Z' AS fetched_at")
     items = spark.sql("SELECT 'banana' AS canonical_id, 'Banana' AS display_name, 'fruit' AS category, true AS enabled, array('A1') AS market_crop_codes"
                       " UNION ALL SELECT 'off', 'Off', 'fruit', false, array('A2')")
     out = {r.crop_code: r for r in landing.normalize_rows(raw, items).collect()}
     assert (out["A1"].canonical_id, out["A1"].price, out["A1"].volume, out["A1"].reject) == ("banana", 20, 1000, None)
     assert (out["Z9"].category, out["Z9"].display_name, out["Z9"].reject) == ("unknown", "其他", "bad_price")
     assert (out["A2"].canonical_id, out["A2"].reject) == (None, "bad_date")
+    assert (out["A1"].schema_version, out["A1"].low_price, out["A1"].mid_price, out["A3"].reject) == ("1.0", 9, 0, "missing_required")
+    lower = {r.crop_code: r.row_hash for r in landing.normalize_rows(raw.withColumn("low_price", F.lit("8")), items).collect()}
+    later = {r.crop_code: r.row_hash for r in landing.normalize_rows(raw.withColumn("fetched_at", F.lit("x")), items).collect()}
+    assert lower["A1"] != out["A1"].row_hash and later["A1"] == out["A1"].row_hash
     again = landing.normalize_rows(raw.repartition(3), items).collect()
     assert {r.crop_code: r.row_hash for r in again} == {k: r.row_hash for k, r in out.items()}
 
