@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketpanel.llm.boosting import BoostedTrees
-from marketpanel.llm.common import query, slices, table
+from marketpanel.llm.common import bounded_sample, query, slices, table
 
 # At most so many labelled documents, those of the smallest hashes, are learned from.
 SAMPLE = 30_000
@@ -228,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.max("toxic").cast("int").alias("toxic")
     )
-    chosen = known.filter(~in_fold(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = bounded_sample(known.filter(~in_fold(F.col("doc_id"))), sample, "doc_id")
     rows = _texts(docs).join(F.broadcast(chosen), "doc_id")
     first = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
     lexicon = learn_lexicon(rows.filter(first))
