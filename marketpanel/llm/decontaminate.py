@@ -8,6 +8,7 @@ order. A document is contaminated if the tiles cover at least THRESHOLD of some
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -191,7 +192,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
                 )
         return run
 
-    for items in [*_blocks(benchmark, least)] or [Items([], least)]:
+    blocks = _blocks(benchmark, least)
+    for items in chain([next(blocks, Items([], least))], blocks):
         rows = rows.mapInArrow(job(spark.sparkContext.broadcast(items)), rows.schema)
     return rows.drop("body").withColumn("contaminated", F.size("items") > 0)
 
