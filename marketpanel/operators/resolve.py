@@ -152,19 +152,23 @@ def run_id() -> Column:
 
 
 def run_evidence(observations: DataFrame) -> DataFrame:
-    """Counts per run (source and requested period); they must reconcile by construction."""
-    runs = observations.groupBy("source_id", "transaction_date").agg(
-        F.count(F.lit(1)).alias("normalized_count")
+    """Counts per run (source and requested period); they must reconcile by construction.
+
+    Rows are read once: they fold to one row per identity and source, which holds its count and its highest
+    authoritative precedence. A source wins an identity if it alone has the highest of all.
+    """
+    folded = observations.groupBy(*IDENTITY, "source_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.when(_final(), F.col("source_precedence"))).alias("top")
     )
-    eligible = winners(observations).filter(F.col("winner").isNotNull()).groupBy(
-        F.col("winner_source").alias("source_id"), "transaction_date"
-    ).agg(F.count(F.lit(1)).alias("eligible_count"))
-    joined = runs.join(eligible, ["source_id", "transaction_date"], "left")
-    return joined.select(
-        run_id().alias("run_id"),
-        "source_id", "transaction_date", "normalized_count",
-        F.coalesce("eligible_count", F.lit(0)).alias("eligible_count"),
-        (F.col("normalized_count") - F.coalesce("eligible_count", F.lit(0))).alias("suppressed_count"),
+    identity = Window.partitionBy(*IDENTITY)
+    ranked = folded.withColumn("_best", F.max("top").over(identity))
+    ranked = ranked.withColumn("_holders", F.count_if(F.col("top") == F.col("_best")).over(identity))
+    wins = F.coalesce((F.col("top") == F.col("_best")) & (F.col("_holders") == 1), F.lit(False))
+    return ranked.groupBy("source_id", "transaction_date").agg(
+        F.sum("n").alias("normalized_count"), F.count_if(wins).alias("eligible_count")
+    ).select(
+        run_id().alias("run_id"), "source_id", "transaction_date", "normalized_count", "eligible_count",
+        (F.col("normalized_count") - F.col("eligible_count")).alias("suppressed_count"),
     )
 
 

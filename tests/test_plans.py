@@ -17,7 +17,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["daily_vwap", "rolling_vwap", "range_stats", "score_panel", "upsert", "resolve", "batch_manifest", "provenance", "season_catalog"])
+@pytest.mark.parametrize("name", ["daily_vwap", "rolling_vwap", "range_stats", "score_panel", "upsert", "resolve", "batch_manifest", "provenance", "season_catalog", "run_evidence", "normalize"])
 def test_facts_are_scanned_once(spark, name):
     scans = re.findall(r"FileScan parquet.*?/(\w+)\.parquet", plan_of(QUERIES[name](spark, SF_DIR)))
     assert scans.count("lineitem") == 1
