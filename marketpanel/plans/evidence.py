@@ -89,6 +89,14 @@ _LOT_COLUMNS = """tracecode, producer, org_id, product_name_raw, canonical_id, p
   CAST(valid_date AS VARCHAR) AS valid_date, certification_status, CAST(pack_date AS VARCHAR) AS source_updated_date"""
 
 
+@query("name_conflicts", """SELECT p_name AS name, min(p_type) AS first_item, max(p_type) AS last_item FROM part
+WHERE p_type IS NOT NULL GROUP BY p_name HAVING min(p_type) <> max(p_type)""")
+def name_conflicts(t):
+    """Part names as product names: which of them lead to several items."""
+    lookup = t.read("part").select(F.col("p_name").alias("name"), F.col("p_type").alias("canonical_id"))
+    return evidence.name_conflicts(lookup)
+
+
 @query("minimize", LOTS_SQL + f"SELECT feed, {_LOT_COLUMNS} FROM lots")
 def minimize(t):
     return lots(t).select("feed", *REGISTRY_FIELDS)

@@ -156,6 +156,16 @@ def revision_log(t):
     return revisions(t)
 
 
+@query("revision_contract", _REVISIONS + """
+SELECT source, CAST(period AS VARCHAR) AS period, count(*) AS rows, min(revision)::BIGINT AS first, max(revision)::BIGINT AS last, count(DISTINCT revision) AS numbers
+FROM rev WHERE NOT (revision = 2 AND arrival % 3 = 0) GROUP BY source, period
+HAVING min(revision) <> 1 OR max(revision) <> count(*) OR count(DISTINCT revision) <> count(*)""")
+def revision_contract(t):
+    """Groups with a hole after some second revisions were taken out."""
+    holed = revisions(t).filter(~((F.col("revision") == 2) & (F.col("arrival") % 3 == 0)))
+    return monthly.revision_gaps(holed, ["source", "period"])
+
+
 @query("known_at", _REVISIONS + f""",
 k AS (SELECT *, count(*) OVER (PARTITION BY source, period) AS revision_count, row_number() OVER (PARTITION BY source, period ORDER BY revision DESC) AS n
   FROM rev WHERE known_at <= DATE '{CUTOFF}')
