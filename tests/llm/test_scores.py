@@ -37,6 +37,14 @@ def test_language_model_odd_rows(odd_docs, no_docs):
     assert score_texts(no_docs).count() == 0
 
 
+def test_language_model_over_many_small_documents(spark):
+    """More documents in one task than a block may hold."""
+    docs = spark.range(0, 70_000, 1, 1).selectExpr("id AS doc_id", "concat('word', id % 7, ' end') AS text")
+    rows = score_texts(docs)
+    assert rows.select("doc_id").distinct().count() == 70_000 and rows.filter("n_tokens <> 3").count() == 0
+    assert rows.select("base_score").distinct().count() <= 7
+
+
 def test_grammar_scores_clauses():
     grammar = toxicity.Grammar({"zorg": 2.0, "blar*": 3.0})
     score = lambda text: grammar.clauses(*grammar.read(text.lower().split()))
