@@ -3,11 +3,14 @@
 Blocks of words around a cue are compressed alone and with each license notice as a zstandard raw dictionary.
 Notices are ranked by how much smaller the block becomes; those that save enough are aligned with it word
 by word, and a notice is confirmed only if its names and version numbers are all there and few words differ.
+A block is as wide as its notices are long. What lies beside a match is scanned again, until nothing is found.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -36,7 +39,7 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative commons sharealike 4.0"),
 )
 CUE = re.compile(r"licen[cs]|spdx|hereby granted|redistribution and use", re.IGNORECASE)
-REACH = 24  # words of a block on each side of a cue
+REACH = 24  # words of a block on each side of a cue, at least; longer notices have wider blocks
 LEAST_REDUCTION = 0.12  # bytes saved, against the notice's own compressed size
 MOST_CHANGED = 0.2  # words missing or added, against those of the notice
 LEVEL = 13  # finds matches of short words
@@ -62,25 +65,31 @@ class Notices:
             self.rows.append((name, words, set(needed.split()), zstandard.ZstdCompressor(level=LEVEL, dict_data=held)))
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.sizes = [len(self.plain.compress(" ".join(words).encode())) for _, words, _, _ in self.rows]
+        # Notices by the reach of their blocks: one with words added fits on either side of its cue.
+        self.reaches: dict[int, list[int]] = {}
+        long = [math.ceil(len(words) * (1 + MOST_CHANGED)) for _, words, _, _ in self.rows]
+        for k, n in enumerate(long):
+            self.reaches.setdefault(REACH if n <= REACH else max(long), []).append(k)
 
-    def ranked(self, block: list[str]) -> list[tuple[float, int]]:
+    def ranked(self, block: list[str], notices: list[int] | None = None) -> list[tuple[float, int]]:
         """(reduction, notice) of the notices that make the block smaller, the best first: bytes saved against
         the compressed size of the notice, so that long blocks don't hide short notices."""
         data = " ".join(block).encode()
         alone = len(self.plain.compress(data))
-        sizes = [((alone - len(c.compress(data))) / self.sizes[k], k) for k, (_, _, _, c) in enumerate(self.rows)]
+        kept = range(len(self.rows)) if notices is None else notices
+        sizes = [((alone - len(self.rows[k][3].compress(data))) / self.sizes[k], k) for k in kept]
         return sorted((x for x in sizes if x[0] >= LEAST_REDUCTION), key=lambda x: (-x[0], x[1]))
 
-    def aligned(self, notice: int, block: list[str]) -> tuple[int, int, str] | None:
-        """(first word, end, differences) of the notice in the block if the wording confirms it."""
+    def aligned(self, notice: int, block: list[str]) -> tuple[int, int, int, str] | None:
+        """(first word, end, equal words, differences) of the notice in the block if the wording confirms it."""
         _, words, needed, _ = self.rows[notice]
         matcher = SequenceMatcher(None, words, block, autojunk=False)
         parts = [p for p in matcher.get_matching_blocks() if p.size]
         if not parts:
             return None
-        # Stray matches far from the longest part are left out.
-        longest = max(parts, key=lambda p: p.size)
-        parts = [p for p in parts if abs((p.b - p.a) - (longest.b - longest.a)) <= 2]
+        # Stray matches far from the longest part are left out; long notices may drift more.
+        longest, drift = max(parts, key=lambda p: p.size), max(2, int(MOST_CHANGED * len(words)))
+        parts = [p for p in parts if abs((p.b - p.a) - (longest.b - longest.a)) <= drift]
         first, end = parts[0].b, parts[-1].b + parts[-1].size
         found = {w for p in parts for w in words[p.a:p.a + p.size]}
         kept = {k for p in parts for k in range(p.a, p.a + p.size)}
@@ -89,40 +98,52 @@ class Notices:
         added = [block[k] for k in range(first, end) if k not in inside]
         if not needed <= found or len(missing) + len(added) > MOST_CHANGED * len(words):
             return None
-        return first, end, " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
+        return first, end, len(kept), " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])
+
+    def best(self, words: list[str], at: int, low: int, high: int) -> tuple[int, float, int, int, str] | None:
+        """(notice, reduction, first word, end, differences) of the best notice around the word `at`, between
+        the words `low` and `high`: most equal words less differences, then fewest differences, then best ranked."""
+        best = None
+        for reach, notices in self.reaches.items():
+            lo, hi = max(low, at - reach), min(high, at + reach + 1)
+            block = words[lo:hi]
+            for reduction, k in self.ranked(block, notices):
+                if place := self.aligned(k, block):
+                    first, end, equal, differences = place
+                    changed = len(differences.split())
+                    key = (changed - equal, changed, -reduction)
+                    if best is None or key < best[0]:
+                        best = (key, (k, reduction, lo + first, lo + end, differences))
+        return best and best[1]
 
 
 def scan(notices: Notices, text: str) -> tuple[int, list[dict]]:
     """(candidate blocks, confirmed matches) of a text, matches in its order and apart from each other."""
     if not CUE.search(text):
         return 0, []
-    words = words_of(text)
-    starts = [s for _, s, _ in words]
-    from bisect import bisect_right
-
-    candidates, out, done = 0, [], 0
+    places = words_of(text)
+    words, starts = [w for w, _, _ in places], [s for _, s, _ in places]
+    candidates, out = 0, []
+    taken: list[tuple[int, int]] = []  # matches as words, in order
     for cue in CUE.finditer(text):
         at = max(0, bisect_right(starts, cue.start()) - 1)
-        if at < done:
-            continue
-        lo, hi = max(done, at - REACH), min(len(words), at + REACH + 1)
-        block = [w for w, _, _ in words[lo:hi]]
-        candidates += 1
-        best = None
-        for reduction, k in notices.ranked(block):
-            if place := notices.aligned(k, block):
-                # Of confirmed notices the one with the fewest differences, then the best ranked.
-                key = (len(place[2].split()), -reduction)
-                if best is None or key < best[0]:
-                    best = (key, k, reduction, place)
-        if best:
-            _, k, reduction, (first, end, differences) = best
-            done = lo + end
+        # A block ends at the matches beside it; it is scanned until its cue is in a match or nothing is found.
+        while True:
+            k = bisect_right(taken, (at, len(words)))
+            low, high = taken[k - 1][1] if k else 0, taken[k][0] if k < len(taken) else len(words)
+            if at < low:
+                break
+            candidates += 1
+            found = notices.best(words, at, low, high)
+            if found is None:
+                break
+            notice, reduction, first, end, differences = found
+            insort(taken, (first, end))
             out.append({
-                "license": notices.rows[k][0], "start": words[lo + first][1], "end": words[lo + end - 1][2],
+                "license": notices.rows[notice][0], "start": places[first][1], "end": places[end - 1][2],
                 "reduction": round(reduction, 4), "differences": differences,
             })
-    return candidates, out
+    return candidates, sorted(out, key=lambda m: m["start"])
 
 
 _MATCHES = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reduction", pa.float64()), ("differences", pa.string())]))

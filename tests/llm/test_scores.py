@@ -101,3 +101,23 @@ def test_licenses_against_plain_search(spark, odd_docs, no_docs):
         words = " ".join(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", (d.text or "").lower()))
         assert rows[d.doc_id] == ",".join(sorted(k for k, w in known.items() if w in words))
     assert find_licenses(odd_docs).count() == 11 and find_licenses(odd_docs).filter("n_candidates > 0").count() == 0 and find_licenses(no_docs).count() == 0
+
+
+def test_licenses_side_by_side_and_long():
+    lines = {
+        "MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+        "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    }
+    notices = Notices()
+    for a in lines:
+        for b in lines:
+            text = f"{lines[a]} {lines[b]}"
+            found = scan(notices, text)[1]
+            assert [m["license"] for m in found] == [a, b]
+            assert [text[m["start"]:m["end"]] + "." for m in found] == [lines[a], lines[b]] and not any(m["differences"] for m in found)
+    assert [m["license"] for m in scan(notices, " ".join([*lines.values()] * 3))[1]] == [*lines] * 3
+    # A notice of more words than a short block holds, found as a whole with its cue at its begin or end.
+    long = " ".join(f"term{i}" for i in range(150))
+    filler = " ".join(f"word{i}" for i in range(60))
+    for text in (f"Licensed for {long}", f"{long} end of license"):
+        assert [(m["license"], m["differences"]) for m in scan(Notices([("Long", text, "term149")]), f"{filler} {text} {filler}")[1]] == [("Long", "")]
