@@ -20,7 +20,42 @@ from pyspark.sql import functions as F
 
 from marketpanel.llm.common import query, slices, table
 
-# Usual notices, as (license, wording, words that must be there).
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+_BSD_CONDITIONS = (
+    " provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice,"
+    " this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright"
+    " notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_ADVERTISING = (
+    " 3. All advertising materials mentioning features or use of this software must display the following acknowledgement:"
+    " This product includes software developed by the organization."
+)
+_BSD_NAMES = (
+    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+    " derived from this software without specific prior written permission."
+)
+_BSD_DISCLAIMER = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS"
+
+
+def _creative_commons() -> tuple[tuple[str, str, str], ...]:
+    """The long and short notices of the six Creative Commons licenses."""
+    out = []
+    for kind, names in (
+        ("BY", ""), ("BY-SA", "-ShareAlike"), ("BY-NC", "-NonCommercial"), ("BY-ND", "-NoDerivatives"),
+        ("BY-NC-SA", "-NonCommercial-ShareAlike"), ("BY-NC-ND", "-NonCommercial-NoDerivatives"),
+    ):
+        needed = kind.lower().replace("-", " ")
+        out += [
+            (f"CC-{kind}-4.0", f"This work is licensed under a Creative Commons Attribution{names} 4.0 International License.",
+             f"creative commons attribution {names.lower().replace('-', ' ')} 4.0"),
+            (f"CC-{kind}-4.0", f"Licensed under CC {kind} 4.0.", f"cc {needed} 4.0"),
+            (f"CC-{kind}-4.0", f"License: CC {kind} 4.0", f"cc {needed} 4.0"),
+        ]
+    return tuple(out)
+
+
+# Usual notices, as (license, wording, words that must be there). The opening of the BSD licenses
+# alone does not tell which of them it is.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2.0"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0", "spdx apache 2.0"),
@@ -32,11 +67,14 @@ TEMPLATES = (
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general public 2"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", "gnu lesser general public 3"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.", "gnu affero general public 3"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted", "redistribution source binary permitted"),
+    ("BSD", _BSD, "redistribution source binary permitted"),
+    ("BSD-2-Clause", _BSD + _BSD_CONDITIONS + _BSD_DISCLAIMER, "retain reproduce provided disclaimer"),
+    ("BSD-3-Clause", _BSD + _BSD_CONDITIONS + " 3." + _BSD_NAMES + _BSD_DISCLAIMER, "retain reproduce neither endorse promote"),
+    ("BSD-4-Clause", _BSD + _BSD_CONDITIONS + _BSD_ADVERTISING + " 4." + _BSD_NAMES + _BSD_DISCLAIMER, "retain reproduce advertising neither endorse promote"),
     ("BSD-3-Clause", "Licensed under the 3-Clause BSD License.", "3 bsd"),
+    ("BSD-2-Clause", "Licensed under the 2-Clause BSD License.", "2 bsd"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public 2.0"),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "creative commons attribution 4.0"),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "creative commons sharealike 4.0"),
+    *_creative_commons(),
 )
 CUE = re.compile(r"licen[cs]|spdx|hereby granted|redistribution and use", re.IGNORECASE)
 REACH = 24  # words of a block on each side of a cue, at least; longer notices have wider blocks

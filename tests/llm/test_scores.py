@@ -121,3 +121,51 @@ def test_licenses_side_by_side_and_long():
     filler = " ".join(f"word{i}" for i in range(60))
     for text in (f"Licensed for {long}", f"{long} end of license"):
         assert [(m["license"], m["differences"]) for m in scan(Notices([("Long", text, "term149")]), f"{filler} {text} {filler}")[1]] == [("Long", "")]
+
+
+def test_license_families():
+    notices = Notices()
+    found = lambda text: [m["license"] for m in scan(notices, text)[1]]
+    opening = "Redistribution and use in source and binary forms, with or without modification, are permitted"
+    two = opening + """ provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the distribution.
+"""
+    advertising = """3. All advertising materials mentioning features or use of this software must display the following acknowledgement:
+This product includes software developed by Some Company.
+"""
+    names = """Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+    tail = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+    assert found(two + tail) == ["BSD-2-Clause"]
+    for holder in ("the copyright holder", "the University of California, Berkeley"):
+        assert found(f"{two}3. {names.format(holder)}{tail}") == ["BSD-3-Clause"]
+        assert found(f"{two}{advertising}4. {names.format(holder)}{tail}") == ["BSD-4-Clause"]
+    assert found(opening + ".") == ["BSD"]
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        for text in (f"Licensed under CC {kind} 4.0.", f"License: CC-{kind}-4.0", f"This page is licensed under CC {kind} 4.0"):
+            assert found(text) == [f"CC-{kind}-4.0"], text
+    assert found("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.") == ["CC-BY-NC-4.0"]
+    assert found("Licensed under CC BY-NC 3.0.") == []
+
+
+def test_every_license_line_of_the_documents(spark):
+    import re
+
+    known = {
+        "GPL-3.0": "this work is licensed under the gnu general public license version 3", "MIT": "released under the mit license",
+        "Apache-2.0": "licensed under the apache license version 2.0", "CC-BY-NC-4.0": "licensed under cc by nc 4.0",
+    }
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r.licenses for r in QUERIES["op10_licenses"](spark, sf).collect()}
+    seen = set()
+    for d in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        words = " ".join(re.findall(r"[a-z0-9]+(?:\.[0-9]+)*", (d.text or "").lower()))
+        expected = sorted(k for k, w in known.items() if w in words)
+        seen.update(expected)
+        assert rows[d.doc_id] == ",".join(expected)
+        # No line with a cue is left without a match.
+        assert bool(expected) == bool(re.search("licen[cs]|spdx", words))
+    assert seen == known.keys()
