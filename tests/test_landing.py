@@ -120,6 +120,22 @@ def test_result_table(spark):
         (1, "fruit", "香&蕉 大", [3, 8], None), (1, "vegetable", "甘藍", [1, 13], "month_outside_year")]
 
 
+def test_result_table_quotes_depth_and_missing_end(spark):
+    row = lambda name, inner="": (
+        f"<tr><td data-th='種類'>水果</td><td data-th=農產品>{name}{inner}</td><td data-th = \"品種名稱\">v</td>"
+        "<td title='a > b' data-th=縣市>屏東縣</td><td data-th=行政區>內埔鄉</td><td data-th=盛產月份>8月</td></tr>")
+    inner = "<table class='note'><tr><td>not read</td></tr></table>"
+    pages = spark.createDataFrame([
+        (1, f"<table class='x products'>{row('a')}</table>"),
+        (2, f"<table class=products>{row('b', inner)}<!-- </table> -->{row('c&nbsp;&eacute;')}</table><table>{row('outside')}</table>"),
+        (3, f'<table class="products">{row("d")}'), (4, "<TABLE CLASS=products><tr><td>cut"), (5, f"<table class=products-old>{row('other')}</table>"),
+    ], "page_id bigint, html string")
+    out = landing.product_rows(landing.table_cells(pages, "products"), {"水果": "fruit"}, 8).orderBy("page_id", "row_no").collect()
+    assert [(r.page_id, r.display_name, r.category, r.reject) for r in out] == [
+        (1, "a", "fruit", None), (2, "b", "fruit", None), (2, "c é", "fruit", None),
+        (3, "d", "fruit", "unmatched_table"), (4, None, None, "unmatched_table")]
+
+
 def test_normalised_rows(spark):
     raw = spark.createDataFrame([
         ("115.08.25", " A1 ", "香蕉", "104", "20", "1000", "s", "m", "9"), ("115.08.25", "Z9", "其他", "104", "NaN", "1", "s", "m", None),
