@@ -75,16 +75,18 @@ class BoostedTrees:
         return sigmoid(self.start + sum((self._leaf(t, bins) for t in self.trees), np.zeros(len(x))))
 
 
-def isotonic(scores: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Calibration by pooling adjacent violators: (upper ends of score ranges, share of ones in each)."""
+def isotonic(scores: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Calibration by pooling adjacent violators: (upper ends of score ranges, share of ones in each). A row counts
+    as one, or by its weight."""
+    w = np.ones(len(y)) if weights is None else weights
     order = np.argsort(scores, kind="stable")
     blocks: list[list[float]] = []  # end, ones, rows
-    for s, v in zip(scores[order].tolist(), y[order].tolist()):
+    for s, v, n in zip(scores[order].tolist(), (y * w)[order].tolist(), w[order].tolist()):
         if blocks and blocks[-1][0] == s:
             blocks[-1][1] += v
-            blocks[-1][2] += 1
+            blocks[-1][2] += n
         else:
-            blocks.append([s, v, 1])
+            blocks.append([s, v, n])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             end, ones, rows = blocks.pop()
             blocks[-1] = [end, blocks[-1][1] + ones, blocks[-1][2] + rows]
