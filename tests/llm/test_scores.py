@@ -169,3 +169,10 @@ def test_every_license_line_of_the_documents(spark):
         # No line with a cue is left without a match.
         assert bool(expected) == bool(re.search("licen[cs]|spdx", words))
     assert seen == known.keys()
+
+
+def test_language_model_bits_per_byte(spark):
+    docs = spark.createDataFrame([(1, "one two three"), (2, " one  TWO\nthree "), (3, None), (4, "\u00fcber")], "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in score_texts(docs).collect()}
+    for d, size in {1: 15, 2: 15, 3: 1, 4: 7}.items():  # words with a blank after each, and the end
+        assert math.isclose(rows[d].bits_per_byte, -rows[d].score / math.log10(2) / size, rel_tol=1e-9)
