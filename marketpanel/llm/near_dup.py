@@ -6,11 +6,12 @@ equal ones, corrected for chance collisions, estimates the similarity. Inside a
 emitted but a maximal spanning forest of those that the estimate admits, which joins the same classes.
 The loose groups so found are compared on their full sets, in blocks, and again only a spanning forest
 of the confirmed links leaves a block. So no link that joins two components is lost but by the bands
-(below 1e-7 at the threshold) or the margin of the estimate (5 deviations).
+(at most 1e-7 at the threshold, as their number follows from it) or the margin of the estimate (5 deviations).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,22 +24,30 @@ from marketpanel.llm.components import components
 from marketpanel.sources.sinks import materialize
 
 WIDTH = 5
-BANDS, ROWS = 28, 5
+ROWS = 5
 BITS = 4
-LANES = BANDS * ROWS
-WORDS = -(-LANES * BITS // 64)
 # Shared and united shingles: linked if LINK[1] * shared >= LINK[0] * united.
 LINK = (85, 100)
+MISSED = 1e-7  # share of the pairs at the threshold that no band may bring together
+
+
+def bands_for(link: tuple[int, int]) -> int:
+    """The fewest bands that miss a pair at the threshold with a probability of at most MISSED."""
+    together = (link[0] / link[1]) ** ROWS
+    return 1 if together >= 1 else math.ceil(math.log(MISSED) / math.log1p(-together))
+
+
+LANES = bands_for(LINK) * ROWS
 MARGIN = 0.17
 # Members, and their shingles, of a chunk; a group compares two chunks.
 CHUNK, CHUNK_SHINGLES = 512, 1 << 20
 SLICE = 4 << 20
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    base = np.arange(1, 2 * LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def _permutations(lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
+    base = np.arange(1, 2 * lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     mixed = mix64(base)
-    return mixed[:LANES] | np.uint64(1), mixed[LANES:]
+    return mixed[:lanes] | np.uint64(1), mixed[lanes:]
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -59,20 +68,21 @@ def minima(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def pack_bits(least: np.ndarray) -> np.ndarray:
-    """The low BITS of each minimum in WORDS 64-bit words; spare lanes are zero."""
-    lanes = np.zeros(WORDS * 64 // BITS, np.uint64)
-    lanes[:LANES] = mix64(least) & np.uint64((1 << BITS) - 1)
+    """The low BITS of each minimum in 64-bit words; spare lanes are zero."""
+    words = -(-len(least) * BITS // 64)
+    lanes = np.zeros(words * 64 // BITS, np.uint64)
+    lanes[:len(least)] = mix64(least) & np.uint64((1 << BITS) - 1)
     shifts = np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS)
-    return np.bitwise_or.reduce(lanes.reshape(WORDS, -1) << shifts, axis=1)
+    return np.bitwise_or.reduce(lanes.reshape(words, -1) << shifts, axis=1)
 
 
-def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+def estimate(one: np.ndarray, many: np.ndarray, lanes: int = LANES) -> np.ndarray:
     """Similarity of a packed signature to each of `many`: equal lanes by bit counts, less the 2^-BITS of
     unequal minima whose low bits agree by chance."""
     x = many ^ one
     x = x | (x >> np.uint64(2))
     x = (x | (x >> np.uint64(1))) & np.uint64(0x1111111111111111)
-    equal = 1 - np.bitwise_count(x).sum(axis=1) / LANES
+    equal = 1 - np.bitwise_count(x).sum(axis=1) / lanes
     chance = 2.0 ** -BITS
     return (equal - chance) / (1 - chance)
 
@@ -89,25 +99,30 @@ def _each_set(batches: Iterator[pa.RecordBatch]):
             at += len(ws)
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def _sketch(bands: int):
+    """A task that makes the sizes, digests, band keys and signatures of documents."""
 
-    a, b = _permutations()
-    spread = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
-    rows: list[tuple] = []
-    for batch, row, found in _each_set(batches):
-        doc_id = batch.column("doc_id")[row].as_py()
-        if not len(found):
-            rows.append((doc_id, 0, None, None, None))
-        else:
-            least = minima(found, a, b)
-            keys = window_hashes(least, ROWS)[::ROWS] ^ spread
-            digest = xxhash.xxh3_128_digest(found.tobytes())
-            rows.append((doc_id, len(found), digest, keys.astype(np.int64).tolist(), pack_bits(least).tobytes()))
-        if len(rows) >= 2000:
-            yield _rows(rows)
-            rows = []
-    yield _rows(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        a, b = _permutations(bands * ROWS)
+        spread = mix64(np.arange(1, bands + 1, dtype=np.uint64))
+        rows: list[tuple] = []
+        for batch, row, found in _each_set(batches):
+            doc_id = batch.column("doc_id")[row].as_py()
+            if not len(found):
+                rows.append((doc_id, 0, None, None, None))
+            else:
+                least = minima(found, a, b)
+                keys = window_hashes(least, ROWS)[::ROWS] ^ spread
+                digest = xxhash.xxh3_128_digest(found.tobytes())
+                rows.append((doc_id, len(found), digest, keys.astype(np.int64).tolist(), pack_bits(least).tobytes()))
+            if len(rows) >= 2000:
+                yield _rows(rows)
+                rows = []
+        yield _rows(rows)
+
+    return run
 
 
 _SKETCH = pa.schema([
@@ -176,14 +191,14 @@ def _in_batches(each):
     return run
 
 
-def _forest(least: float):
+def _forest(least: float, lanes: int):
     """Pairs of a maximal spanning forest of the estimates in a group, grown from its first member."""
 
     def each(group: pa.Table) -> list[tuple[int, int]]:
         ids = group.column("id").to_numpy()
-        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint64).reshape(-1, WORDS)
+        sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)
         found, m = [], len(ids)
-        best, near = estimate(sig[0], sig), np.zeros(m, np.int64)
+        best, near = estimate(sig[0], sig, lanes), np.zeros(m, np.int64)
         best[0] = -2.0
         out = np.arange(m) > 0
         for _ in range(m - 1):
@@ -192,7 +207,7 @@ def _forest(least: float):
                 found.append((int(ids[x]), int(ids[near[x]])))
             out[x] = False
             if m > 2:
-                new = estimate(sig[x], sig)
+                new = estimate(sig[x], sig, lanes)
                 better = out & (new > best)
                 best[better], near[better] = new[better], x
             best[x] = -2.0
@@ -248,9 +263,9 @@ def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     repeat a doc_id are one document in the result: linked if any of them is, kept or dropped together.
     A row with a null doc_id stands alone, has a null component and is kept. Other columns are not read.
     """
-    least = link[0] / link[1] - MARGIN
+    least, bands = link[0] / link[1] - MARGIN, bands_for(link)
     sketches = materialize(
-        text_bytes(docs).mapInArrow(_sketch, "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sig binary"),
+        text_bytes(docs).mapInArrow(_sketch(bands), "doc_id bigint, n_shingles bigint, digest binary, keys array<bigint>, sig binary"),
         "near-sketches",
     )
     named = sketches.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
@@ -262,7 +277,7 @@ def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     placed = materialize(banded.join(shared, "key"), "near-buckets")
     members = placed.join(classes.select("digest", "sig"), "digest").select("key", "m", "id", "sig")
-    near = materialize(_in_groups(members, F.ceil(F.col("m") / CHUNK), _forest(least)), "near-pairs")
+    near = materialize(_in_groups(members, F.ceil(F.col("m") / CHUNK), _forest(least, bands * ROWS)), "near-pairs")
     loose = materialize(components(near), "near-loose")
     # The sets of these classes are made again from the texts, as most documents never need theirs. Both
     # joins are told to shuffle, so that the plan is the same for any size.

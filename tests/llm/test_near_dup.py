@@ -82,3 +82,22 @@ def test_odd_rows(odd_docs, no_docs):
     kept = drop_near_duplicates(odd_docs)
     assert kept.columns == odd_docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5, 6, 7, 8]
     assert near_duplicates(no_docs).count() == 0 and drop_near_duplicates(no_docs).agg(F.count("*")).first()[0] == 0
+
+
+def test_bands_follow_from_the_link():
+    from marketpanel.llm.near_dup import bands_for
+
+    assert (bands_for((85, 100)), bands_for((80, 100))) == (28, 41)
+    for link in ((85, 100), (80, 100), (50, 100)):
+        assert (1 - (link[0] / link[1]) ** 5) ** bands_for(link) <= 1e-7
+
+
+def test_sketches_have_the_bands_of_their_link():
+    import pyarrow as pa
+
+    from marketpanel.llm.near_dup import _sketch
+
+    docs = pa.RecordBatch.from_pydict({"doc_id": [1], "body": [b"a b c d e f g h"]})
+    for bands in (28, 41):
+        [rows] = _sketch(bands)(iter([docs]))
+        assert len(rows.column("keys")[0].as_py()) == bands and len(rows.column("sig")[0].as_py()) == -(-bands * 5 * 4 // 64) * 8
