@@ -36,23 +36,19 @@ def text_bytes(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), body.alias("body"), *extra)
 
 
-def with_body(docs: DataFrame) -> tuple[DataFrame, str]:
-    """`docs` plus the text as UTF-8 bytes (null: empty), under a name that no column has."""
-    name = "body"
-    while name in (c.lower() for c in docs.columns):
-        name += "_"
-    return docs.withColumn(name, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")), name
+def cuts(values: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of slices of strings or binaries that hold about `limit` bytes each, one value at least."""
+    sizes = pc.binary_length(values).fill_null(0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(sizes) // limit
+    starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(values)]
+    yield from ((lo, hi) for lo, hi in zip(starts, starts[1:]) if hi > lo)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that a slice holds about `limit` bytes of `column`, one row at least."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes) // limit
-        starts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(starts, starts[1:]):
-            if hi > lo:
-                yield batch.slice(lo, hi - lo)
+        for lo, hi in cuts(batch.column(column), limit):
+            yield batch.slice(lo, hi - lo)
 
 
 def bounded_sample(rows: DataFrame, size: int, *keys: str) -> DataFrame:

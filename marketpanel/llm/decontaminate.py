@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketpanel.llm.common import WordHashes, query, slices, table, text_bytes, window_hashes, with_body
+from marketpanel.llm.common import WordHashes, cuts, query, slices, table, text_bytes, window_hashes
 
 MIN_MATCH = 5
 THRESHOLD = 0.5
 # Text of the benchmark that is broadcast at once; a larger benchmark is taken in blocks.
 BLOCK_BYTES = 16 << 20
-SLICE = 4 << 20
+SLICE = 1 << 20
+# Words whose hashes a worker remembers.
+REMEMBERED = 100_000
 _BASE = 0x9E3779B97F4A7C15
 _FIRST_LENGTH = 20
 
@@ -128,28 +130,27 @@ class Items:
         return out
 
 
-def _found(items: Items, batches: Iterator[pa.RecordBatch], body: str):
-    """(slice, its documents' word counts, {row: coverage of items})."""
-    hashes, least = WordHashes(), items.least
-    for batch in slices(batches, body, SLICE):
-        words = [text.lower().split() for text in batch.column(body).to_pylist()]
-        counts = np.array([len(w) for w in words])
-        flat = hashes([w for ws in words for w in ws])
-        out: dict[int, list[tuple[str, float]]] = {}
-        windows = window_hashes(flat, least)
-        hits = np.flatnonzero(items.bits[windows & np.uint64(len(items.bits) - 1)])
-        if len(hits) and len(items.seeds):
-            at = np.minimum(np.searchsorted(items.seeds, windows[hits]), len(items.seeds) - 1)
-            hits = hits[items.seeds[at] == windows[hits]]
-            stops = np.cumsum(counts)
-            rows = np.searchsorted(stops, hits, "right")
-            whole = hits + least <= stops[rows]  # not across two documents
-            hits, rows = hits[whole], rows[whole]
-            for row in np.unique(rows).tolist():
-                own = hits[rows == row] if len(rows) < 64 else hits[np.searchsorted(rows, row):np.searchsorted(rows, row, "right")]
-                start = int(stops[row] - counts[row])
-                out[row] = items.coverage(flat[start:int(stops[row])], own - start, windows[own])
-        yield batch, counts, out
+def _found(items: Items, hashes: WordHashes, texts: pa.Array) -> tuple[np.ndarray, dict[int, list[tuple[str, float]]]]:
+    """Word counts of the texts of a slice, and {row: coverage of items}."""
+    least = items.least
+    words = [text.lower().split() for text in texts.to_pylist()]
+    counts = np.array([len(w) for w in words])
+    flat = hashes([w for ws in words for w in ws])
+    out: dict[int, list[tuple[str, float]]] = {}
+    windows = window_hashes(flat, least)
+    hits = np.flatnonzero(items.bits[windows & np.uint64(len(items.bits) - 1)])
+    if len(hits) and len(items.seeds):
+        at = np.minimum(np.searchsorted(items.seeds, windows[hits]), len(items.seeds) - 1)
+        hits = hits[items.seeds[at] == windows[hits]]
+        stops = np.cumsum(counts)
+        rows = np.searchsorted(stops, hits, "right")
+        whole = hits + least <= stops[rows]  # not across two documents
+        hits, rows = hits[whole], rows[whole]
+        for row in np.unique(rows).tolist():
+            own = hits[rows == row] if len(rows) < 64 else hits[np.searchsorted(rows, row):np.searchsorted(rows, row, "right")]
+            start = int(stops[row] - counts[row])
+            out[row] = items.coverage(flat[start:int(stops[row])], own - start, windows[own])
+    return counts, out
 
 
 def _blocks(benchmark: DataFrame, least: int) -> Iterator[Items]:
@@ -180,7 +181,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
 
     def job(items, names_=tuple(rows.columns)):
         def run(batches):
-            for batch, counts, found in _found(items.value, batches, "body"):
+            hashes = WordHashes(REMEMBERED)
+            for batch in slices(batches, "body", SLICE):
+                counts, found = _found(items.value, hashes, batch.column("body"))
                 best = batch.column("best_coverage").to_pylist()
                 names = batch.column("items").to_pylist()
                 for row, covered in found.items():
@@ -199,21 +202,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` that no item covers to the threshold, with their own columns."""
-    spark, names = docs.sparkSession, docs.columns
+    """The rows of `docs` that no item covers to the threshold, with their own columns. Null and empty texts
+    stay. Only the text goes to Python, and only a flag comes back."""
+    spark = docs.sparkSession
 
-    def job(items, body):
-        def run(batches):
-            for batch, counts, found in _found(items.value, batches, body):
-                keep = np.ones(len(counts), bool)
-                for row, covered in found.items():
-                    keep[row] = max(c for _, c in covered) < threshold
-                yield batch.filter(pa.array(keep)).select(names)
-        return run
+    def clean(items):
+        @F.arrow_udf("boolean")
+        def judge(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            hashes = WordHashes(REMEMBERED)
+            for texts in parts:
+                keep = np.ones(len(texts), bool)
+                for lo, hi in cuts(texts, SLICE):
+                    for row, covered in _found(items.value, hashes, texts.slice(lo, hi - lo))[1].items():
+                        keep[lo + row] = max(c for _, c in covered) < threshold
+                yield pa.array(keep)
+
+        return judge
 
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
     for items in _blocks(benchmark, least):
-        held, body = with_body(docs)
-        docs = held.mapInArrow(job(spark.sparkContext.broadcast(items), body), docs.schema)
+        docs = docs.filter(clean(spark.sparkContext.broadcast(items))(body))
     return docs
 
 
