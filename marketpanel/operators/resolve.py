@@ -85,6 +85,30 @@ def winners(observations: DataFrame) -> DataFrame:
     )
 
 
+_SOURCE = (*IDENTITY, "source_role", "source_id", "source_precedence")
+
+
+def contents(observations: DataFrame) -> DataFrame:
+    """One row a content (identity, role, source, precedence, hash), with its `last` arrival."""
+    return observations.groupBy(*_SOURCE, "row_hash").agg(F.max(F.struct(*ARRIVAL)).alias("last"))
+
+
+def latest_contents(found: DataFrame) -> DataFrame:
+    """The two latest contents of each identity, role, source and precedence; all that a resolution can ask for.
+
+    Contents of several batches may be added up (`merged_contents`) and cut again: one that is cut has two later ones
+    before it, whose last arrivals can only grow, so it is not missed unless it arrives again.
+    """
+    newest = Window.partitionBy(*_SOURCE).orderBy(F.desc("last"))
+    return found.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= 2).drop("_n")
+
+
+def merged_contents(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Latest contents of two tables of latest contents."""
+    both = stored.select(*fresh.columns).unionByName(fresh)
+    return latest_contents(both.groupBy(*_SOURCE, "row_hash").agg(F.max("last").alias("last")))
+
+
 def resolve(observations: DataFrame) -> DataFrame:
     """Winners with the record they supersede: the latest other row which was provisional or came
     from the same source, and differs in content.
@@ -93,11 +117,11 @@ def resolve(observations: DataFrame) -> DataFrame:
     the winner's own), so copies collapse first, older contents are cut before the exchange of the
     window, and what meets per identity is bounded by the number of sources.
     """
-    contents = observations.groupBy(
-        *IDENTITY, "source_role", "source_id", "source_precedence", "row_hash"
-    ).agg(F.max(F.struct(*ARRIVAL)).alias("last"))
-    newest = Window.partitionBy(*IDENTITY, "source_role", "source_id", "source_precedence").orderBy(F.desc("last"))
-    kept = contents.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= 2)
+    return resolved(latest_contents(contents(observations)))
+
+
+def resolved(kept: DataFrame) -> DataFrame:
+    """The resolution of each identity from its latest contents."""
     fields = ("source_precedence", "last", "row_hash", "source_id", "source_role")
     grouped = kept.groupBy(*IDENTITY).agg(F.collect_list(F.struct(*fields)).alias("_c"))
     finals = grouped.withColumn("_f", F.filter("_c", lambda c: c["source_role"] == FINAL_ROLE)).withColumn(
@@ -180,14 +204,42 @@ def precedence_conflicts(stored: DataFrame, incoming: DataFrame) -> DataFrame:
         F.col("source_precedence").alias("stored_precedence"),
     )
     joined = attach(incoming, prior, IDENTITY).filter(F.col("source_id") != F.col("stored_source"))
-    rule = (
-        F.when(F.col("source_precedence").isNull() | F.col("stored_precedence").isNull(), "missing_precedence")
-        .when(F.col("source_precedence") < F.col("stored_precedence"), "lower_precedence")
-        .when(F.col("source_precedence") == F.col("stored_precedence"), "ambiguous_source")
-    )
+    rule = refusal(F.col("source_precedence"), F.col("stored_precedence"))
     return joined.withColumn("rule", rule).filter(F.col("rule").isNotNull())
 
 
+def refusal(incoming: Column, stored: Column) -> Column:
+    """Why a row of another source may not replace a stored one, by their precedences; null if it may."""
+    return (
+        F.when(incoming.isNull() | stored.isNull(), "missing_precedence")
+        .when(incoming < stored, "lower_precedence")
+        .when(incoming == stored, "ambiguous_source")
+    )
+
+
+def winning_rows(observations: DataFrame) -> DataFrame:
+    """The rows that win their identity, one each; identities without a winner have none."""
+    best = winners(observations).filter(F.col("winner").isNotNull()).select(*IDENTITY, "winner")
+    return attach(observations, best, IDENTITY).filter(F.struct(*ARRIVAL) == F.col("winner")).drop("winner")
+
+
+def guarded_merge(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(stored, incoming, rule, kept) per identity of two tables with a row an identity: structs of their rows, why the
+    incoming one is refused, and which is kept. One full join decides all of it: a refused row and one of equal hash
+    leave what is stored."""
+    left = stored.select(F.struct(*[F.col(c) for c in stored.columns]).alias("stored"))
+    right = incoming.select(F.struct(*[F.col(c) for c in incoming.columns]).alias("incoming"))
+    same = F.lit(True)
+    for c in IDENTITY:
+        same = same & F.col(f"stored.{c}").eqNullSafe(F.col(f"incoming.{c}"))
+    joined = left.join(right, same, "full")
+    both = F.col("stored").isNotNull() & F.col("incoming").isNotNull()
+    other = both & ~F.col("stored.source_id").eqNullSafe(F.col("incoming.source_id"))
+    rule = F.when(other, refusal(F.col("incoming.source_precedence"), F.col("stored.source_precedence")))
+    stays = F.col("incoming").isNull() | F.col("rule").isNotNull() | (both & F.col("stored.row_hash").eqNullSafe(F.col("incoming.row_hash")))
+    return joined.withColumn("rule", rule).withColumn("kept", F.when(stays, F.col("stored")).otherwise(F.col("incoming")))
+
+
 def batch_manifest(rows: DataFrame, batch: Sequence[str], start: Column, end: Column) -> DataFrame:
     """Manifest per batch: covered dates, count, order-free content hash, range status."""
     shape = [

@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from marketpanel.operators import panel
-from marketpanel.plans.registry import query
+from marketpanel.plans import ingest  # noqa: F401  (its oracle of the resolution is that of the stream, too)
+from marketpanel.plans.registry import ORACLES, query
 from marketpanel.sources.sinks import work_folder
-from marketpanel.streaming import last_price, upserts
+from marketpanel.sources.tables import IDENTITY
+from marketpanel.streaming import last_price, resolution, upserts
 
 KEYS = ("day", "user_id", "event_type")
 CHUNK_EVENTS = 4096
@@ -84,3 +86,65 @@ def stream_prev_day(t):
     finally:
         t.spark.conf.set(provider, before)
     return t.spark.read.parquet(f"{folder}/table")
+
+
+_IDENT = "CAST(transaction_date AS VARCHAR) AS transaction_date, CAST(market_code AS BIGINT) AS market_code, crop_code, dataset_semantics"
+_ROW = "source_id, source_precedence, row_hash, batch_no, page_no, row_a, row_b, price_c"
+COMMITS = 3
+
+
+def _publish_oracle():
+    """Each batch in turn: its winners, what the guard says of them beside the table so far, and the next table."""
+    from marketpanel.plans import oracle as o
+
+    keys = "transaction_date, market_code, crop_code, dataset_semantics"
+    sql = o.with_ctes(o.FEED)
+    for k in range(COMMITS):
+        sql += f""",
+f{k} AS (SELECT * FROM feed WHERE batch_no % {COMMITS} = {k} AND source_role = 'authoritative_final'),
+p{k} AS (SELECT {keys}, max(source_precedence) AS top FROM f{k} GROUP BY ALL),
+h{k} AS (SELECT {keys}, top FROM f{k} JOIN p{k} USING ({keys}) WHERE source_precedence = top GROUP BY ALL HAVING count(DISTINCT source_id) = 1),
+w{k} AS (SELECT {keys}, {{{', '.join(f"'{c.strip()}': {c.strip()}" for c in _ROW.split(','))}}} AS n FROM f{k} JOIN h{k} USING ({keys}) WHERE source_precedence = top
+  QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY batch_no DESC, page_no DESC, row_a DESC, row_b DESC) = 1)"""
+        if k == 0:
+            sql += ", s0 AS (SELECT * FROM w0)"
+        else:
+            sql += f""",
+j{k} AS (SELECT {keys}, s.n AS old, w.n AS new, CASE WHEN s.n.source_id <> w.n.source_id AND w.n.source_precedence < s.n.source_precedence THEN 'lower_precedence'
+    WHEN s.n.source_id <> w.n.source_id AND w.n.source_precedence = s.n.source_precedence THEN 'ambiguous_source' END AS rule
+  FROM s{k - 1} s FULL JOIN w{k} w USING ({keys})),
+s{k} AS (SELECT {keys}, CASE WHEN new IS NULL OR rule IS NOT NULL OR (old IS NOT NULL AND old.row_hash = new.row_hash) THEN old ELSE new END AS n FROM j{k})"""
+    out = f"SELECT 'stored' AS outcome, {_IDENT}, n.* FROM s{COMMITS - 1}"
+    for k in range(1, COMMITS):
+        out += f" UNION ALL SELECT rule, {_IDENT}, new.* FROM j{k} WHERE rule IS NOT NULL"
+    return f"{sql}\nSELECT outcome, transaction_date, market_code, crop_code, dataset_semantics, source_id, source_precedence::BIGINT AS source_precedence, row_hash, batch_no, page_no::BIGINT AS page_no, row_a, row_b, price_c FROM ({out})"
+
+
+@query("partition_upsert", _publish_oracle())
+def partition_upsert(t):
+    """Three batches, the third by another writer's name and the second one twice, published behind the guard."""
+    folder = work_folder(t.spark, "partition-upsert")
+    columns = [*IDENTITY, *[c.strip() for c in _ROW.split(",")]]
+    refused = []
+    for k, name in ((0, "one-0"), (1, "one-1"), (1, "one-1"), (2, "two-0")):
+        out = resolution.publish_observations(t.feed.filter(F.col("batch_no") % COMMITS == k), folder, name)
+        if name not in [n for n, _ in refused]:
+            refused.append((name, out.select(F.col("rule").alias("outcome"), *columns)))
+    rows = resolution.published(t.spark, folder).select(F.lit("stored").alias("outcome"), *columns)
+    for _, out in refused:
+        rows = rows.unionByName(out)
+    return rows
+
+
+@query("stream_resolve", ORACLES["resolve"])
+def stream_resolve(t):
+    """Three files, the latest arrivals first, against the resolution of the whole table."""
+    folder = work_folder(t.spark, "stream-resolve")
+    feed = t.feed.drop("observed_on", "level", "canonical_id", "price_c", "volume_c")
+    for k in range(COMMITS):
+        feed.filter(F.col("batch_no") % COMMITS == COMMITS - 1 - k).write.mode("append").parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    _finish(resolution.resolve_stream(stream, f"{folder}/table", f"{folder}/checkpoint"))
+    return resolution.resolution(t.spark, f"{folder}/table").select(
+        *IDENTITY, "winner.*", "winner_hash", "winner_source", "winner_precedence", "is_ambiguous", "supersedes_hash",
+    )

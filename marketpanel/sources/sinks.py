@@ -61,16 +61,28 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     system.delete(held, True)
 
 
-# Partitions that one batch may touch; more is an error, never a cut.
-MOST_PARTITIONS = 10_000
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders directly inside a folder, by name; none if it does not exist."""
+    held, system = _path(spark, path)
+    found = system.listStatus(held) if system.exists(held) else []
+    return sorted(f"{path}/{f.getPath().getName()}" for f in found if f.isDirectory())
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files directly inside a folder; none if it does not exist."""
+    held, system = _path(spark, path)
+    return sorted(f.getPath().getName() for f in system.listStatus(held) if f.isFile()) if system.exists(held) else []
+
 
+# Partition values that are named as literals in the filter of a scan, so that it prunes while it is planned. More
+# of them are joined, which prunes while it runs if Spark finds the join side small, and is right in any case.
+LITERALS = 1_000
 
-def touched_partitions(incoming: DataFrame, partition: str) -> list:
-    """The partition values of a batch, to be named in the filter of a scan so that it prunes."""
-    found = [row[0] for row in incoming.select(partition).distinct().limit(MOST_PARTITIONS + 1).collect()]
-    if len(found) > MOST_PARTITIONS:
-        raise ValueError(f"a batch touches more than {MOST_PARTITIONS} values of {partition}; split it")
-    return found
+
+def touched_partitions(incoming: DataFrame, partition: str) -> list | None:
+    """The partition values of a batch, or None if there are more than LITERALS."""
+    found = [row[0] for row in incoming.select(partition).distinct().limit(LITERALS + 1).collect()]
+    return found if len(found) <= LITERALS else None
 
 
 def only_partitions(stored: DataFrame, partition: str, values: list) -> DataFrame:
@@ -80,6 +92,15 @@ def only_partitions(stored: DataFrame, partition: str, values: list) -> DataFram
     return stored.filter(condition | F.col(partition).isNull() if None in values else condition)
 
 
+def only_touched(stored: DataFrame, incoming: DataFrame, partition: str) -> DataFrame:
+    """Rows of the partitions that a batch has."""
+    values = touched_partitions(incoming, partition)
+    if values is not None:
+        return only_partitions(stored, partition, values)
+    wanted = incoming.select(F.col(partition).alias("_wanted")).distinct()
+    return stored.join(wanted, stored[partition].eqNullSafe(wanted["_wanted"]), "left_semi")
+
+
 def overwrite_partitions(rows: DataFrame, path: str, partition: str) -> None:
     """Replace only the partitions present in `rows`. Rows are clustered by partition first, so a
     task writes few files; the rebalance lets adaptive execution split a hot date over many tasks
@@ -89,6 +110,11 @@ def overwrite_partitions(rows: DataFrame, path: str, partition: str) -> None:
     ).partitionBy(partition).parquet(path)
 
 
+def overwrite_folder(rows: DataFrame, path: str, partition: str) -> None:
+    """Write a folder anew, clustered as in `overwrite_partitions`."""
+    rows.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition).parquet(path)
+
+
 def write_snapshot(rows: DataFrame, path: str, snapshot_date: str) -> None:
     """One dated snapshot; `current` is the highest date and needs no second copy."""
     dated = rows.withColumn("snapshot_date", F.lit(snapshot_date).cast("date"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marketpanel.operators.resolve import upsert
 from marketpanel.sources.sinks import (
-    is_complete, only_partitions, overwrite_partitions, read_or_none, remove_folder, touched_partitions,
+    files, folders, is_complete, only_touched, overwrite_partitions, read_or_none, remove_folder,
 )
 
 
@@ -39,7 +39,7 @@ def merge_partitions(
     if not is_complete(spark, stage):
         stored = read_or_none(spark, path)
         if stored is not None:
-            stored = only_partitions(stored, partition, touched_partitions(incoming, partition)).select(*incoming.columns)
+            stored = only_touched(stored, incoming, partition).select(*incoming.columns)
             incoming = stored.unionByName(incoming)
         upsert(incoming, chunk, keys, order, value).write.mode("overwrite").parquet(stage)
     overwrite_partitions(spark.read.parquet(stage), path, partition)
@@ -59,21 +59,52 @@ def upsert_stream(
 
     A row counts as later than all rows of the batches before, whatever its own order, as in the batch job
     over rows ordered by (ingest, order); `ingest` is stored beside the row. So it need not be known where
-    the run of a stored row ended.
+    the run of a stored row ended. Batches of another stream into the same table (or of this one after its
+    checkpoint was lost) count as later than all that is stored: a batch's number follows the highest one stored
+    when its stream began. A stage is named by the stream's own id, so none is taken for another's; that of a
+    committed batch is removed by the next batch or the next start.
     """
+    spark, stage = stream.sparkSession, f"{path}-stage"
+    _drop_committed(spark, stage, checkpoint)
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark, stage = batch.sparkSession, f"{path}-stage"
-        stamped = batch.withColumn("ingest", F.lit(batch_id).cast("bigint"))
+        spark = batch.sparkSession
+        own = f"{stage}/{stream_id(spark, checkpoint)}"
+        stamped = batch.withColumn("ingest", F.lit(_first_ingest(spark, own, path) + batch_id).cast("bigint"))
         merge_partitions(
-            spark, stamped, path, f"{stage}/{batch_id}", keys, ["ingest", *order], value, partition, F.struct("ingest", chunk())
+            spark, stamped, path, f"{own}/{batch_id}", keys, ["ingest", *order], value, partition, F.struct("ingest", chunk())
         )
-        remove_folder(spark, f"{stage}/{batch_id - 1}")  # its batch is committed
+        remove_folder(spark, f"{own}/{batch_id - 1}")  # its batch is committed
+
+    return started(stream, apply, checkpoint)
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream has from its checkpoint on, so another after the checkpoint is made anew."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
+
+
+def _first_ingest(spark: SparkSession, own: str, path: str) -> int:
+    """What is added to a stream's batch numbers, decided and written down before its first batch changes the table."""
+    note = f"{own}/first"
+    if not is_complete(spark, note):
+        stored = read_or_none(spark, path)
+        last = None if stored is None else stored.agg(F.max("ingest")).first()[0]
+        spark.range(1).select(F.lit(0 if last is None else last + 1).cast("bigint").alias("first")).write.mode("overwrite").parquet(note)
+    return spark.read.parquet(note).first()[0]
+
 
-    return _started(stream, apply, checkpoint)
+def _drop_committed(spark: SparkSession, stage: str, checkpoint: str) -> None:
+    """Remove the stages of a stream's batches that its checkpoint knows as committed."""
+    done = set(files(spark, f"{checkpoint}/commits"))
+    if done:
+        own = f"{stage}/{stream_id(spark, checkpoint)}"
+        for folder in folders(spark, own):
+            if folder.rsplit("/", 1)[-1] in done:
+                remove_folder(spark, folder)
 
 
-def _started(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
+def started(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     return (
         stream.writeStream.foreachBatch(apply)
         .option("checkpointLocation", checkpoint)
@@ -96,7 +127,7 @@ def daily_totals_stream(stream: DataFrame, ts: str, item: str, amount: Column, p
         sums = batch.groupBy(day.alias("day"), item).agg(F.count(F.lit(1)).alias("event_count"), F.sum(amount).alias("total_c"))
         _own_folder(sums, path, batch_id, "day")
 
-    return _started(stream, apply, checkpoint)
+    return started(stream, apply, checkpoint)
 
 
 def daily_totals(spark: SparkSession, path: str, item: str) -> DataFrame:
@@ -117,11 +148,11 @@ def unique_stream(stream: DataFrame, ts: str, key: str, path: str, checkpoint: s
         stored = read_or_none(spark, path)
         if stored is not None:
             before = stored.filter(F.col("batch_id") < batch_id)
-            known = only_partitions(before, "day", touched_partitions(fresh, "day")).select(key)
+            known = only_touched(before, fresh, "day").select(key)
             fresh = fresh.join(known, key, "left_anti")
         _own_folder(fresh, path, batch_id, "day")
 
-    return _started(stream, apply, checkpoint)
+    return started(stream, apply, checkpoint)
 
 
 def with_stale_fallback(live: DataFrame, last_good: DataFrame, keys: Sequence[str]) -> DataFrame:

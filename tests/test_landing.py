@@ -105,6 +105,24 @@ def test_pinned_headers_and_widths(spark):
         (3, 1, None, "2", None, "unknown_header"), (4, 1, "retail-3col", "a\nb", "1,250", None)]
 
 
+def test_long_cells_and_many_lines(spark):
+    """A quoted cell of 1 MB, one of doubled quotes alone, and a file of 100,000 lines, read in one pass each."""
+    import time
+
+    header = "序號,項目,平均(元/台斤)\n"
+    long = "x,\n" * 350_000
+    files = spark.createDataFrame([
+        (1, header + f'1,"{long}",2\n3,y,4'), (2, header + '1,"' + '""' * 200_000 + '",2'), (3, header + "1,甘藍,2\n" * 100_000),
+        (4, "\ufeff㈠号,項目\n1,2"), (5, "序號,項目,平均（元／台斤）\u3000\n1,\"a\"\"b\",2")], "f int, raw_text string")
+    start = time.time()
+    out = landing.csv_rows(files).filter("f <> 3").select("f", "line_no", "contract", "c1", "c2", "problem").collect()
+    by = {(r.f, r.line_no): r for r in out}
+    assert by[1, 1].c1 == long and by[1, 1].c2 == "2" and by[1, 2].c1 == "y" and by[1, 1].problem is None
+    assert by[2, 1].c1 == '"' * 200_000 and by[4, 1].problem == "unknown_header" and (by[5, 1].contract, by[5, 1].c1) == ("retail-3col", 'a"b')
+    many = landing.csv_rows(files.filter("f = 3"))
+    assert many.filter("problem IS NULL").count() == 100_000 and time.time() - start < 60
+
+
 TABLE = """<html><table class="x table-a-products"><tr><th>h</th></tr>
 <tr><td data-th="種類">水果</td><td data-th="農產品">香&amp;蕉 <b>大</b></td><td data-th="品種名稱">北蕉</td><td data-th="縣市">屏東縣</td>
 <td data-th="行政區">內埔鄉</td><td data-th="盛產月份">3月、 8 月</td></tr>
