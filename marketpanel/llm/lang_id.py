@@ -53,7 +53,8 @@ class Languages:
     word_logs: np.ndarray
     grams: dict[str, int]
     gram_logs: np.ndarray
-    known: dict[str, np.ndarray] = field(default_factory=dict)
+    known: dict[str, int] = field(default_factory=dict)
+    held: np.ndarray | None = None
 
     def evidence(self, word: str) -> np.ndarray:
         """Log frequency of a word in each language, or the mean of that of its known n-grams of one length."""
@@ -67,12 +68,16 @@ class Languages:
         return np.zeros(len(self.names))
 
     def rows(self, words: list[str]) -> np.ndarray:
-        """Evidence of each word; what a worker remembers is bounded."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for w in set(words).difference(self.known):
-            self.known[w] = self.evidence(w)
-        return np.array([self.known[w] for w in words])
+        """Evidence of each word. A worker remembers at most REMEMBERED words, or those of one slice."""
+        fresh = set(words).difference(self.known)
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known, self.held, fresh = {}, None, set(words)
+        if fresh:
+            start = len(self.known)
+            self.known.update(zip(fresh, range(start, start + len(fresh))))
+            found = np.array([self.evidence(w) for w in fresh])
+            self.held = found if self.held is None else np.concatenate([self.held, found])
+        return self.held[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
     def judge(self, texts: list[str]) -> list[tuple[str, float]]:
         """(language, posterior) of each text; of equal ones the first by name."""
