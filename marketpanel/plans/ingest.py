@@ -312,38 +312,38 @@ def row_hash(t):
 
 
 _IDENT = "CAST(transaction_date AS VARCHAR) AS transaction_date, CAST(market_code AS BIGINT) AS market_code, crop_code, dataset_semantics"
-_PART = "transaction_date, market_code, crop_code, dataset_semantics"
+PART = "transaction_date, market_code, crop_code, dataset_semantics"
 _ORDER = "batch_no, page_no, row_a, row_b"
 # Arrivals of one chunk lie next to each other; see skew.sequence_runs.
 CHUNK_BATCHES = 4096
 
 
 @query("upsert", o.with_ctes(o.FEED) + f""",
-m AS (SELECT *, lag(row_hash) OVER (PARTITION BY {_PART} ORDER BY {_ORDER}) IS DISTINCT FROM row_hash AS starts FROM feed),
-w AS (SELECT *, row_number() OVER (PARTITION BY {_PART} ORDER BY batch_no DESC, page_no DESC, row_a DESC, row_b DESC) AS n FROM m WHERE starts)
+m AS (SELECT *, lag(row_hash) OVER (PARTITION BY {PART} ORDER BY {_ORDER}) IS DISTINCT FROM row_hash AS starts FROM feed),
+w AS (SELECT *, row_number() OVER (PARTITION BY {PART} ORDER BY batch_no DESC, page_no DESC, row_a DESC, row_b DESC) AS n FROM m WHERE starts)
 SELECT {_IDENT}, batch_no, page_no::BIGINT AS page_no, row_a, row_b, price_c, volume_c, source_id, row_hash FROM w WHERE n = 1""")
 def upsert(t):
     kept = resolve.upsert(t.feed, F.floor(F.col("batch_no") / CHUNK_BATCHES))
     return kept.select(*IDENTITY, *ARRIVAL, "price_c", "volume_c", "source_id", "row_hash")
 
 
-_WINNERS = f""",
-tops AS (SELECT *, max(source_precedence) OVER (PARTITION BY {_PART}) AS top FROM feed WHERE source_role = 'authoritative_final'),
-amb AS (SELECT {_PART}, count(DISTINCT source_id) > 1 AS is_ambiguous, max(top) AS top FROM tops WHERE source_precedence = top GROUP BY ALL),
-win AS (SELECT tops.*, row_number() OVER (PARTITION BY {_PART} ORDER BY batch_no DESC, page_no DESC, row_a DESC, row_b DESC) AS n
-  FROM tops JOIN amb USING ({_PART}) WHERE source_precedence = amb.top AND NOT is_ambiguous),
-cnt AS (SELECT {_PART}, count(*) AS candidate_rows, count(*) FILTER (source_role = 'authoritative_final') AS authoritative_rows FROM feed GROUP BY ALL)"""
+WINNERS = f""",
+tops AS (SELECT *, max(source_precedence) OVER (PARTITION BY {PART}) AS top FROM feed WHERE source_role = 'authoritative_final'),
+amb AS (SELECT {PART}, count(DISTINCT source_id) > 1 AS is_ambiguous, max(top) AS top FROM tops WHERE source_precedence = top GROUP BY ALL),
+win AS (SELECT tops.*, row_number() OVER (PARTITION BY {PART} ORDER BY batch_no DESC, page_no DESC, row_a DESC, row_b DESC) AS n
+  FROM tops JOIN amb USING ({PART}) WHERE source_precedence = amb.top AND NOT is_ambiguous),
+cnt AS (SELECT {PART}, count(*) AS candidate_rows, count(*) FILTER (source_role = 'authoritative_final') AS authoritative_rows FROM feed GROUP BY ALL)"""
 
 
-@query("resolve", o.with_ctes(o.FEED) + _WINNERS + f""",
+@query("resolve", o.with_ctes(o.FEED) + WINNERS + f""",
 prior AS (
-  SELECT {_PART}, feed.row_hash, row_number() OVER (PARTITION BY {_PART} ORDER BY feed.batch_no DESC, feed.page_no DESC, feed.row_a DESC, feed.row_b DESC) AS k
-  FROM feed JOIN win USING ({_PART})
+  SELECT {PART}, feed.row_hash, row_number() OVER (PARTITION BY {PART} ORDER BY feed.batch_no DESC, feed.page_no DESC, feed.row_a DESC, feed.row_b DESC) AS k
+  FROM feed JOIN win USING ({PART})
   WHERE win.n = 1 AND feed.row_hash <> win.row_hash AND (feed.source_role = 'provisional' OR feed.source_id = win.source_id))
 SELECT {_IDENT}, win.batch_no, win.page_no::BIGINT AS page_no, win.row_a, win.row_b, win.row_hash AS winner_hash, win.source_id AS winner_source,
   win.source_precedence::BIGINT AS winner_precedence, coalesce(is_ambiguous, false) AS is_ambiguous, prior.row_hash AS supersedes_hash
-FROM cnt LEFT JOIN amb USING ({_PART}) LEFT JOIN (SELECT * FROM win WHERE n = 1) win USING ({_PART})
-  LEFT JOIN (SELECT * FROM prior WHERE k = 1) prior USING ({_PART})""")
+FROM cnt LEFT JOIN amb USING ({PART}) LEFT JOIN (SELECT * FROM win WHERE n = 1) win USING ({PART})
+  LEFT JOIN (SELECT * FROM prior WHERE k = 1) prior USING ({PART})""")
 def resolve_sources(t):
     out = resolve.resolve(t.feed)
     return out.select(
@@ -351,20 +351,20 @@ def resolve_sources(t):
     )
 
 
-@query("resolution_decisions", o.with_ctes(o.FEED) + _WINNERS + f"""
+@query("resolution_decisions", o.with_ctes(o.FEED) + WINNERS + f"""
 SELECT {_IDENT}, feed.batch_no, feed.page_no::BIGINT AS page_no, feed.row_a, feed.row_b, feed.source_id, feed.source_role,
   feed.source_precedence::BIGINT AS source_precedence, feed.row_hash,
   coalesce((feed.batch_no, feed.page_no, feed.row_a, feed.row_b) = (w.batch_no, w.page_no, w.row_a, w.row_b), false) AS is_eligible,
   coalesce(is_ambiguous, false) AS is_ambiguous, 'sha256:' || sha256(concat_ws(chr(31), 'sha256:' || sha256(concat_ws(chr(31), feed.source_id,
     CAST(feed.transaction_date AS VARCHAR))), feed.row_hash, CAST(feed.batch_no AS VARCHAR), CAST(feed.page_no AS VARCHAR), CAST(feed.row_a AS VARCHAR),
     CAST(feed.row_b AS VARCHAR))) AS observation_id
-FROM feed JOIN cnt USING ({_PART}) LEFT JOIN amb USING ({_PART}) LEFT JOIN (SELECT * FROM win WHERE n = 1) w USING ({_PART})
+FROM feed JOIN cnt USING ({PART}) LEFT JOIN amb USING ({PART}) LEFT JOIN (SELECT * FROM win WHERE n = 1) w USING ({PART})
 WHERE candidate_rows > 1 OR w.batch_no IS NULL""")
 def resolution_decisions(t):
     return resolve.decisions(t.feed)
 
 
-@query("run_evidence", o.with_ctes(o.FEED) + _WINNERS + """,
+@query("run_evidence", o.with_ctes(o.FEED) + WINNERS + """,
 e AS (SELECT source_id, transaction_date, count(*) AS eligible FROM win WHERE n = 1 GROUP BY ALL),
 r AS (SELECT source_id, transaction_date, count(*) AS normalized_count FROM feed GROUP BY ALL)
 SELECT 'sha256:' || sha256(concat_ws(chr(31), source_id, CAST(transaction_date AS VARCHAR))) AS run_id, source_id,
@@ -376,11 +376,11 @@ def run_evidence(t):
 
 
 @query("precedence_guard", o.with_ctes(o.FEED) + f""",
-st AS (SELECT *, row_number() OVER (PARTITION BY {_PART} ORDER BY batch_no DESC, page_no DESC, row_a DESC, row_b DESC) AS n FROM feed WHERE batch_no % 2 = 0)
+st AS (SELECT *, row_number() OVER (PARTITION BY {PART} ORDER BY batch_no DESC, page_no DESC, row_a DESC, row_b DESC) AS n FROM feed WHERE batch_no % 2 = 0)
 SELECT CAST(i.transaction_date AS VARCHAR) AS transaction_date, i.market_code::BIGINT AS market_code, i.crop_code, i.batch_no,
   i.page_no::BIGINT AS page_no, i.row_a, i.row_b, i.source_id, st.source_id AS stored_source,
   CASE WHEN i.source_precedence < st.source_precedence THEN 'lower_precedence' ELSE 'ambiguous_source' END AS rule
-FROM feed i JOIN st USING ({_PART}) WHERE i.batch_no % 2 = 1 AND st.n = 1 AND i.source_id <> st.source_id AND i.source_precedence <= st.source_precedence""")
+FROM feed i JOIN st USING ({PART}) WHERE i.batch_no % 2 = 1 AND st.n = 1 AND i.source_id <> st.source_id AND i.source_precedence <= st.source_precedence""")
 def precedence_guard(t):
     even = F.col("batch_no") % 2 == 0
     stored = t.feed.filter(even).groupBy(*IDENTITY).agg(
@@ -392,7 +392,7 @@ def precedence_guard(t):
     )
 
 
-_LANES = ", ".join(
+LANES = ", ".join(
     f"CAST(sum(CAST('0x' || substr(row_hash, {8 + 15 * i}, 15) AS BIGINT)) AS VARCHAR)" for i in range(4)
 )
 
@@ -400,7 +400,7 @@ _LANES = ", ".join(
 @query("batch_manifest", o.with_ctes(o.FEED) + f"""
 SELECT source_id, CAST(transaction_date AS VARCHAR) AS transaction_date, CAST(min(observed_on) AS VARCHAR) AS first_date,
   CAST(max(observed_on) AS VARCHAR) AS last_date, count(*) FILTER (observed_on > transaction_date + 27) AS outside_rows,
-  count(*) AS record_count, 'sha256:' || sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_LANES})) AS content_hash,
+  count(*) AS record_count, 'sha256:' || sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {LANES})) AS content_hash,
   CASE WHEN count(*) FILTER (observed_on > transaction_date + 27) > 0 THEN 'outside_requested_range' ELSE 'success' END AS status
 FROM feed GROUP BY source_id, transaction_date""")
 def batch_manifest(t):
@@ -410,7 +410,7 @@ def batch_manifest(t):
 
 @query("snapshot_hash", o.with_ctes(o.FEED) + f"""
 SELECT market_code::BIGINT AS market_code, crop_code, count(*) AS record_count,
-  'sha256:' || sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_LANES})) AS content_hash
+  'sha256:' || sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {LANES})) AS content_hash
 FROM feed GROUP BY ALL""")
 def snapshot_hash(t):
     return skew.content_digest(t.feed, ["market_code", "crop_code"], F.substring("row_hash", 8, 64))
@@ -418,7 +418,7 @@ def snapshot_hash(t):
 
 @query("dup_conflict", o.with_ctes(o.FEED) + f"""
 SELECT {_IDENT}, count(*) AS copies, count(DISTINCT row_hash) > 1 AS is_conflict, min(row_hash) AS kept_hash
-FROM feed GROUP BY {_PART} HAVING count(*) > 1""")
+FROM feed GROUP BY {PART} HAVING count(*) > 1""")
 def dup_conflict(t):
     out = resolve.duplicate_keys(t.feed, IDENTITY, "row_hash", ARRIVAL)
     return out.select(*IDENTITY, "copies", "is_conflict", F.col("kept.row_hash").alias("kept_hash"))

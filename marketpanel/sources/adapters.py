@@ -83,6 +83,12 @@ def lineage_rules(spec: SourceSpec, start: Column, end: Column) -> list[tuple[st
     ]
 
 
+def request_id(source_id: Column, start: Column, end: Column, content_hash: Column, adapter_version: Column, schema_version: Column) -> Column:
+    """Identity of a run by what was asked for and what came: a pull of other content, or read by another version of
+    the adapter or of the source's schema, is another run."""
+    return row_hash(source_id, start, end, content_hash, adapter_version, schema_version)
+
+
 def observation_id(run_id: Column, record_hash: Column, *position: Column) -> Column:
     """Identity of one record of one run, even when two records are equal."""
     return row_hash(run_id, record_hash, *position)
