@@ -19,10 +19,11 @@ def is_synthetic() -> Column:
 
 
 def is_synthetic_anywhere(columns: Sequence[str]) -> Column:
-    """The wide form: a mark in any of the provenance fields the rows carry."""
-    marked = is_synthetic()
-    if "data_mode" in columns:
-        marked = marked | (F.coalesce(F.col("data_mode"), F.lit("")) == SYNTHETIC_MARK)
+    """The wide form: the mark, exactly as written, in any of the provenance fields the rows carry."""
+    marked = F.lit(False)
+    for c in ("fetched_at", "source_status", "data_mode"):
+        if c in columns:
+            marked = marked | F.coalesce(F.col(c) == SYNTHETIC_MARK, F.lit(False))
     if "is_fixture" in columns:
         marked = marked | F.coalesce(F.col("is_fixture"), F.lit(False))
     return marked

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketpanel.functions.dates import day_sequence
+from marketpanel.functions.dates import day_sequence, is_zoned_timestamp
 from marketpanel.functions.numeric import hundredths_to_double, micro_to_double, ratio_micro_long, round6
 from marketpanel.functions.text import flags_text, market_name_key, reject_reason
 from marketpanel.operators import panel
 from marketpanel.operators.filters import analysis_rows, is_synthetic_anywhere, is_trade
 from marketpanel.schemas import FINAL_ROLE, MINIMUM_MARKETS, WINDOWS
 from marketpanel.sources.sinks import materialize
+from marketpanel.sources.tables import SEMANTICS
 
 SCOPE_ITEM = ("scope", "canonical_id")
 MARKET_CROP = ("market_code", "crop_code")
@@ -119,29 +120,54 @@ def manifest_days(manifests: DataFrame) -> DataFrame:
     return days.groupBy("transaction_date").agg(F.min("path").alias("manifest"))
 
 
-def eligible_manifests(manifests: DataFrame) -> DataFrame:
-    """Successful 2xx batches of an authoritative source with a well-formed hash and a real range."""
-    return manifests.filter(
+HASH = "^sha256:[0-9a-f]{64}$"
+
+
+def eligible_manifests(manifests: DataFrame, semantics: str = SEMANTICS) -> DataFrame:
+    """Successful 2xx batches of an authoritative source with a well-formed hash and a real range, and, where the
+    manifests carry them, the right semantics and a zoned time of retrieval."""
+    right = (
         (F.col("status") == "success")
         & F.col("http_status").between(200, 299)
         & (F.col("source_role") == FINAL_ROLE)
-        & F.col("content_hash").rlike("^sha256:[0-9a-f]{64}$")
+        & F.col("content_hash").rlike(HASH)
         & (F.col("start_date") <= F.col("end_date"))
     )
+    if "dataset_semantics" in manifests.columns:
+        right = right & (F.col("dataset_semantics") == semantics)
+    if "retrieved_at" in manifests.columns:
+        right = right & is_zoned_timestamp(F.col("retrieved_at"))
+    return manifests.filter(right)
 
 
-def with_provenance(scoped: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Reject reason of every scoped row, first match wins, and its manifest."""
-    covered = manifest_days(eligible_manifests(manifests))
+def with_provenance(scoped: DataFrame, manifests: DataFrame, semantics: str = SEMANTICS) -> DataFrame:
+    """Reject reason of every scoped row, first match wins, and its manifest.
+
+    Tests of columns that rows need not carry apply where they do: a `row_hash` that is no hash and an item other than
+    `expected_item` (that of the crop's code) make a row invalid, a `fetched_at` that is no zoned time and other
+    `dataset_semantics` (null: stored before there were any) make its provenance unknown.
+    """
+    covered = manifest_days(eligible_manifests(manifests, semantics))
     joined = scoped.join(covered, "transaction_date", "left")
+    has = scoped.columns
+    invalid = F.col("canonical_id").isNull() | F.coalesce(F.length(F.trim("crop_name_raw")) == 0, F.lit(True))
+    if "row_hash" in has:
+        invalid = invalid | ~F.coalesce(F.col("row_hash").rlike(HASH), F.lit(False))
+    if "expected_item" in has:
+        invalid = invalid | ~F.col("canonical_id").eqNullSafe(F.col("expected_item"))
+    unknown = (F.col("source_role") != FINAL_ROLE) | F.col("manifest").isNull()
+    if "fetched_at" in has:
+        unknown = unknown | ~is_zoned_timestamp(F.col("fetched_at"))
+    if "dataset_semantics" in has:
+        unknown = unknown | F.coalesce(F.col("dataset_semantics") != semantics, F.lit(False))
     return joined.withColumn(
         "reason",
         reject_reason(
-            ("fixture", is_synthetic_anywhere(scoped.columns)),
+            ("fixture", is_synthetic_anywhere(has)),
             ("invalid_market_identity", F.col("name_drift")),
-            ("invalid_row", F.col("canonical_id").isNull() | (F.length(F.trim("crop_name_raw")) == 0)),
+            ("invalid_row", invalid),
             ("invalid_value", (F.col("price_c") < 0) | (F.col("volume_c") < 0)),
-            ("provenance_unknown", (F.col("source_role") != FINAL_ROLE) | F.col("manifest").isNull()),
+            ("provenance_unknown", unknown),
         ),
     )
 
@@ -169,16 +195,20 @@ def merge_reasons(quality: DataFrame) -> DataFrame:
     return quality.select(F.explode("reasons").alias("reason", "n")).groupBy("reason").agg(F.sum("n").alias("rows"))
 
 
+# What copies of an observation must agree in; its fetch time and provenance may differ.
+_PAYLOAD = ("price_c", "volume_c", "crop_name_raw", "canonical_id", "source_id", "row_hash")
+
+
 def grid_cells(checked: DataFrame) -> DataFrame:
-    """All the grid needs of one (day, market, crop): the stable accepted row, whether accepted
-    copies differ, and whether rows of unknown provenance were there. State is constant per cell."""
-    pair = F.when(F.col("reason").isNull(), F.struct("price_c", "volume_c"))
+    """All the grid needs of one (day, market, crop): the stable accepted row, whether accepted copies differ in any
+    of their payload, and whether rows of unknown provenance were there. State is constant per cell."""
+    payload = F.when(F.col("reason").isNull(), F.struct(*[c for c in _PAYLOAD if c in checked.columns]))
     return checked.groupBy("transaction_date", *MARKET_CROP).agg(
-        F.min(pair).alias("_kept"),
-        (F.min(pair) != F.max(pair)).alias("_differs"),
+        F.min(payload).alias("_kept"),
+        (F.min(payload) != F.max(payload)).alias("_differs"),
         F.max(F.coalesce(F.col("reason") == "provenance_unknown", F.lit(False))).alias("has_unknown"),
     ).select(
-        "transaction_date", *MARKET_CROP, "_kept.*",
+        "transaction_date", *MARKET_CROP, "_kept.price_c", "_kept.volume_c",
         F.coalesce("_differs", F.lit(False)).alias("has_conflict"), "has_unknown",
     )
 

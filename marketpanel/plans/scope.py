@@ -7,6 +7,7 @@ from marketpanel.plans import oracle as o
 from marketpanel.plans.registry import query
 from marketpanel.schemas import WINDOWS
 from marketpanel.sources.sinks import materialize
+from marketpanel.sources.tables import SEMANTICS
 
 # Fixed values of the test binding.
 CALENDAR_MARKETS = tuple(range(0, 25, 2))
@@ -74,11 +75,19 @@ def manifests(t):
         F.when(F.col("o_orderstatus") == "O", 204).otherwise(200).alias("http_status"),
         F.lit("authoritative_final").alias("source_role"),
         F.concat(F.lit("sha256:"), F.sha2(path, 256)).alias("content_hash"),
+        F.when(F.month("month") == 8, "other").otherwise(SEMANTICS).alias("dataset_semantics"),
+        F.concat(F.col("month").cast("string"), F.when(F.month("month") == 9, " 08:00").otherwise("T08:00:00Z")).alias("retrieved_at"),
     )
 
 
 def checked(t):
+    """Scoped rows with their reject reasons; every reason is planted somewhere."""
+    a, b = F.col("row_a"), F.col("row_b")
     rows = scoped(t).withColumns({
+        "fetched_at": F.when((a % 3 == 0) & (F.col("fetched_at") == " Fixture "), "fixture").when(a % 239 == 4, "2002-01-01").otherwise(F.col("fetched_at")),
+        "row_hash": F.concat(F.when(a % 227 == 1, "md5:").otherwise("sha256:"), F.sha2(F.concat_ws("|", "crop_code", "price_c", "volume_c"), 256)),
+        "expected_item": F.when(a % 233 != 5, F.col("canonical_id")).otherwise("other"),
+        "dataset_semantics": F.when(b % 37 == 2, "other").when(b % 3 != 0, SEMANTICS),
         "data_mode": F.when(F.col("row_a") % 211 == 0, "fixture").when(F.col("row_a") % 2 == 0, "observed"),
         "is_fixture": F.when(F.col("row_b") % 2 == 0, F.col("row_a") % 223 == 0),
     })
@@ -112,16 +121,16 @@ def calendar_cte(source: str = "obs", key: str = "market_code", name: str = "cal
 MANIFESTS = """man AS (
   SELECT 'm-' || CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) || '-' || o_orderstatus AS path,
     CAST(min(o_orderdate) AS DATE) AS s, least(CAST(max(o_orderdate) AS DATE), CAST(date_trunc('month', min(o_orderdate)) AS DATE) + 19) AS e
-  FROM orders WHERE o_orderstatus <> 'P' GROUP BY date_trunc('month', o_orderdate), o_orderstatus)"""
+  FROM orders WHERE o_orderstatus <> 'P' AND month(o_orderdate) NOT IN (8, 9) GROUP BY date_trunc('month', o_orderdate), o_orderstatus)"""
 CHECKED = MANIFESTS + """,
 days AS (SELECT DISTINCT transaction_date FROM obs UNION SELECT DISTINCT calendar_date FROM cal),
 mday AS (SELECT transaction_date, min(path) AS manifest FROM days JOIN man ON transaction_date BETWEEN s AND e GROUP BY ALL),
 checked AS (
-  SELECT scoped.*, manifest, CASE WHEN fixture OR row_a % 211 = 0 OR (row_b % 2 = 0 AND row_a % 223 = 0) THEN 'fixture' WHEN drift THEN 'invalid_market_identity'
-    WHEN canonical_id IS NULL OR trim(crop_name_raw) = '' THEN 'invalid_row' WHEN price_c < 0 OR volume_c < 0 THEN 'invalid_value'
-    WHEN source_role <> 'authoritative_final' OR manifest IS NULL THEN 'provenance_unknown' END AS reason
+  SELECT scoped.*, manifest, CASE WHEN (fixture AND row_a % 3 = 0) OR row_a % 211 = 0 OR (row_b % 2 = 0 AND row_a % 223 = 0) THEN 'fixture' WHEN drift THEN 'invalid_market_identity'
+    WHEN canonical_id IS NULL OR trim(crop_name_raw) = '' OR row_a % 227 = 1 OR row_a % 233 = 5 THEN 'invalid_row' WHEN price_c < 0 OR volume_c < 0 THEN 'invalid_value'
+    WHEN source_role <> 'authoritative_final' OR manifest IS NULL OR row_a % 239 = 4 OR fixture OR row_b % 37 = 2 THEN 'provenance_unknown' END AS reason
   FROM scoped LEFT JOIN mday USING (transaction_date)),
-kept AS (SELECT transaction_date, market_code, crop_code, min({'p': price_c, 'v': volume_c}) AS k, count(DISTINCT (price_c, volume_c)) > 1 AS has_conflict
+kept AS (SELECT transaction_date, market_code, crop_code, min({'p': price_c, 'v': volume_c}) AS k, count(DISTINCT (price_c, volume_c, crop_name_raw, canonical_id, source_id)) > 1 AS has_conflict
   FROM checked WHERE reason IS NULL GROUP BY ALL),
 single AS (SELECT transaction_date, market_code, crop_code, k.p AS price_c, k.v AS volume_c, has_conflict, k.p > 0 AND k.v > 0 AS trade FROM kept)"""
 _CHECKED = (o.OBS, SCOPED, calendar_cte(), CHECKED)
