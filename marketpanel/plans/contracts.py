@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from marketpanel.operators import contracts, evidence, resolve
+from marketpanel.operators import contracts, documents, evidence, resolve, scope
 from marketpanel.operators.skew import attach
 from marketpanel.plans import oracle as o
+from marketpanel.plans import scope as scope_plans
 from marketpanel.plans.evidence import EVENTS, LOTS, events, lots
 from marketpanel.plans.ingest import LANES, PART, WINNERS
-from marketpanel.plans.registry import query
+from marketpanel.plans.registry import ORACLES, query
 from marketpanel.sources.adapters import observation_id, request_id
 from marketpanel.sources.sinks import materialize
 from marketpanel.sources.tables import ARRIVAL, IDENTITY
@@ -183,3 +184,211 @@ v AS (SELECT doc, unnest(list_filter([CASE WHEN not_final AND el > 0 THEN 'run_n
 SELECT CAST(doc AS VARCHAR) AS document, rule, count(*) AS rows, min(key) AS first_key FROM v GROUP BY doc, rule""")
 def run_contract(t):
     return contracts.run_violations(*_documents(t))
+
+
+def _grid_documents(t):
+    """Grid documents of each half year and what is published beside them, all with planted faults."""
+    rows = materialize(scope_plans.grid(t), "grid-rows")
+    hashed = F.col("observation_status").isin("observed", "zero_price", "zero_volume")
+    rows = rows.withColumn("row_hash", F.when(hashed, F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", "transaction_date", "market_code", "crop_code", "observation_status"), 256))))
+    ends = rows.select(F.last_day("transaction_date").alias("as_of_date")).distinct().filter(F.month("as_of_date").isin(6, 12))
+    m, crop = F.col("market_code") % 10, F.col("crop_code")
+    clean = materialize(documents.grid_series(rows, ends), "grid-series")
+    place = lambda k, name: (m == k) & (crop == name)
+    days = (
+        F.when(place(1, "Brand#11"), F.filter("days", lambda d, i: i != 10))
+        .when(place(2, "Brand#12"), F.transform("days", lambda d, i: F.when(i == 0, d.withField("observation_status", F.lit("odd"))).otherwise(d)))
+        .when(place(3, "Brand#13"), F.transform("days", lambda d, i: F.when(i == 5, d.withField("calendar_conflict", ~d["calendar_conflict"])).otherwise(d)))
+        .when(place(4, "Brand#14"), F.transform("days", lambda d: d.withField("price_c", F.coalesce(d["price_c"], F.lit(1).cast("bigint")))))
+        .when(place(5, "Brand#15"), F.transform("days", lambda d: d.withField("row_hash", F.lit(None).cast("string"))))
+        .otherwise(F.col("days"))
+    )
+    series = clean.filter(~place(6, "Brand#21")).withColumn("days", days)
+    stats = scope.grid_stats(rows).join(ends, F.col("transaction_date") == F.col("as_of_date")).drop("transaction_date")
+    pairs = scope.observation_pairs(rows.filter("observation_status = 'observed'")).join(documents.as_of_days(ends), "transaction_date")
+    newest = pairs.groupBy("as_of_date", "market_code", "crop_code").agg(
+        F.max_by(F.struct("transaction_date", "previous_date", "previous_price", "interval_days", "change_pct"), "transaction_date").alias("p"))
+    near = F.col("p.previous_date") >= F.date_sub("as_of_date", documents.GRID_DAYS - 1)
+    newest = newest.select(
+        "as_of_date", "market_code", "crop_code", F.col("p.transaction_date").alias("latest_date"), F.when(near, F.col("p.previous_date")).alias("previous_date"),
+        F.when(near, F.col("p.previous_price")).alias("previous_price"), F.when(near, F.col("p.interval_days")).cast("bigint").alias("interval_days"), F.when(near, F.col("p.change_pct")).alias("change_pct"),
+    )
+    stats = stats.join(newest, ["as_of_date", "market_code", "crop_code"], "left").filter(~place(9, "Brand#22")).withColumns({
+        "price_7d": F.col("price_7d") + F.when(m == 7, 1.0).otherwise(0.0), "coverage_30d": F.col("coverage_30d") + F.when(m == 8, 1).otherwise(0),
+        "_again": F.explode(F.array_repeat(F.lit(1), F.when(place(0, "Brand#23"), 2).otherwise(1))),
+    }).drop("_again")
+    gaps = scope.market_gap(rows.filter("observation_status = 'observed'"), *scope_plans.GAP_MARKETS).withColumnRenamed("transaction_date", "as_of_date")
+    comparisons = clean.select("as_of_date", "crop_code").distinct().join(gaps, ["as_of_date", "crop_code"], "left").withColumns({
+        "comparison_status": F.coalesce("comparison_status", F.lit("not_comparable")), "absolute_gap": F.col("absolute_gap") + F.when(crop == "Brand#24", 1.0).otherwise(0.0),
+    })
+    within = rows.join(documents.as_of_days(ends), "transaction_date")
+    at_end = (F.col("transaction_date") == F.col("as_of_date")) & (F.col("observation_status") == "observed")
+    quality = within.groupBy("as_of_date").agg(
+        (F.count_if("calendar_conflict") + F.when(F.year("as_of_date") % 2 == 1, 1).otherwise(0)).alias("calendar_conflicts"),
+        F.count_distinct(F.when(at_end, F.col("market_code"))).alias("observed_market_count"), F.count_distinct(F.when(at_end, F.col("crop_code"))).alias("observed_crop_count"),
+    )
+    return series, stats, comparisons, quality, clean
+
+
+_AT = "as_of, market_code, crop_code"
+_WIN_SQL = ", ".join(
+    f"CASE WHEN sum(volume_c) FILTER (ob AND back <= {n}) > 0 THEN CAST((20000 * sum(price_c * volume_c) FILTER (ob AND back <= {n}) + sum(volume_c) FILTER (ob AND back <= {n})) "
+    f"// (2 * sum(volume_c) FILTER (ob AND back <= {n})) AS BIGINT) / 1e6 END AS price_{w}, CASE WHEN count(*) FILTER (ob AND back <= {n}) > 0 THEN CAST(sum(volume_c) FILTER (ob AND back <= {n}) AS DOUBLE) / 100.0 END AS volume_{w}, "
+    f"count(*) FILTER (ob AND back <= {n}) AS coverage_{w}" for w, n in (("7d", 7), ("30d", 30), ("90d", 90)))
+_LAST_SQL = "max(d) FILTER (ob AND seen = 1) AS latest_date, max(d) FILTER (ob AND seen = 2) AS previous_date, max(price_c) FILTER (ob AND seen = 1) AS p1, max(price_c) FILTER (ob AND seen = 2) AS p2"
+_STAT_FIELDS = [*[f"{f}_{w}" for w in ("7d", "30d", "90d") for f in ("price", "volume", "coverage", "status")], "latest_date", "previous_date", "previous_price", "interval_days", "change_pct"]
+
+
+def _stat_ctes(source: str, name: str) -> str:
+    """Windows and last two observed days of flattened series."""
+    status = ", ".join(f"CASE WHEN coverage_{w} >= {low} THEN 'valid' ELSE 'insufficient' END AS status_{w}" for w, low in (("7d", 3), ("30d", 10), ("90d", 30)))
+    return f"""{name}0 AS (SELECT *, status = 'observed' AS ob, row_number() OVER (PARTITION BY {_AT} ORDER BY d DESC) AS back,
+    count(*) FILTER (status = 'observed') OVER (PARTITION BY {_AT} ORDER BY d DESC) AS seen FROM {source}),
+{name} AS (SELECT {_AT}, {_WIN_SQL}, {_LAST_SQL} FROM {name}0 GROUP BY {_AT}),
+{name}s AS (SELECT *, {status}, CAST(p2 AS DOUBLE) / 100.0 AS previous_price, latest_date - previous_date AS interval_days,
+    {o.r6('((CAST(p1 AS DOUBLE) / 100.0) / (CAST(p2 AS DOUBLE) / 100.0) - 1.0) * 100.0')} AS change_pct FROM {name})"""
+
+
+@query("grid_contract", scope_plans.GRID + f""",
+ends AS (SELECT DISTINCT last_day(transaction_date) AS as_of FROM grid WHERE month(transaction_date) IN (6, 12)),
+clean AS (SELECT as_of, market_code, crop_code, transaction_date AS d, observation_status AS status, schedule_status AS sched, price_c, volume_c,
+    observation_status = 'observed' AND schedule_status = 'scheduled_closed' AS conf, observation_status IN ('observed', 'zero_price', 'zero_volume') AS hashed,
+    market_code % 10 AS k, row_number() OVER (PARTITION BY as_of, market_code, crop_code ORDER BY transaction_date) - 1 AS i
+  FROM grid JOIN ends ON transaction_date BETWEEN as_of - 89 AND as_of),
+ser AS (SELECT as_of, market_code, crop_code, d, sched, volume_c, CASE WHEN k = 2 AND crop_code = 'Brand#12' AND i = 0 THEN 'odd' ELSE status END AS status,
+    CASE WHEN k = 3 AND crop_code = 'Brand#13' AND i = 5 THEN NOT conf ELSE conf END AS conf,
+    CASE WHEN k = 4 AND crop_code = 'Brand#14' THEN coalesce(price_c, 1) ELSE price_c END AS price_c,
+    hashed AND NOT (k = 5 AND crop_code = 'Brand#15') AS hashed
+  FROM clean WHERE NOT (k = 1 AND crop_code = 'Brand#11' AND i = 10) AND NOT (k = 6 AND crop_code = 'Brand#21')),
+{_stat_ctes('clean', 'ps')},
+{_stat_ctes('ser', 'ds')},
+stored AS (SELECT * REPLACE (price_7d + CASE WHEN market_code % 10 = 7 THEN 1.0 ELSE 0.0 END AS price_7d, coverage_30d + CASE WHEN market_code % 10 = 8 THEN 1 ELSE 0 END AS coverage_30d)
+  FROM pss WHERE NOT (market_code % 10 = 9 AND crop_code = 'Brand#22')),
+pairs AS (SELECT as_of, crop_code, max(price_c) FILTER (market_code = 3 AND status = 'observed') AS a, max(price_c) FILTER (market_code = 7 AND status = 'observed') AS b,
+    max(volume_c) FILTER (market_code = 3 AND status = 'observed') AS va, max(volume_c) FILTER (market_code = 7 AND status = 'observed') AS vb, 1 AS side FROM clean WHERE d = as_of GROUP BY ALL),
+dpairs AS (SELECT as_of, crop_code, max(price_c) FILTER (market_code = 3) AS a, max(price_c) FILTER (market_code = 7) AS b, max(volume_c) FILTER (market_code = 3) AS va, max(volume_c) FILTER (market_code = 7) AS vb,
+    coalesce(bool_or(market_code = 3 AND status = 'observed') AND bool_or(market_code = 7 AND status = 'observed'), false) AS both FROM ser WHERE d = as_of GROUP BY ALL),
+sq AS (SELECT as_of, count(*) FILTER (conf) + CASE WHEN year(as_of) % 2 = 1 THEN 1 ELSE 0 END AS conflicts, count(DISTINCT market_code) FILTER (d = as_of AND status = 'observed') AS ms,
+    count(DISTINCT crop_code) FILTER (d = as_of AND status = 'observed') AS cs FROM clean GROUP BY as_of),
+dq AS (SELECT as_of, count(*) FILTER (conf) AS conflicts, count(DISTINCT market_code) FILTER (d = as_of AND status = 'observed') AS ms, count(DISTINCT crop_code) FILTER (d = as_of AND status = 'observed') AS cs FROM ser GROUP BY as_of),
+v AS (
+  SELECT as_of, 'series.days' AS rule, CAST(market_code AS VARCHAR) || '/' || crop_code AS path FROM ser GROUP BY {_AT} HAVING count(*) <> 90 OR min(d) <> as_of - 89
+  UNION ALL SELECT as_of, unnest(list_filter([CASE WHEN status = 'odd' THEN 'series.status' END, CASE WHEN conf <> (status = 'observed' AND sched = 'scheduled_closed') THEN 'series.conflict' END,
+      CASE WHEN CASE WHEN status = 'observed' THEN NOT coalesce(price_c > 0 AND volume_c > 0, false) ELSE price_c IS NOT NULL OR volume_c IS NOT NULL END THEN 'series.values' END,
+      CASE WHEN hashed <> (status IN ('observed', 'zero_price', 'zero_volume')) THEN 'series.hash' END], lambda x: x IS NOT NULL)),
+    'days[' || CAST(market_code AS VARCHAR) || '/' || crop_code || '/' || CAST(d AS VARCHAR) || ']' FROM ser
+  UNION ALL SELECT as_of, 'series.unknown', '' FROM ser WHERE false
+  UNION ALL SELECT DISTINCT as_of, 'series.missing', CAST(market_code AS VARCHAR) || '/' || crop_code FROM clean WHERE market_code % 10 = 6 AND crop_code = 'Brand#21'
+  UNION ALL SELECT coalesce(s.as_of, x.as_of), 'statistics.' || CASE WHEN s.as_of IS NULL THEN 'missing' ELSE 'unknown' END, CAST(coalesce(s.market_code, x.market_code) AS VARCHAR) || '/' || coalesce(s.crop_code, x.crop_code)
+    FROM stored s FULL JOIN dss x ON s.as_of = x.as_of AND s.market_code = x.market_code AND s.crop_code = x.crop_code WHERE s.as_of IS NULL OR x.as_of IS NULL
+  UNION ALL SELECT s.as_of, unnest(list_filter([{', '.join(f"CASE WHEN s.{f} IS DISTINCT FROM x.{f} THEN 'statistics.{f}' END" for f in _STAT_FIELDS)}, CASE WHEN twice = 2 THEN 'statistics.repeated' END],
+      lambda r: r IS NOT NULL)), CAST(s.market_code AS VARCHAR) || '/' || s.crop_code
+    FROM (SELECT *, CASE WHEN market_code % 10 = 0 AND crop_code = 'Brand#23' THEN 2 ELSE 1 END AS twice FROM stored) s, unnest(range(twice)) AS n(copy), dss x WHERE s.as_of = x.as_of AND s.market_code = x.market_code AND s.crop_code = x.crop_code
+  UNION ALL SELECT p.as_of, unnest(list_filter([CASE WHEN p.a IS DISTINCT FROM q.a THEN 'comparisons.price_a' END, CASE WHEN p.b IS DISTINCT FROM q.b THEN 'comparisons.price_b' END,
+      CASE WHEN p.va IS DISTINCT FROM q.va THEN 'comparisons.volume_a' END, CASE WHEN p.vb IS DISTINCT FROM q.vb THEN 'comparisons.volume_b' END,
+      CASE WHEN CASE WHEN p.a > 0 AND p.b > 0 THEN {o.r6('CAST(p.a AS DOUBLE) / 100.0 - CAST(p.b AS DOUBLE) / 100.0')} + CASE WHEN p.crop_code = 'Brand#24' THEN 1.0 ELSE 0.0 END END
+        IS DISTINCT FROM CASE WHEN q.both THEN {o.r6('CAST(q.a AS DOUBLE) / 100.0 - CAST(q.b AS DOUBLE) / 100.0')} END THEN 'comparisons.absolute_gap' END,
+      CASE WHEN CASE WHEN p.a > 0 AND p.b > 0 THEN {o.r6('((CAST(p.a AS DOUBLE) / 100.0) / (CAST(p.b AS DOUBLE) / 100.0) - 1.0) * 100.0')} END
+        IS DISTINCT FROM CASE WHEN q.both THEN {o.r6('((CAST(q.a AS DOUBLE) / 100.0) / (CAST(q.b AS DOUBLE) / 100.0) - 1.0) * 100.0')} END THEN 'comparisons.relative_gap_pct' END,
+      CASE WHEN coalesce(p.a > 0 AND p.b > 0, false) <> q.both THEN 'comparisons.comparison_status' END], lambda r: r IS NOT NULL)), p.crop_code
+    FROM pairs p JOIN dpairs q ON p.as_of = q.as_of AND p.crop_code = q.crop_code
+  UNION ALL SELECT s.as_of, unnest(list_filter([CASE WHEN s.conflicts <> x.conflicts THEN 'quality.calendar_conflicts' END, CASE WHEN s.ms <> x.ms THEN 'quality.observed_market_count' END,
+      CASE WHEN s.cs <> x.cs THEN 'quality.observed_crop_count' END], lambda r: r IS NOT NULL)), '' FROM sq s JOIN dq x ON s.as_of = x.as_of)
+SELECT CAST(as_of AS VARCHAR) AS as_of_date, rule, count(*) AS rows, min(path) AS first_path FROM v GROUP BY as_of, rule""")
+def grid_contract(t):
+    found = documents.grid_violations(*_grid_documents(t), *scope_plans.GAP_MARKETS)
+    return found.groupBy("as_of_date", "rule").agg(F.count(F.lit(1)).alias("rows"), F.min("path").alias("first_path"))
+
+
+_ITEM = ("canonical_id", "status", "price", "volume", "market_count", "market_codes", "previous_price", "price_7d", "price_30d", "price_90d", "volatility_7d", "gate_status", "reason_codes")
+
+
+def _scope_documents(t):
+    """A document a scope and day, faults planted by the day of the month."""
+    rows, markets = materialize(scope_plans.accepted(t).drop("name_drift"), "scope-rows"), scope_plans.markets(t)
+    panel = scope.scope_panel(rows, markets)
+    keys = ["scope", "as_of_date"]
+    items = panel.withColumnRenamed("transaction_date", "as_of_date").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*_ITEM))).alias("items"))
+    days = scope.market_days(rows, scope_plans.market_calendar(t.observations)).join(markets.select("market_code", "scope"), "market_code")
+    listed = days.withColumnRenamed("transaction_date", "as_of_date").groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("market_code", "day_status", "row_count", F.col("valid_row_count").alias("valid_rows"), "schedule_status"))).alias("markets"))
+    sold = rows.groupBy("scope", F.col("transaction_date").alias("as_of_date"), "market_code").agg(F.max("price_c").alias("p"), F.sum("volume_c").alias("q"))
+    sold = sold.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "market_code", F.col("as_of_date").alias("observation_period"), (F.col("p") / 100.0).alias("price"), (F.col("q") / 100.0).alias("quantity"),
+        F.when((F.col("p") > 0) & (F.col("q") > 0), "valid").otherwise("excluded_zero_price_or_volume").alias("value_status")))).alias("observations"))
+    docs = items.join(listed, keys).join(sold, keys)
+    seen = F.size(F.filter("markets", lambda m: m["valid_rows"] > 0))
+    docs = docs.withColumns({
+        "requested_date": F.col("as_of_date"), "publication_status": F.lit("complete"), "analysis_status": F.lit("published"), "failure_reason": F.lit(None).cast("string"),
+        "snapshot_hash": F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", *keys), 256)), "expected_markets": F.size("markets"), "observed_markets": seen,
+        "scope_status": F.when(seen == 0, "no_scope_observation").when(seen == F.size("markets"), "all_markets_observed").otherwise("partial_markets_observed"),
+    })
+    day = F.dayofmonth("as_of_date")
+    on = lambda n, fault, column: F.when(day == n, fault).otherwise(F.col(column))
+    each = lambda column, field, value: F.transform(column, lambda r: r.withField(field, value(r) if callable(value) else value))
+    none = lambda column: F.filter(column, lambda _: F.lit(False))
+    observed = lambda i: i["status"] == "observed"
+    return docs.withColumns({
+        "requested_date": on(1, F.date_sub("as_of_date", 1), "requested_date"), "publication_status": on(2, F.lit("odd"), "publication_status"),
+        "analysis_status": F.when(day.isin(3, 4), "failed").when(day == 22, "unknown").otherwise(F.col("analysis_status")),
+        "failure_reason": F.when(day == 3, "no feed").when(day == 4, " ").when(day == 5, "odd"),
+        "snapshot_hash": F.when(day == 6, "sha1:0").when(day != 3, F.col("snapshot_hash")),
+        "expected_markets": F.when(day == 3, 0).otherwise(F.col("expected_markets") + F.when(day == 7, 1).otherwise(0)),
+        "observed_markets": F.when(day == 3, 0).otherwise(F.col("observed_markets") + F.when(day == 9, 1).otherwise(0)),
+        "scope_status": F.when(day == 3, "analysis_failed").when(day == 10, "partial_markets_observed").otherwise(F.col("scope_status")),
+        "markets": F.when(day == 3, none("markets")).when(day == 8, F.concat("markets", F.slice("markets", 1, 1))).when(day == 11, each("markets", "day_status", F.lit("odd"))).otherwise(F.col("markets")),
+        "items": F.when(day.isin(3, 21), none("items")).when(day == 12, F.concat("items", F.slice("items", 1, 1))).when(day == 13, each("items", "status", F.lit("odd")))
+        .when(day == 14, each("items", "gate_status", F.lit("passed"))).when(day == 15, each("items", "price", F.lit(None).cast("double")))
+        .when(day == 16, each("items", "market_codes", lambda i: F.concat(i["market_codes"], F.array(F.lit(999)))))
+        .when(day == 17, each("items", "gate_status", F.lit("not_evaluated")))
+        .when(day == 18, each("items", "price", lambda i: F.when(observed(i), i["price"]).otherwise(1.0))).otherwise(F.col("items")),
+        "observations": F.when(day == 3, none("observations")).when(day == 19, each("observations", "observation_period", lambda x: F.date_sub(x["observation_period"], 1)))
+        .when(day == 20, each("observations", "value_status", F.lit("valid"))).otherwise(F.col("observations")),
+    })
+
+
+def _scope_oracle():
+    """The same faults and rules over rows that are not nested."""
+    claims = " OR ".join(f"{c} IS NOT NULL" for c in ("price", "volume", "market_count", "market_codes", "previous_price", "price_7d", "price_30d", "price_90d", "volatility_7d"))
+    return f"""WITH sp AS ({ORACLES['scope_panel']}), md AS ({ORACLES['market_days']}),
+ac AS ({o.with_ctes(o.OBS, scope_plans.ACCEPTED)} SELECT scope, CAST(transaction_date AS VARCHAR) AS d, market_code, max(price_c) AS p, sum(volume_c) AS q FROM accepted GROUP BY ALL),
+docs AS (SELECT scope, transaction_date AS d, day(CAST(transaction_date AS DATE)) AS k FROM sp GROUP BY ALL),
+mk0 AS (SELECT docs.scope, d, k, market_code, day_status, row_count, valid_row_count AS valid, schedule_status, row_number() OVER (PARTITION BY docs.scope, d ORDER BY market_code) AS n
+  FROM docs JOIN nation ON n_regionkey = docs.scope JOIN md ON md.market_code = n_nationkey AND md.transaction_date = d),
+mk AS (SELECT * REPLACE (CASE WHEN k = 11 THEN 'odd' ELSE day_status END AS day_status) FROM mk0, unnest(range(CASE WHEN k = 8 AND n = 1 THEN 2 ELSE 1 END)) AS u(copy) WHERE k <> 3),
+ms AS (SELECT scope, d, k, count(*) AS size, count(DISTINCT market_code) AS codes, count(*) FILTER (valid > 0) AS seen FROM mk GROUP BY ALL),
+m0 AS (SELECT scope, d, count(*) AS size, count(*) FILTER (valid > 0) AS seen FROM mk0 GROUP BY ALL),
+it0 AS (SELECT docs.scope, d, k, sp.* EXCLUDE (scope, transaction_date, scope_status), row_number() OVER (PARTITION BY docs.scope, d ORDER BY canonical_id) AS n FROM docs JOIN sp ON sp.scope = docs.scope AND sp.transaction_date = d),
+it AS (SELECT * REPLACE (CASE WHEN k = 13 THEN 'odd' ELSE status END AS status, CASE k WHEN 14 THEN 'passed' WHEN 17 THEN 'not_evaluated' ELSE gate_status END AS gate_status,
+    CASE WHEN k = 15 THEN NULL WHEN k = 18 AND status <> 'observed' THEN 1.0 ELSE price END AS price, CASE WHEN k = 16 THEN market_codes || '|999' ELSE market_codes END AS market_codes)
+  FROM it0, unnest(range(CASE WHEN k = 12 AND n = 1 THEN 2 ELSE 1 END)) AS u(copy) WHERE k NOT IN (3, 21)),
+ob AS (SELECT docs.scope, d, k, market_code, CASE WHEN k = 20 OR (p > 0 AND q > 0) THEN 'valid' ELSE 'excluded_zero_price_or_volume' END AS value_status, p, q FROM docs JOIN ac USING (scope, d) WHERE k NOT IN (3, 4)),
+st AS (SELECT m0.scope, m0.d, docs.k, m0.size AS expected0, m0.seen AS seen0, ms.size, ms.codes, ms.seen, CASE WHEN m0.seen = 0 THEN 'no_scope_observation' WHEN m0.seen = m0.size THEN 'all_markets_observed' ELSE 'partial_markets_observed' END AS s0,
+    CASE WHEN ms.seen = 0 THEN 'no_scope_observation' WHEN ms.seen = ms.size THEN 'all_markets_observed' ELSE 'partial_markets_observed' END AS s1 FROM m0 JOIN ms USING (scope, d) JOIN docs USING (scope, d)),
+v AS (
+  SELECT scope, d, unnest(CASE k WHEN 1 THEN ['dates'] WHEN 2 THEN ['publication_status'] WHEN 22 THEN ['analysis_status'] WHEN 4 THEN ['failed_without_reason', 'failed_with_hash', 'failed_with_coverage', 'failed_with_rows']
+      WHEN 5 THEN ['published_with_failure'] WHEN 6 THEN ['snapshot_hash'] WHEN 21 THEN ['items_listed'] ELSE [] END) AS rule,
+    unnest(CASE k WHEN 1 THEN ['as_of_date'] WHEN 2 THEN ['publication_status'] WHEN 22 THEN ['analysis_status'] WHEN 4 THEN ['failure_reason', 'snapshot_hash', 'scope_status', 'items']
+      WHEN 5 THEN ['failure_reason'] WHEN 6 THEN ['snapshot_hash'] WHEN 21 THEN ['items'] ELSE [] END) AS path FROM docs
+  UNION ALL SELECT scope, d, unnest(list_filter([CASE WHEN size <> expected0 + CASE WHEN k = 7 THEN 1 ELSE 0 END THEN 'expected_markets' END, CASE WHEN codes <> size THEN 'market_codes_unique' END,
+      CASE WHEN seen <> seen0 + CASE WHEN k = 9 THEN 1 ELSE 0 END THEN 'observed_markets' END, CASE WHEN s1 <> CASE WHEN k = 10 THEN 'partial_markets_observed' ELSE s0 END THEN 'scope_status' END], lambda r: r IS NOT NULL)) AS rule, NULL FROM st WHERE k <> 4
+  UNION ALL SELECT scope, d, 'market_day_status', 'markets[' || CAST(market_code AS VARCHAR) || ']' FROM mk WHERE k <> 4 AND day_status <> CASE WHEN valid > 0 THEN CASE WHEN schedule_status = 'scheduled_closed' THEN 'calendar_feed_discrepancy' ELSE 'traded' END
+      WHEN row_count > 0 THEN 'no_valid_trade' WHEN schedule_status = 'scheduled_closed' THEN 'scheduled_closed' ELSE 'missing' END
+  UNION ALL SELECT scope, d, 'item_ids_unique', 'items' FROM docs WHERE k = 12
+  UNION ALL SELECT scope, d, unnest(list_filter([CASE WHEN status = 'odd' THEN 'item_status' END, CASE WHEN gate_status = 'passed' THEN 'item_gate' END,
+      CASE WHEN status = 'observed' AND NOT coalesce(price > 0, false) THEN 'observed_price' END, CASE WHEN status = 'observed' AND k = 16 THEN 'observed_markets_known' END,
+      CASE WHEN status = 'observed' AND market_count <> len(string_split(market_codes, '|')) THEN 'item_market_count' END,
+      CASE WHEN status = 'observed' AND market_count < 2 AND gate_status <> 'insufficient' THEN 'few_markets_gate' END,
+      CASE WHEN status <> 'observed' AND ({claims}) THEN 'unobserved_with_values' END, CASE WHEN status <> 'observed' AND gate_status <> 'insufficient' THEN 'unobserved_gate' END], lambda r: r IS NOT NULL)),
+    'items[' || canonical_id || ']' FROM it WHERE k <> 4
+  UNION ALL SELECT scope, d, unnest(list_filter([CASE WHEN k = 19 THEN 'observation_scope' END, CASE WHEN value_status <> CASE WHEN p > 0 AND q > 0 THEN 'valid' ELSE 'excluded_zero_price_or_volume' END THEN 'observation_value' END], lambda r: r IS NOT NULL)),
+    'observations[' || CAST(market_code AS VARCHAR) || ']' FROM ob),
+w AS (SELECT scope, d, rule, coalesce(path, CASE rule WHEN 'market_codes_unique' THEN 'markets' ELSE rule END) AS path FROM v)
+SELECT scope::BIGINT AS scope, rule, count(*) AS rows, count(DISTINCT d) AS documents, min(d || ' ' || path) AS first_path FROM w GROUP BY scope, rule"""
+
+
+@query("scope_contract", _scope_oracle())
+def scope_contract(t):
+    found = documents.scope_violations(_scope_documents(t))
+    return found.groupBy("scope", "rule").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("as_of_date").alias("documents"), F.min(F.concat_ws(" ", F.col("as_of_date").cast("string"), "path")).alias("first_path"))

@@ -212,7 +212,7 @@ def reason_totals(t):
     return scope.merge_reasons(scope.quality_by_market_day(checked(t)))
 
 
-_GRID = o.with_ctes(*_CHECKED) + """,
+GRID = o.with_ctes(*_CHECKED) + """,
 crops AS (SELECT DISTINCT market_code, crop_code FROM single),
 unk AS (SELECT DISTINCT market_code, transaction_date FROM checked WHERE reason = 'provenance_unknown'),
 grid AS (
@@ -233,7 +233,7 @@ def grid(t):
     return scope.dense_grid(cells, market_calendar(cells), manifests(t))
 
 
-@query("grid_status", _GRID + """
+@query("grid_status", GRID + """
 SELECT market_code::BIGINT AS market_code, crop_code, observation_status, schedule_status, count(*) AS days,
   count(*) FILTER (observation_status = 'observed' AND schedule_status = 'scheduled_closed') AS conflict_days,
   count(*) FILTER (has_conflict) AS duplicate_conflicts, sum(price_c)::BIGINT AS price_total_c
@@ -263,7 +263,7 @@ _STAT_REPORT = ", ".join(
 )
 
 
-@query("grid_stats", _GRID + f""",
+@query("grid_stats", GRID + f""",
 st AS (SELECT transaction_date, market_code, crop_code, {_STATS} FROM grid WINDOW {_GRID_WINDOWS})
 SELECT market_code::BIGINT AS market_code, crop_code, CAST(CAST(date_trunc('month', transaction_date) AS DATE) AS VARCHAR) AS month, {_STAT_REPORT}
 FROM st GROUP BY market_code, crop_code, date_trunc('month', transaction_date)""")
