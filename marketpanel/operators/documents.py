@@ -131,7 +131,7 @@ def _window(days: int) -> tuple[Column, Column, Column]:
     value = total(lambda d: d["price_c"].cast("decimal(19,0)") * d["volume_c"].cast("decimal(19,0)"))
     volume = total(lambda d: d["volume_c"].cast("decimal(19,0)"))
     # Half up to six digits, as hundredths become millionths by 10,000.
-    micro = F.floor((2 * value * 10000 + volume) / (2 * volume))
+    micro = F.floor((2 * value * 10000 + volume) / F.nullif(2 * volume, F.lit(0).cast("decimal(38,0)")))
     return F.when(volume > 0, micro.cast("double") / 1e6), volume.cast("double") / 100.0, F.size(seen).cast("bigint")
 
 
@@ -146,7 +146,8 @@ def derived_statistics(series: DataFrame) -> DataFrame:
         ]
     seen = F.filter("days", lambda d: d["observation_status"] == "observed")
     last, before = F.try_element_at(seen, F.lit(-1)), F.try_element_at(seen, F.lit(-2))
-    ratio = (last["price_c"].cast("double") / 100.0) / (before["price_c"].cast("double") / 100.0)
+    # A price of zero is a violation of its own and must not stop the job.
+    ratio = (last["price_c"].cast("double") / 100.0) / F.nullif(before["price_c"].cast("double") / 100.0, F.lit(0.0))
     columns += [
         last["transaction_date"].alias("latest_date"), before["transaction_date"].alias("previous_date"), (before["price_c"].cast("double") / 100.0).alias("previous_price"),
         F.datediff(last["transaction_date"], before["transaction_date"]).cast("bigint").alias("interval_days"),
@@ -204,7 +205,7 @@ def grid_violations(series: DataFrame, statistics: DataFrame, comparisons: DataF
     derived = pairs.select(
         "as_of_date", "crop_code", money("price_c_a").alias("price_a"), money("price_c_b").alias("price_b"), money("volume_c_a").alias("volume_a"), money("volume_c_b").alias("volume_b"),
         F.when(both, round6(money("price_c_a") - money("price_c_b"))).alias("absolute_gap"),
-        F.when(both, round6((money("price_c_a") / money("price_c_b") - F.lit(1.0)) * F.lit(100.0))).alias("relative_gap_pct"),
+        F.when(both, round6((money("price_c_a") / F.nullif(money("price_c_b"), F.lit(0.0)) - F.lit(1.0)) * F.lit(100.0))).alias("relative_gap_pct"),
         F.when(F.coalesce(both, F.lit(False)), "comparable").otherwise("not_comparable").alias("comparison_status"),
     )
     of_comparisons = _keyed_paths(comparisons, derived, ["as_of_date", "crop_code"], "comparisons")
