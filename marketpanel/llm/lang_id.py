@@ -120,18 +120,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _logs(rows: list, totals: dict[tuple[str, int], tuple[int, int]], names: list[str]) -> tuple[dict[str, int], np.ndarray]:
+def _logs(found: pa.Table, totals: dict[tuple[str, int], tuple[int, int]], names: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Place of each term and its log frequency in each language. A term that a language lacks is taken as frequent as
     SMOOTHING of a term in the language with the most text, so that a language of little text does not seem to allow
     anything."""
-    out = np.empty((len(rows), len(names)))
-    most = {size: max(n for (_, s), (n, _) in totals.items() if s == size) for _, size in totals}
-    for k, row in enumerate(rows):
-        own, least = {c.lang: c.n for c in row.by_lang}, SMOOTHING / most[row.size]
+    sizes = found.column("size").to_numpy()
+    out = np.empty((len(sizes), len(names)))
+    for size in np.unique(sizes).tolist():
+        own, least = sizes == size, SMOOTHING / max(n for (_, s), (n, _) in totals.items() if s == size)
         for j, name in enumerate(names):
-            total, kinds = totals.get((name, row.size), (1, 0))
-            out[k, j] = np.log((own.get(name, 0) / total + least) / (1 + least * kinds))
-    return {row.term: k for k, row in enumerate(rows)}, out
+            total, kinds = totals.get((name, size), (1, 0))
+            out[own, j] = np.log((found.column(f"n_{j}").to_numpy()[own] / total + least) / (1 + least * kinds))
+    return {term: k for k, term in enumerate(found.column("term").to_pylist())}, out
 
 
 def fit(docs: DataFrame, learn_bytes: int = LEARN_BYTES, words: int = WORDS, grams: int = GRAMS) -> Languages:
@@ -150,8 +150,9 @@ def fit(docs: DataFrame, learn_bytes: int = LEARN_BYTES, words: int = WORDS, gra
     counts = terms.groupBy("lang", "size", "term").agg(F.sum("n").alias("n")).persist()
     try:
         totals = {(t.lang, t.size): (t.n, t.kinds) for t in counts.groupBy("lang", "size").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds")).collect()}
-        each = counts.groupBy("size", "term").agg(F.sum("n").alias("n"), F.collect_list(F.struct("lang", "n")).alias("by_lang"))
-        most = lambda rows, limit: rows.orderBy(F.desc("n"), "size", "term").limit(limit).collect()
+        by_language = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n_{j}") for j, name in enumerate(names)]
+        each = counts.groupBy("size", "term").agg(F.sum("n").alias("n"), *by_language)
+        most = lambda rows, limit: rows.orderBy(F.desc("n"), "size", "term").limit(limit).drop("n").toArrow()
         known = _logs(most(each.filter("size = 0"), words), totals, names)
         parts = _logs(most(each.filter("size > 0"), grams), totals, names)
     finally:
