@@ -190,6 +190,21 @@ def stale_lots(lots: DataFrame, as_of: str) -> DataFrame:
     })
 
 
+def stale_profile(profile: DataFrame, lots: DataFrame, group: Sequence[str], as_of: str) -> DataFrame:
+    """A stored profile carried on to a later day: lots whose status changes are taken from its old count and added to
+    the new one. Of the published `lots` only those that change are counted, so no snapshot is profiled again."""
+    later = validity(F.col("valid_date"), F.lit(as_of).cast("date"))
+    changed = lots.withColumn("_later", later).filter(F.col("certification_status") != F.col("_later"))
+    names = {"active": "active_record_count", "expired": "expired_record_count", "unknown": "unknown_validity_count"}
+    moved = changed.groupBy(*group).agg(*[
+        (F.count_if(F.col("_later") == s) - F.count_if(F.col("certification_status") == s)).alias(f"_d_{s}") for s in names
+    ])
+    joined = profile.join(moved, list(group), "left")
+    return joined.withColumns({
+        **{c: F.col(c) + F.coalesce(f"_d_{s}", F.lit(0)) for s, c in names.items()}, "as_of_date": F.lit(as_of).cast("date"), "source_status": F.lit("stale"),
+    }).drop(*[f"_d_{s}" for s in names])
+
+
 def shrink_guard(counts: DataFrame, by: str, snapshot: str, rows: str, percent: int = 80) -> DataFrame:
     """Accept a snapshot unless it falls below `percent` of the last accepted one.
 

@@ -85,6 +85,13 @@ def commit(rows: DataFrame, path: str, name: str, partition: str, touched: DataF
         fold(spark, path)
 
 
+def version_of(spark: SparkSession, path: str, value: str | None) -> str | None:
+    """Name of the commit whose rows of a partition count, or None."""
+    held = _pointers(spark, path)
+    found = None if held is None else _newest(held).filter(F.col("value").eqNullSafe(F.lit(value))).first()
+    return None if found is None else found.commit
+
+
 def last_commit(spark: SparkSession, path: str) -> int:
     return _last(_pointers(spark, path))
 
