@@ -44,7 +44,8 @@ def expand_calendar(days: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def calendar_violations(calendar: DataFrame, rules: DataFrame, expected: DataFrame) -> DataFrame:
-    """Rule dates on the wrong weekday, and years whose closed-day count is not the approved one."""
+    """Rule dates on the wrong weekday, years whose closed-day count is not the approved one, dates that occur twice and
+    years that lack some."""
     weekday = F.weekday("calendar_date")
     wrong = (
         F.when((F.col("kind") == "exceptional") & (weekday != 0), "exceptional_not_monday")
@@ -59,7 +60,13 @@ def calendar_violations(calendar: DataFrame, rules: DataFrame, expected: DataFra
     ).join(expected, "year").filter("closed_days <> expected_closed_days").select(
         F.lit("closed_day_count").alias("rule"), F.col("year").cast("string").alias("key")
     )
-    return dates.unionByName(counts)
+    repeated = calendar.groupBy("calendar_date").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        F.lit("date_repeated").alias("rule"), F.col("calendar_date").cast("string").alias("key"))
+    year = F.year("calendar_date")
+    lacking = calendar.groupBy(year.alias("year")).agg(F.count_distinct("calendar_date").alias("days")).filter(
+        F.col("days") != F.datediff(F.make_date(F.col("year") + 1, F.lit(1), F.lit(1)), F.make_date("year", F.lit(1), F.lit(1)))
+    ).select(F.lit("year_incomplete").alias("rule"), F.col("year").cast("string").alias("key"))
+    return dates.unionByName(counts).unionByName(repeated).unionByName(lacking)
 
 
 def is_rest_row() -> Column:
@@ -73,9 +80,13 @@ def market_status(
     expected: DataFrame,
     calendar_markets: Sequence[int],
     by: Sequence[str] = ("scope",),
+    sources: DataFrame | None = None,
 ) -> DataFrame:
     """Publication status of every requested day.
 
+    `sources`, if given, has (by, transaction_date, source_status) of the feed itself: a day without rows is then
+    failed, delayed or not_checked as its source says, and one that failed is source_unavailable.
+
     `requested` has (by, transaction_date, schedule_status), `expected` the configured ids. Rows
     are reduced per (day, item) before per day, so the item count never needs a distinct sort of a
     hot day. An unknown schedule leaves the feed decision alone.
@@ -111,6 +122,14 @@ def market_status(
         "feed_state": F.when(complete, "complete").when(F.col("_closed"), "market_closed")
         .when(has_rows, "incomplete").otherwise("pending"),
     })
+    if sources is not None:
+        silent = F.col("feed_status") == "empty"
+        said = F.when(silent & F.col("source_status").isin("failed", "delayed", "not_checked"), F.col("source_status"))
+        rows = rows.join(sources.select(*keys, "source_status"), keys, "left").withColumns({
+            "feed_status": F.coalesce(said, F.col("feed_status")),
+            "calendar_feed_status": F.when(F.col("calendar_feed_status") == "empty", F.coalesce(said, F.lit("empty"))).otherwise(F.col("calendar_feed_status")),
+            "feed_state": F.when(~has_rows & (said == "failed"), "source_unavailable").otherwise(F.col("feed_state")),
+        }).drop("source_status")
     return rows.withColumn("status", scheduled_state()).drop("_closed", "_unexpected", "_calendar_traded")
 
 

@@ -7,14 +7,16 @@ row (rule, key), and a job refuses its output when a blocking rule has rows.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketpanel.schemas import FEED_STATES, MARKET_STATES
+from marketpanel.sources.sinks import remove_folder
 
 # Literal marks of credentials and embedded payloads.
 SECRET_MARKS = (
@@ -53,6 +55,51 @@ def require_clean(found: DataFrame, blocking: Sequence[str] | None = None) -> No
         raise ContractViolation(", ".join(f"{row['rule']}: {row['n']}" for row in counts))
 
 
+class Matched:
+    """A left join whose unmatched rows are counted while it runs; `check` refuses what it gave if there are any."""
+
+    def __init__(self, rows: DataFrame, rule: str, observation: Observation):
+        self.rows, self.rule, self._observation = rows, rule, observation
+
+    def counts(self) -> tuple[int, int]:
+        """(rows, unmatched rows), once a job over `rows` has ended; waits for one."""
+        seen = self._observation.get
+        return seen["rows"], seen["unmatched"]
+
+    def check(self) -> None:
+        unmatched = self.counts()[1]
+        if unmatched:
+            raise ContractViolation(f"{self.rule}: {unmatched}")
+
+
+def require_matched(left: DataFrame, right: DataFrame, keys: Sequence[str], rule: str) -> Matched:
+    """`left` with the columns of its rows in `right`, of which every row must have one. The count costs no pass of its
+    own: it is a metric of the job that reads the join. A key that is NULL has no match."""
+    marked = right.withColumn("_matched", F.lit(True))
+    joined = left.join(marked, list(keys), "left")
+    seen = Observation(f"{rule}-{uuid.uuid4().hex}")
+    counted = joined.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("_matched").isNull()).alias("unmatched"))
+    return Matched(counted.drop("_matched"), rule, seen)
+
+
+def require_none(rows: DataFrame, bad: Column, rule: str) -> Matched:
+    """`rows`, of which none may be `bad` (NULL is bad), counted in the same way."""
+    seen = Observation(f"{rule}-{uuid.uuid4().hex}")
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.coalesce(bad, F.lit(True))).alias("unmatched"))
+    return Matched(counted, rule, seen)
+
+
+def publish_checked(rows: DataFrame, path: str, checks: Sequence[Matched]) -> None:
+    """Write `rows` and keep them only if every check made on the way passes; a refused folder is removed."""
+    rows.write.mode("errorifexists").parquet(path)
+    try:
+        for check in checks:
+            check.check()
+    except ContractViolation:
+        remove_folder(rows.sparkSession, path)
+        raise
+
+
 def status_rules() -> list[tuple[str, Column]]:
     """Contract of a publication status row."""
     return [

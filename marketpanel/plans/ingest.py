@@ -173,6 +173,39 @@ def page_sequence(t):
     return landing.page_sequence(pages, "host", "page_no")
 
 
+@query("page_end", """WITH e AS (SELECT event_type || CAST(user_id % 3 AS VARCHAR) AS batch, event_id // 1000 AS page_no, count(*) AS n FROM events GROUP BY ALL),
+c AS (SELECT *, batch LIKE 'view%' AND page_no % 7 = 3 AS bad, batch = 'click1' AND page_no = 4 AS html, batch LIKE 'purchase%' AND page_no % 5 = 2 AS again,
+    batch = 'signup2' AS whole FROM e),
+r AS (SELECT batch, page_no, CASE WHEN bad THEN NULL WHEN again THEN 1 WHEN whole THEN 70 ELSE n END AS n, html, again FROM c)
+SELECT batch, count(*) AS page_count, sum(n)::BIGINT AS row_count, count(*) FILTER (n IS NULL) AS malformed_pages, count(*) FILTER (html) AS other_types, min(page_no) FILTER (coalesce(n < 70, true)) AS first_short,
+  max(page_no) AS last_page, greatest(count(*) FILTER (again) - 1, 0) AS repeated_pages,
+  CASE WHEN bool_or(html) THEN 'not_json' WHEN count(*) FILTER (n IS NULL) > 0 THEN 'malformed' WHEN count(*) FILTER (again) > 1 THEN 'repeated_page'
+    WHEN min(page_no) FILTER (n < 70) < max(page_no) THEN 'short_page_inside' WHEN count(*) FILTER (n < 70) = 0 AND count(*) >= 8 THEN 'page_limit'
+    WHEN count(*) FILTER (n < 70) = 0 THEN 'not_ended' ELSE 'complete' END AS status
+FROM r GROUP BY batch""")
+def page_end(t):
+    """Events as landed pages of JSON lists, 1,000 ids a page."""
+    batch, page = F.concat("event_type", (F.col("user_id") % 3).cast("string")), F.floor(F.col("event_id") / 1000).cast("bigint")
+    found = t.read("events").groupBy(batch.alias("batch"), page.alias("page_no")).agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id")))).alias("rows"))
+    whole = F.transform(F.sequence(F.lit(1), F.lit(70)), lambda k: F.struct((F.col("page_no") * 1000 + k).alias("id")))
+    body = (
+        F.when(F.col("batch").startswith("view") & (F.col("page_no") % 7 == 3), '{"error": 1}').when(F.col("batch").startswith("purchase") & (F.col("page_no") % 5 == 2), '[{"id":0}]')
+        .when(F.col("batch") == "signup2", F.to_json(whole)).otherwise(F.to_json("rows"))
+    )
+    kind = F.when((F.col("batch") == "click1") & (F.col("page_no") == 4), "text/html").otherwise("application/json; charset=utf-8")
+    return landing.page_end_checks(found.select("batch", "page_no", body.alias("body"), kind.alias("content_type")), "batch", "page_no", "body", "content_type", 70, 8)
+
+
+@query("pager_sequence", """WITH p AS (SELECT page_id // 7 AS batch, page_id % 7 + 1 AS page_no, page_id FROM pages)
+SELECT batch, max(page_no) AS last_page, 7 AS advertised_last, 0 AS skipping_links, count(*) FILTER (page_id % 5 = 0 AND page_no <> 7) AS unnamed_pages,
+  CASE WHEN count(*) FILTER (page_id % 5 = 0 AND page_no <> 7) > 0 THEN 'current_page_unnamed' WHEN max(page_no) < 7 THEN 'terminated_early' ELSE 'complete' END AS status
+FROM p GROUP BY batch""".replace("7 AS advertised_last, 0 AS", "7::BIGINT AS advertised_last, 0::BIGINT AS"))
+def pager_sequence(t):
+    """Result pages by what their own pagers advertise."""
+    pages = landing.pagination(_result_pages(t)).withColumn("batch", F.floor(F.col("page_id") / 7))
+    return landing.page_sequence(pages, "batch", "page_no")
+
+
 @query("legacy_provenance", o.with_ctes(o.FEED) + """,
 l AS (SELECT *, batch_no % 3 = 0 AS old FROM feed)
 SELECT source_id, CASE WHEN old AND source_id = 'src_1' THEN 'authoritative_final' WHEN NOT old THEN source_role END AS source_role,

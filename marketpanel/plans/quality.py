@@ -8,8 +8,10 @@ from marketpanel.plans import oracle as o
 from marketpanel.plans import prices
 from marketpanel.plans.evidence import LOTS_SQL, lots
 from marketpanel.plans.registry import query
+from marketpanel.plans import scope as scope_plans
 from marketpanel.plans.scope import PUBLICATION, publication
 from marketpanel.schemas import SOURCE_ROLES
+from marketpanel.sources.sinks import is_complete, work_folder
 
 # Fixed values of the test binding.
 HOSTS = ("thther.example.org", "m.ththth.example.net")
@@ -360,3 +362,28 @@ SELECT vec_id, polygon::BIGINT AS polygon, x, y, {o.r6('10 + (760 - (c - a) * s)
 def fit_box(t):
     out = spatial.fit_to_box(_points(t), "polygon", (10.0, 20.0, 760.0, 280.0))
     return out.withColumns({"fit_x": numeric.round6(F.col("fit_x")), "fit_y": numeric.round6(F.col("fit_y"))})
+
+
+@query("require_matched", o.with_ctes(o.CLEAN, o.daily(), o.SEASONS) + """,
+n AS (SELECT * FROM obs JOIN nation ON n_nationkey = market_code),
+r AS (SELECT 'seasonality' AS rule, count(*) AS rows, count(*) FILTER (NOT EXISTS (SELECT 1 FROM seasons s WHERE s.canonical_id = dayp.canonical_id)) AS unmatched FROM dayp
+  UNION ALL SELECT 'registered_market', count(*), 0 FROM obs
+  UNION ALL SELECT 'market_name', count(*), count(*) FILTER (row_b % 50 = 7) FROM n WHERE n_regionkey < 4)
+SELECT rule, rows, unmatched, CASE WHEN unmatched > 0 THEN 'refused' ELSE 'published' END AS outcome FROM r""")
+def require_matched(t):
+    """Daily prices must have a season entry, observations a market, and market names must not drift: two are refused."""
+    season = quality.require_matched(panel.daily_prices(t.observations), t.seasons, ["canonical_id"], "seasonality")
+    nation = t.read("nation").select(F.col("n_nationkey").alias("market_code"), "n_name")
+    market = quality.require_matched(t.observations, nation, ["market_code"], "registered_market")
+    named = quality.require_none(scope_plans.scoped(t), F.col("name_drift"), "market_name")
+    out = []
+    for checked in (season, market, named):
+        folder = work_folder(t.spark, f"checked-{checked.rule}")
+        try:
+            quality.publish_checked(checked.rows, folder, [checked])
+            outcome = "published"
+        except quality.ContractViolation:
+            outcome = "refused"
+        assert is_complete(t.spark, folder) == (outcome == "published")
+        out.append((checked.rule, *checked.counts(), outcome))
+    return t.spark.createDataFrame(out, "rule string, rows bigint, unmatched bigint, outcome string")

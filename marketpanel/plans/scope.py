@@ -363,12 +363,12 @@ def _with_rest_rows(rows):
     })
 
 
-def publication(t):
+def publication(t, sources=None):
     expected = t.read("part").select(F.nullif(F.col("p_type"), F.lit("PROMO")).alias("canonical_id")).filter(
         "canonical_id IS NOT NULL"
     ).distinct()
     rows = _with_rest_rows(accepted(t))
-    return calendars.resolve_dates(calendars.market_status(_requested(t), rows, expected, CALENDAR_MARKETS))
+    return calendars.resolve_dates(calendars.market_status(_requested(t), rows, expected, CALENDAR_MARKETS, sources=sources))
 
 
 PUBLICATION = o.with_ctes(o.OBS, ACCEPTED, calendar_cte("scoped", "scope", "cal")) + """,
@@ -408,6 +408,44 @@ def latest_complete(t):
     )
 
 
+_SAID = "CASE day(d) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'delayed' WHEN 2 THEN 'not_checked' END"
+
+
+@query("feed_matrix", PUBLICATION + f""",
+q1 AS (SELECT scope, d, schedule_status, n, resolved, CASE WHEN fs = 'empty' THEN coalesce({_SAID}, 'empty') ELSE fs END AS fs,
+  CASE WHEN cfs = 'available' THEN cfs WHEN fs = 'empty' THEN coalesce({_SAID}, 'empty') ELSE 'empty' END AS cfs,
+  CASE WHEN n = 0 AND fs = 'empty' AND day(d) % 4 = 0 THEN 'source_unavailable' ELSE st END AS st FROM p2)
+SELECT scope::BIGINT AS scope, schedule_status, fs AS feed_status, cfs AS calendar_feed_status, st AS feed_state,
+  CASE WHEN schedule_status = 'scheduled_closed' THEN CASE WHEN cfs = 'available' THEN 'calendar_feed_discrepancy' WHEN st IN ('market_closed', 'pending', 'source_unavailable') THEN 'market_closed' ELSE st END
+    WHEN fs = 'failed' THEN 'source_unavailable' WHEN st = 'market_closed' OR fs IN ('empty', 'delayed', 'not_checked') THEN 'pending' ELSE st END AS status,
+  count(*) AS days
+FROM q1 GROUP BY ALL""")
+def feed_matrix(t):
+    """All feed states against the schedule: the sources of silent days failed, were late or were not asked."""
+    day = F.dayofmonth("transaction_date") % 4
+    said = F.when(day == 0, "failed").when(day == 1, "delayed").when(day == 2, "not_checked").otherwise("available")
+    sources = _requested(t).select("scope", "transaction_date", said.alias("source_status"))
+    return publication(t, sources).groupBy("scope", "schedule_status", "feed_status", "calendar_feed_status", "feed_state", "status").agg(F.count(F.lit(1)).alias("days"))
+
+
+@query("calendar_contract", o.with_ctes(o.OBS, calendar_cte()) + """,
+one AS (SELECT * FROM cal WHERE market_code = (SELECT min(market_code) FROM obs) AND NOT (month(calendar_date) = 3 AND day(calendar_date) = 3 AND year(calendar_date) % 2 = 0)),
+twice AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE month(calendar_date) = 7 AND day(calendar_date) = 7)
+SELECT 'closed_day_count' AS rule, CAST(year(calendar_date) AS VARCHAR) AS key FROM twice GROUP BY year(calendar_date) HAVING count(*) FILTER (schedule_status = 'scheduled_closed') <> 58
+UNION ALL SELECT 'date_repeated', CAST(calendar_date AS VARCHAR) FROM twice GROUP BY calendar_date HAVING count(*) > 1
+UNION ALL SELECT 'year_incomplete', CAST(year(calendar_date) AS VARCHAR) FROM twice GROUP BY year(calendar_date) HAVING count(DISTINCT calendar_date) <> make_date(year(calendar_date) + 1, 1, 1) - make_date(year(calendar_date), 1, 1)
+UNION ALL SELECT 'exceptional_not_monday', CAST(calendar_date AS VARCHAR) FROM one WHERE month(calendar_date) = 5 AND day(calendar_date) = 1 AND isodow(calendar_date) <> 1""")
+def calendar_contract(t):
+    """The calendar of the first market against its rules, with days lost, doubled and wrongly excepted."""
+    first = t.observations.filter(F.col("market_code") == t.observations.select(F.min("market_code")).scalar())
+    d = F.col("calendar_date")
+    calendar = materialize(market_calendar(first), "calendar").filter(~((F.month(d) == 3) & (F.dayofmonth(d) == 3) & (F.year(d) % 2 == 0)))
+    doubled = calendar.unionByName(calendar.filter((F.month(d) == 7) & (F.dayofmonth(d) == 7)))
+    years = calendar.select(F.year(d).alias("year")).distinct()
+    wrong = calendar.filter((F.month(d) == 5) & (F.dayofmonth(d) == 1)).select("calendar_date", F.lit("exceptional").alias("kind"), F.lit("planted").alias("reason"))
+    return calendars.calendar_violations(doubled, rules(years).unionByName(wrong), years.withColumn("expected_closed_days", F.lit(58)))
+
+
 @query("backfill_chunks", o.with_ctes(o.OBS) + """,
 r AS (SELECT source_id, market_code, min(transaction_date) AS s, max(transaction_date) AS e FROM obs GROUP BY ALL),
 c AS (SELECT source_id, market_code, s, e, unnest(range(0, CAST(ceil((e - s + 1) / 4.0) AS BIGINT))) AS i FROM r)

@@ -210,3 +210,23 @@ def test_pagination_links_and_sequence(spark):
     assert out["a", 1] == (True, 2, 2) and out["a", 2] == (True, 2, None)
     status = {r.batch: r.status for r in landing.page_sequence(read, "batch", "page_no").collect()}
     assert status == {"a": "complete", "b": "not_sequential", "c": "terminated_early"}
+
+
+def test_page_sets_end_with_a_short_page(spark):
+    full, json = '[{"a":1},{"a":%d}]', "application/json"
+    rows = []
+    for batch, bodies in {
+        "ok": [full % 2, full % 3, "[]"], "limit": [full % 2, full % 3, full % 4], "open": [full % 2], "inside": [full % 2, '[{"a":1}]', full % 4],
+        "bad": [full % 2, "{}"], "broken": ["nothing"], "twice": [full % 2, full % 2, "[]"], "none": ["[]"],
+    }.items():
+        rows += [(batch, k, body, json) for k, body in enumerate(bodies)]
+    rows += [("html", 0, "[]", "text/html"), ("untyped", 0, "[]", None)]
+    out = landing.page_end_checks(spark.createDataFrame(rows, "b string, p int, body string, t string"), "b", "p", "body", "t", 2, 3)
+    assert {r.b: r.status for r in out.collect()} == {
+        "ok": "complete", "limit": "page_limit", "open": "not_ended", "inside": "short_page_inside", "bad": "malformed", "broken": "malformed", "twice": "repeated_page",
+        "none": "no_rows", "html": "not_json", "untyped": "not_json"}
+
+
+def test_a_page_must_name_itself(spark):
+    pages = spark.createDataFrame([("a", 1, True, 2, 2), ("a", 2, True, 2, None), ("b", 1, False, 2, 2), ("b", 2, True, 2, None), ("c", 1, None, 2, 3)], "b string, p int, has_current boolean, advertised_last int, next_page int")
+    assert {r.b: r.status for r in landing.page_sequence(pages, "b", "p").collect()} == {"a": "complete", "b": "current_page_unnamed", "c": "not_sequential"}

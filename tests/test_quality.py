@@ -86,3 +86,20 @@ def test_fit_keeps_the_aspect(spark):
     out = spatial.fit_to_box(points, "g", (0.0, 0.0, 100.0, 100.0)).orderBy("x").collect()
     assert [(r.fit_x, r.fit_y) for r in out] == [(0.0, 75.0), (100.0, 25.0)]
     assert math.isclose(out[1].fit_x - out[0].fit_x, 2 * (out[0].fit_y - out[1].fit_y))
+
+
+def test_a_join_without_a_match_refuses_what_it_wrote(spark, tmp_path):
+    from marketpanel.sources.sinks import is_complete
+
+    left = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    right = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, name string")
+    good = quality.require_matched(left.filter("k IS NOT NULL"), right, ["k"], "known")
+    quality.publish_checked(good.rows, str(tmp_path / "good"), [good])
+    assert good.counts() == (2, 0) and sorted(r.name for r in spark.read.parquet(str(tmp_path / "good")).collect()) == ["x", "y"]
+    bad = quality.require_matched(left, right.filter("k = 'a'"), ["k"], "known")
+    with pytest.raises(quality.ContractViolation, match="known: 2"):
+        quality.publish_checked(bad.rows, str(tmp_path / "bad"), [bad])
+    assert not (tmp_path / "bad").exists() and not is_complete(spark, str(tmp_path / "bad"))
+    drift = quality.require_none(left, F.col("v") > 2, "drift")
+    drift.rows.count()
+    assert drift.counts() == (3, 1)
