@@ -1,10 +1,11 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
-For each statistic and stratum, cutoffs are tried from the loosest to the tightest (a fixed order, so
-testing several of them needs no correction) as long as an exact binomial test shows that they reject
-no more than `risk` of the good documents. The level is divided by the number of (statistic, stratum)
-pairs, so all chosen cutoffs hold together with probability 1 - delta; the risks of the statistics add.
-A stratum with too few labels certifies nothing and rejects nothing beyond the base rules.
+The statistics are cut together: a step holds a cutoff of each, and a document at or above any of them is
+rejected. In each stratum the steps are tried from the loosest to the tightest (a fixed order, so testing
+several of them needs no correction) as long as an exact binomial test shows that a step rejects no more than
+`risk` of the good documents that pass the base rules. The level is divided by the number of strata, so all chosen steps hold together
+with probability 1 - delta. A stratum with too few labels (of four, 217 good ones at least) certifies nothing
+and rejects nothing beyond the base rules.
 """
 
 from __future__ import annotations
@@ -111,28 +112,26 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
 def certified_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA,
                       cutoffs: dict[str, tuple[float, ...]] = CUTOFFS) -> DataFrame:
     """(stratum, one cutoff a statistic or null), from the documents labelled as good. `risk` is the
-    share of good documents that all statistics together may reject.
+    share of good documents, of those that the base rules keep, that all statistics together may reject.
 
     Of several labels of a document the best counts; null labels count as none.
     """
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("_quality")).filter("_quality = 1").select("doc_id")
-    held = stats.select("doc_id", stratum().alias("stratum"), "_stats").join(good, "doc_id", "left_semi")
-    values = rates()
-    counts = [
-        F.struct(F.lit(name).alias("name"), F.lit(i).alias("i"), F.lit(c).alias("cut"), F.sum((values[name] >= c).cast("bigint")).alias("k"))
-        for name, cs in cutoffs.items() for i, c in enumerate(cs)
-    ]
+    held = stats.filter(~base_failed()).select("doc_id", stratum().alias("stratum"), "_stats").join(good, "doc_id", "left_semi")
+    values, steps = rates(), min(len(cs) for cs in cutoffs.values())
+    counts = []
+    for i in range(steps):
+        beyond = F.lit(False)
+        for name, cs in cutoffs.items():
+            beyond = beyond | (values[name] >= cs[i])
+        counts.append(F.struct(F.lit(i).alias("i"), F.sum(beyond.cast("bigint")).alias("k")))
     each = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), F.array(*counts).alias("tests"))
     each = each.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
     tests = each.select("stratum", "n", "strata", F.explode("tests").alias("t")).select("stratum", "n", "strata", "t.*")
-    tests = tests.withColumn(
-        "ok", binomial_tail(F.col("n"), F.col("k"), risk / len(cutoffs)) <= delta / (len(cutoffs) * F.col("strata"))
-    )
-    so_far = Window.partitionBy("stratum", "name").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    tests = tests.withColumn("certified", F.min("ok").over(so_far))
-    return tests.groupBy("stratum").agg(*[
-        F.min(F.when((F.col("name") == name) & F.col("certified"), F.col("cut"))).alias(name) for name in cutoffs
-    ])
+    tests = tests.withColumn("ok", binomial_tail(F.col("n"), F.col("k"), risk) <= delta / F.col("strata"))
+    so_far = Window.partitionBy("stratum").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    chosen = tests.withColumn("certified", F.min("ok").over(so_far)).groupBy("stratum").agg(F.max(F.when(F.col("certified"), F.col("i"))).alias("i"))
+    return chosen.select("stratum", *[F.get(F.array(*[F.lit(c) for c in cs]), F.col("i")).alias(name) for name, cs in cutoffs.items()])
 
 
 def judge(stats: DataFrame, cutoffs: DataFrame) -> DataFrame:
@@ -202,20 +201,19 @@ WITH base AS (
          [n_symbols / greatest(word_chars, 1), n_dup_lines / greatest(n_lines, 1),
           n_repeat_words / greatest(n_words, 1), word_chars / greatest(n_words, 1)] AS v FROM st
 ), grid AS (
-  SELECT f, c, i FROM (VALUES (1, [0.5,0.4,0.3,0.25,0.2,0.16,0.13,0.1]::DOUBLE[]), (2, [0.9,0.8,0.7,0.6,0.5,0.4,0.3,0.25]::DOUBLE[]),
-    (3, [0.2,0.18,0.16,0.14,0.12,0.1,0.08,0.06]::DOUBLE[]), (4, [60,50,40,30,25,20,17,15]::DOUBLE[])) AS g(f, cs),
-    unnest(range(1, 9)) AS u(i), unnest([cs[i]]) AS w(c)
+  SELECT i, [[0.5,0.4,0.3,0.25,0.2,0.16,0.13,0.1][i], [0.9,0.8,0.7,0.6,0.5,0.4,0.3,0.25][i], [0.2,0.18,0.16,0.14,0.12,0.1,0.08,0.06][i], [60,50,40,30,25,20,17,15][i]]::DOUBLE[] AS c
+  FROM unnest(range(1, 9)) AS u(i)
 ), good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING max(quality) = 1),
 held AS (
-  SELECT stratum, f, i, c, count(*) AS n, count(*) FILTER (WHERE v[f] >= c) AS k
-  FROM val SEMI JOIN good USING (doc_id), grid GROUP BY ALL
+  SELECT stratum, i, count(*) AS n, count(*) FILTER (v[1] >= c[1] OR v[2] >= c[2] OR v[3] >= c[3] OR v[4] >= c[4]) AS k
+  FROM val SEMI JOIN good USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL
 ), tested AS (
-  SELECT stratum, f, i, c, k < 0.005 * n AND list_sum(list_transform(range(k + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1)
-      - lgamma(n - x + 1) + x * ln(0.005) + (n - x) * ln(0.995)))) <= 0.05 / (4 * (SELECT count(DISTINCT stratum) FROM held)) AS ok
+  SELECT stratum, i, k < 0.02 * n AND list_sum(list_transform(range(k + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1)
+      - lgamma(n - x + 1) + x * ln(0.02) + (n - x) * ln(0.98)))) <= 0.05 / (SELECT count(DISTINCT stratum) FROM held) AS ok
   FROM held
-), run AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, f ORDER BY i) AS so_far FROM tested),
-cut AS (SELECT stratum, f, min(c) AS c FROM run WHERE so_far GROUP BY ALL),
-beyond AS (SELECT DISTINCT r FROM val JOIN cut USING (stratum) WHERE v[f] >= c)
+), run AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY i) AS so_far FROM tested),
+cut AS (SELECT stratum, c FROM (SELECT stratum, max(i) AS i FROM run WHERE so_far GROUP BY stratum) JOIN grid USING (i)),
+beyond AS (SELECT r FROM val JOIN cut USING (stratum) WHERE v[1] >= c[1] OR v[2] >= c[2] OR v[3] >= c[3] OR v[4] >= c[4])
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND r NOT IN (SELECT r FROM beyond) AS kept
 FROM val

@@ -37,7 +37,8 @@ def test_cutoffs_stop_before_good_documents_are_rejected(spark):
     rows = [(i, "en", (100, 400, 60 if i % 3 == 0 else 0, 0, 0, 10)) for i in range(6000)] + [(9000 + i, "xx", (100, 400, 0, 0, 0, 10)) for i in range(20)]
     labels = spark.range(0, 9100).selectExpr("id AS doc_id", "1 AS quality")
     cut = {r.stratum: r for r in certified_cutoffs(spark.createDataFrame(rows, f"doc_id long, lang string, _stats {stats}"), labels).collect()}
-    assert cut["en"].symbol_rate == 0.16 and cut["en"].word_length == 15.0
+    # All statistics go along one path, so the others stop with it.
+    assert cut["en"].symbol_rate == 0.16 and cut["en"].word_length == 20.0
     assert cut["xx"].symbol_rate is None  # too few labels
 
 
@@ -49,3 +50,13 @@ def test_odd_rows(odd_docs, no_docs, odd_labels):
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id or 0, r.slot) for r in kept.collect()) == [(0, "s"), (1, "s"), (2, "s"), (2, "s"), (8, "s")]
     assert quality_verdicts(no_docs, odd_labels).count() == 0 and keep_good(no_docs, odd_labels.filter("false")).count() == 0
+
+
+def test_the_query_certifies_cutoffs(spark):
+    """At this size English has labels enough; the method rejects documents that the base rules keep, and few good ones."""
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op8_quality_rules"](spark, sf)
+    assert compare(rows, connect(sf), ORACLES["op8_quality_rules"]) == []
+    good = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").collect()}
+    beyond = [r.doc_id for r in rows.collect() if not r.kept and not r.base_failed]
+    assert len(beyond) > 10 and sum(d in good for d in beyond) <= 0.02 * len(good) + 3
