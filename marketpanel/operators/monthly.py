@@ -54,6 +54,27 @@ def period_evidence(period: Column, name: Column) -> Column:
     )
 
 
+def snapshot_violations(revisions: DataFrame, parsed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Broken rules of monthly snapshots: (keys, rule, revision).
+
+    `revisions` has (keys, revision, period, resource_name, period_evidence, contract, row_count), `parsed` what the raw
+    text of each (keys, revision) gives when it is read again: (keys, revision, contract, rows). Numbers must be 1..n, and
+    what was recorded must be what the raw text says.
+    """
+    again = parsed.select(*keys, "revision", F.col("contract").alias("_contract"), F.col("rows").alias("_rows"), F.lit(True).alias("_read"))
+    joined = revisions.join(again, [*keys, "revision"], "left")
+    rules = [
+        ("not_read_again", F.col("_read").isNull()),
+        ("contract", F.col("_read") & ~F.col("contract").eqNullSafe(F.col("_contract"))),
+        ("row_count", F.col("_read") & ~F.col("row_count").eqNullSafe(F.col("_rows"))),
+        ("period_evidence", ~F.col("period_evidence").eqNullSafe(period_evidence(F.col("period"), F.col("resource_name")))),
+    ]
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules]))
+    rows = joined.select(*keys, F.explode(broken).alias("rule"), "revision")
+    gaps = revision_gaps(revisions, keys).select(*keys, F.lit("numbering").alias("rule"), F.lit(None).cast("bigint").alias("revision"))
+    return rows.unionByName(gaps)
+
+
 def describe(months: DataFrame, item: str, value: str = "value", status: str = "value_status") -> DataFrame:
     """Description of the valid months of each item.
 

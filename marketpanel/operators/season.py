@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketpanel.schemas import SEASON_SOURCE_STATES
+
 # Fixed value: categories the season source covers.
 SEASON_CATEGORIES = ("fruit", "vegetable")
 
@@ -75,6 +77,13 @@ def catalog_from_status(status: DataFrame) -> DataFrame:
     )
 
 
+def with_source_status(rows: DataFrame, status: str) -> DataFrame:
+    """All rows under one state of their source, whatever they said before."""
+    if status not in SEASON_SOURCE_STATES:
+        raise ValueError(f"unknown season source status {status}")
+    return rows.withColumn("source_status", F.lit(status))
+
+
 def merge_catalogs(base: DataFrame, extension: DataFrame) -> DataFrame:
     return base.unionByName(extension)
 

@@ -235,7 +235,7 @@ def html_extract(t):
     return landing.page_facts(t.read("pages"))
 
 
-def _landed_files(t):
+def landed_files(t):
     """One small delimited file per order; the header depends on the priority."""
     header = (
         F.when(F.col("o_orderpriority") == "1-URGENT", "﻿序號,項目,平均(元/台斤)")
@@ -269,7 +269,7 @@ SELECT o_orderkey, contract, CAST(line_no AS BIGINT) AS line_no,
   CASE p WHEN '5-LOW' THEN '魚,1,' || k || ',9' WHEN '4-NOT SPECIFIED' THEN 'x , ' || k || ' ,"1,' || chr(10) || '250"' END AS rejected_line
 FROM f""")
 def csv_contract(t):
-    return landing.csv_rows(_landed_files(t))
+    return landing.csv_rows(landed_files(t))
 
 
 def _result_pages(t):

@@ -47,5 +47,6 @@ REGISTRY_FIELDS = (
 # Personal or unneeded fields which a published lot must not carry.
 REGISTRY_FORBIDDEN = (
     "FarmerName", "StoreInfo", "OperationDetail", "ResumeDetail", "ProcessDetail",
-    "CertificateDetail", "LandSecNO", "ParentTraceCode", "TraceCodelist",
+    "CertificateDetail", "LandSecNO", "ParentTraceCode", "TraceCodelist", "farmer_name", "store_info",
+    "land_section_number",
 )
