@@ -37,6 +37,26 @@ _BSD_NAMES = (
 _BSD_DISCLAIMER = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS"
 
 
+_WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
+
+
+def words_of(text: str) -> list[tuple[str, int, int]]:
+    """(word in lower case, start, end); marks around words do not count."""
+    return [(m[0].lower(), *m.span()) for m in _WORD.finditer(text)]
+
+
+# Identifiers of the SPDX list that are told by their own line.
+SPDX = (
+    "Apache-2.0", "MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CC0-1.0", "Unlicense", "Zlib", "BSL-1.0",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+)
+
+
+def _spdx() -> list[tuple[str, str, str]]:
+    """The line of each identifier; all words of the identifier are needed."""
+    return [(name, f"SPDX-License-Identifier: {name}", "spdx " + " ".join(w for w, _, _ in words_of(name))) for name in SPDX]
+
+
 def _creative_commons() -> tuple[tuple[str, str, str], ...]:
     """The long and short notices of the six Creative Commons licenses."""
     out = []
@@ -58,11 +78,9 @@ def _creative_commons() -> tuple[tuple[str, str, str], ...]:
 # alone does not tell which of them it is.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2.0"),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0", "spdx apache 2.0"),
     ("MIT", "Released under the MIT License.", "mit"),
     ("MIT", "Licensed under the MIT License.", "mit"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "hereby granted charge obtaining"),
-    ("MIT", "SPDX-License-Identifier: MIT", "spdx mit"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public 3"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general public 2"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3.", "gnu lesser general public 3"),
@@ -75,20 +93,16 @@ TEMPLATES = (
     ("BSD-2-Clause", "Licensed under the 2-Clause BSD License.", "2 bsd"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla public 2.0"),
     *_creative_commons(),
+    *_spdx(),
 )
+# An added one of these, or one right before a notice, says that the notice does not hold.
+NEGATIONS = frozenset({"not", "never", "no", "cannot", "isn", "aren", "wasn", "weren"})
 CUE = re.compile(r"licen[cs]|spdx|hereby granted|redistribution and use", re.IGNORECASE)
 REACH = 24  # words of a block on each side of a cue, at least; longer notices have wider blocks
 LEAST_REDUCTION = 0.12  # bytes saved, against the notice's own compressed size
 MOST_CHANGED = 0.2  # words missing or added, against those of the notice
 LEVEL = 13  # finds matches of short words
 SLICE = 8 << 20
-_WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
-
-
-def words_of(text: str) -> list[tuple[str, int, int]]:
-    """(word in lower case, start, end); marks around words do not count."""
-    return [(m[0].lower(), *m.span()) for m in _WORD.finditer(text)]
-
 
 class Notices:
     """The notices with a compressor for each."""
@@ -134,6 +148,8 @@ class Notices:
         inside = {k for p in parts for k in range(p.b, p.b + p.size)}
         missing = [w for k, w in enumerate(words) if k not in kept]
         added = [block[k] for k in range(first, end) if k not in inside]
+        if NEGATIONS & {*added, *block[max(0, first - 2):first]}:
+            return None
         if not needed <= found or len(missing) + len(added) > MOST_CHANGED * len(words):
             return None
         return first, end, len(kept), " ".join([f"-{w}" for w in missing] + [f"+{w}" for w in added])

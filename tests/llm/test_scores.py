@@ -88,6 +88,17 @@ def test_license_wording():
     assert found(f"Released under the MIT License. {filler} Licensed under the Apache License, Version 2.0.") == ["MIT", "Apache-2.0"]
 
 
+def test_negated_notices_and_spdx_lines():
+    notices = Notices()
+    found = lambda text: [m["license"] for m in scan(notices, text)[1]]
+    assert found("This work is not licensed under the GNU General Public License, version 3.") == []
+    assert found("It is not released under the MIT License.") == [] and found("This isn't licensed under the Apache License, Version 2.0.") == []
+    assert found("Not sold in stores. It is released under the MIT License.") == ["MIT"]
+    for name in ("BSD-3-Clause", "GPL-3.0-or-later", "GPL-2.0-only", "CC0-1.0", "ISC", "EPL-2.0", "MIT", "Apache-2.0", "LGPL-2.1-or-later"):
+        assert found(f"// SPDX-License-Identifier: {name}\nint main() {{ return 0; }}") == [name]
+    assert found("SPDX-License-Identifier: Something-Else-1.0") == []
+
+
 def test_licenses_against_plain_search(spark, odd_docs, no_docs):
     import re
 

@@ -40,3 +40,19 @@ def test_empty_and_native(no_docs, odd_docs):
     assert shuffle_into_shards(no_docs, 3).collect() == []
     plan = shuffle_into_shards(odd_docs, 3)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_query_against_plain_rows(spark):
+    """Sizes, checksums, law and slots of every document of the table; counts of the shards at most one apart."""
+    import zlib
+
+    from marketpanel.llm.common import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = QUERIES["op2_shards"](spark, sf_dir).collect()
+    assert {r.doc_id: (r.size, r.text_crc32, r.law, r.grown_shard) for r in rows} == {d: (len(t) + 16, zlib.crc32(t), "rows", None) for d, t in texts.items()} and len(rows) == len(texts)
+    held = Counter(r.shard for r in rows)
+    assert set(held) == set(range(40)) and max(held.values()) - min(held.values()) <= 1
+    for shard, n in held.items():
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(n))
