@@ -1,4 +1,11 @@
-"""Corpus preparation in stages; each works on all that the one before it kept."""
+"""Corpus preparation in stages; each works on all that the one before it kept.
+
+All stages but the last return the columns that they are given, whatever others there are beside doc_id, text, lang and
+source. Null and empty texts have no words and fail the base rules of the first stage; given to a later stage on their
+own, they are linked with nothing, clean, masked as they are and encoded as no tokens. A null doc_id has no label and is
+never a near duplicate; rows that repeat a doc_id are judged alike and stay or go together; a null language is one of its
+own. Empty tables give empty results.
+"""
 
 from __future__ import annotations
 
