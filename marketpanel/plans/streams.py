@@ -43,6 +43,23 @@ def stream_upsert(t):
     return t.spark.read.parquet(f"{folder}/table").select(*KEYS, "event_id", "value", "level")
 
 
+@query("stream_corrections", ORACLES["stream_upsert"])
+def stream_corrections(t):
+    """The same events in four files, one a batch, the last two by another stream into the table of the first."""
+    folder = work_folder(t.spark, "stream-corrections")
+    rows = t.read("events").select(
+        F.col("ts").cast("date").alias("day"), "user_id", "event_type", "event_id", "value", F.floor(F.col("value") / 20).cast("string").alias("level"))
+    part = F.floor(F.col("event_id") * 4 / (rows.select(F.max("event_id")).scalar() + 1))
+    rows = materialize(rows.withColumn("_part", part), "stream-corrections-rows")
+    for k in range(4):
+        rows.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(f"{folder}/in{k // 2}")
+    for k in range(2):
+        stream = t.spark.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in{k}")
+        _finish(upserts.upsert_stream(
+            stream, f"{folder}/table", f"{folder}/checkpoint{k}", KEYS, ["event_id"], "level", "day", lambda: F.floor(F.col("event_id") / CHUNK_EVENTS)))
+    return t.spark.read.parquet(f"{folder}/table").select(*KEYS, "event_id", "value", "level")
+
+
 @query("stream_daily", """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS event_count, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS total_c
 FROM events GROUP BY CAST(ts AS DATE), event_type""")
 def stream_daily(t):

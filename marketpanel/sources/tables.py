@@ -48,7 +48,7 @@ class Tables:
 
     @cached_property
     def observations(self) -> DataFrame:
-        return observations(self.read("lineitem"), self.read("part"), self.read("supplier"))
+        return observations(dealt(self.read("lineitem"), "l_orderkey"), self.read("part"), self.read("supplier"))
 
     @cached_property
     def feed(self) -> DataFrame:
@@ -78,6 +78,13 @@ class Tables:
         return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(canonical_id, months)")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Facts that are scanned by fewer tasks than there are cores, dealt out once over the cores. A table of many splits
+    has no such exchange."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _units(price: Column, quantity: Column) -> Column:
     return int_div(F.round(price * 100).cast("bigint"), quantity.cast("bigint"))
 
