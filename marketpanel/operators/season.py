@@ -127,6 +127,30 @@ def category_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def season_violations(base: DataFrame, extension: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Broken rules of a season payload: (rule, key).
+
+    `base` and `extension` have (month, category, display_name, counties, county_count, source_status). A row is there
+    once, the extension neither repeats the base nor enters its categories, months are real, counties are registered and
+    counted right, states are known, and each category of a month has one state.
+    """
+    name = F.concat_ws("|", "month", "category", "display_name")
+    both = base.withColumn("_own", F.lit(True)).unionByName(extension.withColumn("_own", F.lit(False)))
+    rules = [
+        ("unknown_month", ~F.col("month").between(1, 12)),
+        ("unknown_status", ~F.col("source_status").isin(*SEASON_SOURCE_STATES)),
+        ("county_count", F.col("county_count") != F.size("counties")),
+        ("base_category", F.col("_own") & ~F.col("category").isin(*SEASON_CATEGORIES)),
+        ("extension_category", ~F.col("_own") & F.col("category").isin(*SEASON_CATEGORIES)),
+    ]
+    broken = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(True)), F.lit(rule)) for rule, bad in rules]))
+    rows = both.select(F.explode(broken).alias("rule"), name.alias("key"))
+    repeated = both.groupBy("month", "category", "display_name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.lit("repeated_row").alias("rule"), name.alias("key"))
+    mixed = category_summary(both).filter("is_mixed").select(F.lit("mixed_status").alias("rule"), F.concat_ws("|", "month", "category").alias("key"))
+    foreign = unmapped_counties(both, aliases).select(F.lit("unknown_county").alias("rule"), F.col("county").alias("key"))
+    return rows.unionByName(repeated).unionByName(mixed).unionByName(foreign)
+
+
 def status_groups(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     """Source notices: one row per (status, url), ordered by the lowest category rank in it."""
     cells = rows.groupBy("source_status", "source_url", "category").agg(F.count(F.lit(1)).alias("rows"))

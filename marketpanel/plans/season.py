@@ -206,3 +206,31 @@ def refresh_decision(t):
     absent = seen.select(F.add_months("snapshot", -1200).alias("snapshot"))
     requested = seen.unionByName(absent).select("snapshot", _month("snapshot").alias("month"), (m == 2).alias("is_forced"))
     return season.refresh_decision(requested, cached, "snapshot")
+
+
+@query("season_contract", o.with_ctes(RAW) + """,
+base AS (SELECT CASE WHEN display_name LIKE 'small%' AND month = 12 THEN 13 ELSE month END AS month, category, display_name, counties, len(counties) + CASE WHEN month = 2 AND category = 'fruit' THEN 1 ELSE 0 END AS county_count,
+    CASE WHEN month = 3 AND display_name LIKE 'red%' THEN 'stale' WHEN month = 4 THEN 'odd' ELSE 'live' END AS source_status, true AS own FROM cat),
+ext AS (SELECT CAST(c_custkey % 12 + 1 AS BIGINT) AS month, CASE WHEN c_mktsegment = 'BUILDING' THEN 'fruit' ELSE 'livestock' END AS category, c_mktsegment AS display_name, list_sort(list(DISTINCT n_name)) AS counties
+  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+pay AS (SELECT * FROM base UNION ALL SELECT month, category, display_name, counties, len(counties), 'fallback', false FROM ext
+  UNION ALL SELECT month, category, display_name, counties, len(counties), 'fallback', false FROM ext WHERE month = 7),
+v AS (SELECT unnest(list_filter([CASE WHEN month > 12 THEN 'unknown_month' END, CASE WHEN source_status = 'odd' THEN 'unknown_status' END, CASE WHEN county_count <> len(counties) THEN 'county_count' END,
+    CASE WHEN NOT own AND category IN ('fruit', 'vegetable') THEN 'extension_category' END], lambda x: x IS NOT NULL)) AS rule, concat_ws('|', month, category, display_name) AS key FROM pay
+  UNION ALL SELECT 'repeated_row', concat_ws('|', month, category, display_name) FROM pay GROUP BY month, category, display_name HAVING count(*) > 1
+  UNION ALL SELECT 'mixed_status', concat_ws('|', month, category) FROM pay GROUP BY month, category HAVING count(DISTINCT source_status) > 1
+  UNION ALL SELECT DISTINCT 'unknown_county', county FROM (SELECT unnest(counties) AS county FROM pay) WHERE county NOT IN (SELECT n_name FROM nation WHERE n_nationkey < 20))
+SELECT rule, count(*) AS rows, min(key) AS first_key FROM v GROUP BY rule""")
+def season_contract(t):
+    """The catalogue and its extension with a fault of every kind."""
+    month = F.col("month")
+    base = materialize(_catalog(t), "season-rows").select(
+        F.when(F.col("display_name").startswith("small") & (month == 12), 13).otherwise(month).cast("bigint").alias("month"), "category", "display_name", "counties",
+        (F.col("county_count") + F.when((month == 2) & (F.col("category") == "fruit"), 1).otherwise(0)).alias("county_count"),
+        F.when((month == 3) & F.col("display_name").startswith("red"), "stale").when(month == 4, "odd").otherwise("live").alias("source_status"))
+    extension = t.read("customer").join(t.read("nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(
+        (F.col("c_custkey") % 12 + 1).alias("month"), F.when(F.col("c_mktsegment") == "BUILDING", "fruit").otherwise("livestock").alias("category"), F.col("c_mktsegment").alias("display_name"),
+    ).agg(F.array_sort(F.collect_set("n_name")).alias("counties")).withColumns({"county_count": F.size("counties"), "source_status": F.lit("fallback")})
+    extension = extension.withColumn("_again", F.explode(F.array_repeat(F.lit(1), F.when(F.col("month") == 7, 2).otherwise(1)))).drop("_again")
+    found = season.season_violations(base, extension, _aliases(t))
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("rows"), F.min("key").alias("first_key"))
