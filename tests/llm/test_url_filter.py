@@ -35,3 +35,20 @@ def test_reputation_shrinks_and_blocks(spark):
     out = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), spark.createDataFrame(good, "page_id bigint, good int")).collect()}
     assert out[1000].verdict == "block" and out[1001].verdict == "allow" and out[1002].verdict == "allow"
     assert out[1000].bound < out[1003].bound < out[1001].bound
+
+
+def test_query_on_planted_hosts(spark, tmp_path):
+    """Tables whose labels do tell hosts apart: the method itself blocks, and equals its SQL."""
+    import duckdb
+
+    rows = [(i, f"https://{'bad.spam.org' if i < 80 else f'h{i % 9}.fine.org'}/a/{i}") for i in range(260)] + [(900, "https://bad.spam.org/new"), (901, "https://bad.net/fr/x"), (902, None)]
+    spark.createDataFrame(rows, "page_id bigint, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, int(i >= 80)) for i in range(260)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = QUERIES["op4_url_filter"](spark, str(tmp_path))
+    assert compare(found, con, ORACLES["op4_url_filter"]) == []
+    verdicts = {r.page_id: (r.rule, r.verdict) for r in found.collect()}
+    assert verdicts[900] == (None, "block") and verdicts[100] == (None, "allow") and verdicts[901] == ("net/fr/", "block")
+    assert sum(v == (None, "block") for v in verdicts.values()) == 81
