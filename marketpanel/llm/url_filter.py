@@ -145,11 +145,11 @@ WITH p AS (
 hosts AS (
   SELECT host, count(good) AS n, coalesce(sum(good), 0) AS k FROM parts LEFT JOIN best USING (page_id) GROUP BY 1
 ), named AS (
-  SELECT *, array_to_string(list_slice(string_split(host, '.'), -2, NULL), '.') IN
+  SELECT *, array_to_string(string_split(host, '.')[-2:], '.') IN
     ('ac.uk', 'co.jp', 'co.nz', 'co.uk', 'com.au', 'com.br', 'com.cn', 'com.tw', 'org.uk') AS two FROM hosts
 ), h AS (
-  SELECT host, n, k, array_to_string(list_slice(string_split(host, '.'), CASE WHEN two THEN -3 ELSE -2 END, NULL), '.') AS domain,
-         array_to_string(list_slice(string_split(host, '.'), CASE WHEN two THEN -2 ELSE -1 END, NULL), '.') AS suffix FROM named
+  SELECT host, n, k, array_to_string(CASE WHEN two THEN string_split(host, '.')[-3:] ELSE string_split(host, '.')[-2:] END, '.') AS domain,
+         array_to_string(CASE WHEN two THEN string_split(host, '.')[-2:] ELSE string_split(host, '.')[-1:] END, '.') AS suffix FROM named
 ), d AS (SELECT domain, any_value(suffix) AS suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1),
 lev AS (
