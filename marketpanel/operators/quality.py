@@ -254,8 +254,9 @@ def broken_links(pages: DataFrame) -> DataFrame:
 
 
 def repeated_attributes(pages: DataFrame, attribute: str, html: str = "html") -> DataFrame:
-    """Values of an attribute which occur more than once in a page."""
-    values = F.regexp_extract_all(html, F.lit(rf'\b{attribute}="([^"]*)"'), F.lit(1))
+    """Values of an attribute, in either kind of quotes, which occur more than once in a page."""
+    pattern = F.lit(rf"""(?i)(?<![\w-]){attribute}\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+    values = F.zip_with(F.regexp_extract_all(html, pattern, F.lit(1)), F.regexp_extract_all(html, pattern, F.lit(2)), lambda a, b: F.concat(a, b))
     return pages.select("page_id", F.explode(values).alias("value")).groupBy("page_id", "value").agg(
         F.count(F.lit(1)).alias("occurrences")
     ).filter("occurrences > 1")

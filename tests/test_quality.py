@@ -103,3 +103,8 @@ def test_a_join_without_a_match_refuses_what_it_wrote(spark, tmp_path):
     drift = quality.require_none(left, F.col("v") > 2, "drift")
     drift.rows.count()
     assert drift.counts() == (3, 1)
+
+
+def test_repeated_ids_in_either_quotes(spark):
+    pages = spark.createDataFrame([(1, """<a id="x"></a><b ID = 'x'></b><c data-id="x"></c>"""), (2, """<a id='y'></a><a id="z"></a>""")], "page_id int, html string")
+    assert [(r.page_id, r.value, r.occurrences) for r in quality.repeated_attributes(pages, "id").collect()] == [(1, "x", 2)]
