@@ -196,6 +196,26 @@ def page_end(t):
     return landing.page_end_checks(found.select("batch", "page_no", body.alias("body"), kind.alias("content_type")), "batch", "page_no", "body", "content_type", 70, 8)
 
 
+@query("raw_manifest", """WITH e AS (SELECT user_id % 40 AS batch, event_id // 1000 AS page_no, event_id FROM events),
+p AS (SELECT batch, page_no, count(*) AS n, batch % 10 = 3 AND page_no % 4 = 1 AS broken, batch % 10 = 5 AS extra FROM e GROUP BY ALL),
+r AS (SELECT batch, sum(CASE WHEN broken THEN 0 ELSE n + CASE WHEN extra THEN 1 ELSE 0 END END)::BIGINT AS raw_records, sum(CASE WHEN extra THEN 1 ELSE 0 END)::BIGINT AS not_objects,
+  count(*) FILTER (broken) AS unreadable_pages FROM p GROUP BY batch),
+m AS (SELECT batch, count(*) FILTER (batch % 10 <> 7 OR event_id % 50 <> 1) AS normalized_records FROM e GROUP BY batch)
+SELECT batch, raw_records, not_objects, unreadable_pages, normalized_records, CASE WHEN unreadable_pages > 0 THEN 'unreadable_page' WHEN not_objects > 0 THEN 'record_not_object'
+  WHEN raw_records <> normalized_records THEN 'records_not_accounted' ELSE 'success' END AS status FROM r JOIN m USING (batch)""")
+def raw_manifest(t):
+    """Events as landed pages and as the rows made of them; pages break, records are no objects and rows are lost."""
+    rows = t.read("events").select((F.col("user_id") % 40).alias("batch"), F.floor(F.col("event_id") / 1000).alias("page_no"), "event_id", "event_type")
+    listed = F.to_json(F.collect_list(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))))
+    pages = rows.groupBy("batch", "page_no").agg(listed.alias("body"))
+    body = (
+        F.when((F.col("batch") % 10 == 3) & (F.col("page_no") % 4 == 1), F.lit("<html>"))
+        .when(F.col("batch") % 10 == 5, F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(",7]"))).otherwise(F.col("body"))
+    )
+    made = rows.filter((F.col("batch") % 10 != 7) | (F.col("event_id") % 50 != 1))
+    return landing.raw_manifest(pages.withColumn("body", body), made, "batch", "body")
+
+
 @query("pager_sequence", """WITH p AS (SELECT page_id // 7 AS batch, page_id % 7 + 1 AS page_no, page_id FROM pages)
 SELECT batch, max(page_no) AS last_page, 7 AS advertised_last, 0 AS skipping_links, count(*) FILTER (page_id % 5 = 0 AND page_no <> 7) AS unnamed_pages,
   CASE WHEN count(*) FILTER (page_id % 5 = 0 AND page_no <> 7) > 0 THEN 'current_page_unnamed' WHEN max(page_no) < 7 THEN 'terminated_early' ELSE 'complete' END AS status

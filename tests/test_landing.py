@@ -230,3 +230,12 @@ def test_page_sets_end_with_a_short_page(spark):
 def test_a_page_must_name_itself(spark):
     pages = spark.createDataFrame([("a", 1, True, 2, 2), ("a", 2, True, 2, None), ("b", 1, False, 2, 2), ("b", 2, True, 2, None), ("c", 1, None, 2, 3)], "b string, p int, has_current boolean, advertised_last int, next_page int")
     assert {r.b: r.status for r in landing.page_sequence(pages, "b", "p").collect()} == {"a": "complete", "b": "current_page_unnamed", "c": "not_sequential"}
+
+
+def test_rows_account_for_raw_records(spark):
+    pages = spark.createDataFrame([("a", '[{"x":1},{"x":2}]'), ("a", "[]"), ("b", "[1]"), ("c", "{"), ("d", '[{"x":1}]'), ("e", None)], "b string, body string")
+    rows = spark.createDataFrame([("a",), ("a",), ("b",), ("f",)], "b string")
+    out = {r.b: (r.raw_records, r.normalized_records, r.status) for r in landing.raw_manifest(pages, rows, "b", "body").collect()}
+    assert out == {
+        "a": (2, 2, "success"), "b": (1, 1, "record_not_object"), "c": (0, 0, "unreadable_page"), "d": (1, 0, "records_not_accounted"), "e": (0, 0, "unreadable_page"),
+        "f": (0, 1, "records_not_accounted")}
