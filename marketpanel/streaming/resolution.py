@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketpanel.operators import resolve
 from marketpanel.sources import versions
@@ -56,10 +57,12 @@ def publish_observations(batch: DataFrame, path: str, name: str, strict: bool =
     (those of the incoming row plus stored_source and rule) are kept under the batch's name beside the table.
     """
     spark, refused = batch.sparkSession, f"{path}/refused/{versions.VERSION}={name}"
+    won = resolve.winning_rows(batch)
+    schema = T.StructType([*won.schema.fields, T.StructField("stored_source", T.StringType()), T.StructField("rule", T.StringType())])
     if versions.committed(spark, path, name):
-        return spark.read.parquet(refused).drop(versions.VERSION)
+        return spark.read.schema(schema).parquet(refused)
     seen = versions.last_commit(spark, path)
-    won = materialize(resolve.winning_rows(batch), "published-winners")
+    won = materialize(won, "published-winners")
     stored = versions.current(spark, path, PARTITION, won.schema, touched=won)
     stored = won.limit(0) if stored is None else stored.select(*won.columns)
     merged = materialize(resolve.guarded_merge(stored, won), "published-merge")
@@ -68,7 +71,7 @@ def publish_observations(batch: DataFrame, path: str, name: str, strict: bool =
         raise PrecedenceRefused(f"{name}: " + ", ".join(f"{r['rule']}: {r['count']}" for r in broken.groupBy("rule").count().orderBy("rule").collect()))
     overwrite_folder(broken, refused, PARTITION)
     versions.commit(merged.select("kept.*"), path, name, PARTITION, won, seen)
-    return spark.read.schema(broken.schema).parquet(refused)
+    return spark.read.schema(schema).parquet(refused)
 
 
 class PrecedenceRefused(ValueError):

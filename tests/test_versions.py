@@ -125,6 +125,7 @@ def test_stored_rows_are_guarded(spark, tmp_path):
     assert refused == [(1, "low", "src_0", "lower_precedence"), (2, "equal", "src_0", "ambiguous_source")]
     assert now() == [(1, "src_0", "x", 1), (2, "src_0", "x", 1), (5, "src_0", "x", 5)]
     assert publish("b-0", [observation(9, "high", 99, content="z")]) == refused  # a replay
+    assert publish("a-0", [observation(1)]) == []  # a replay of a batch of which nothing was refused
     # The same source corrects, equal content stays, a higher precedence replaces.
     assert publish("b-1", [observation(6, content="y"), observation(6, market=2), observation(6, "high", 20, content="z", market=5)]) == []
     assert now() == [(1, "src_0", "y", 6), (2, "src_0", "x", 1), (5, "high", "z", 6)]
