@@ -227,6 +227,14 @@ def test_page_sets_end_with_a_short_page(spark):
         "none": "no_rows", "html": "not_json", "untyped": "not_json"}
 
 
+def test_pages_without_rows_are_no_copies_of_each_other(spark):
+    full, json = '[{"a":1},{"a":2}]', "application/json"
+    rows = [("errors", k, body, json) for k, body in enumerate(['{"error": 1}', '{"error": 1}', full, "[]", "[]"])]
+    rows += [("copies", k, body, json) for k, body in enumerate([full, '{"error": 1}', full, '{"error": 1}', full])]
+    out = landing.page_end_checks(spark.createDataFrame(rows, "b string, p int, body string, t string"), "b", "p", "body", "t", 2, 9)
+    assert {r.b: (r.repeated_pages, r.malformed_pages) for r in out.collect()} == {"errors": (0, 2), "copies": (2, 2)}
+
+
 def test_a_page_must_name_itself(spark):
     pages = spark.createDataFrame([("a", 1, True, 2, 2), ("a", 2, True, 2, None), ("b", 1, False, 2, 2), ("b", 2, True, 2, None), ("c", 1, None, 2, 3)], "b string, p int, has_current boolean, advertised_last int, next_page int")
     assert {r.b: r.status for r in landing.page_sequence(pages, "b", "p").collect()} == {"a": "complete", "b": "current_page_unnamed", "c": "not_sequential"}
