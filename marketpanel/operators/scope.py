@@ -148,7 +148,8 @@ def with_provenance(scoped: DataFrame, manifests: DataFrame, semantics: str = SE
     `dataset_semantics` (null: stored before there were any) make its provenance unknown.
     """
     covered = manifest_days(eligible_manifests(manifests, semantics))
-    joined = scoped.join(covered, "transaction_date", "left")
+    # At most a row a calendar day; as a plain join the facts could be exchanged by day before this side is counted.
+    joined = scoped.join(F.broadcast(covered), "transaction_date", "left")
     has = scoped.columns
     invalid = F.col("canonical_id").isNull() | F.coalesce(F.length(F.trim("crop_name_raw")) == 0, F.lit(True))
     if "row_hash" in has:
@@ -199,17 +200,36 @@ def merge_reasons(quality: DataFrame) -> DataFrame:
 _PAYLOAD = ("price_c", "volume_c", "crop_name_raw", "canonical_id", "source_id", "row_hash")
 
 
+def _scale() -> Column:
+    return F.lit("1" + 19 * "0").cast("decimal(20,0)")
+
+
+def _rank(price: Column, volume: Column) -> Column:
+    """One number in the order of (price, volume), nulls first; none of both is negative."""
+    part = lambda c: F.coalesce(c.cast("decimal(20,0)"), F.lit(-1)) + F.lit(1)
+    return (part(price).cast("decimal(19,0)") * _scale() + part(volume)).cast("decimal(38,0)")
+
+
 def grid_cells(checked: DataFrame) -> DataFrame:
     """All the grid needs of one (day, market, crop): the stable accepted row, whether accepted copies differ in any
-    of their payload, and whether rows of unknown provenance were there. State is constant per cell."""
-    payload = F.when(F.col("reason").isNull(), F.struct(*[c for c in _PAYLOAD if c in checked.columns]))
-    return checked.groupBy("transaction_date", *MARKET_CROP).agg(
-        F.min(payload).alias("_kept"),
-        (F.min(payload) != F.max(payload)).alias("_differs"),
+    of their payload, and whether rows of unknown provenance were there.
+
+    The state of a cell is a few numbers, so facts are hashed into cells without being sorted or carrying texts: the
+    row of the lowest price and volume as one number, and two 64-bit hashes of the payload under different seeds,
+    which are equal for all copies if the copies are.
+    """
+    accepted = F.col("reason").isNull()
+    payload = [F.col(c) for c in _PAYLOAD if c in checked.columns]
+    hashes = [F.when(accepted, F.xxhash64(F.lit(seed), *[c.isNull() for c in payload], *payload)) for seed in (1, 2)]
+    cells = checked.groupBy("transaction_date", *MARKET_CROP).agg(
+        F.min(F.when(accepted, _rank(F.col("price_c"), F.col("volume_c")))).alias("_kept"),
+        F.coalesce((F.min(hashes[0]) != F.max(hashes[0])) | (F.min(hashes[1]) != F.max(hashes[1])), F.lit(False)).alias("has_conflict"),
         F.max(F.coalesce(F.col("reason") == "provenance_unknown", F.lit(False))).alias("has_unknown"),
-    ).select(
-        "transaction_date", *MARKET_CROP, "_kept.price_c", "_kept.volume_c",
-        F.coalesce("_differs", F.lit(False)).alias("has_conflict"), "has_unknown",
+    )
+    amount = lambda c: F.when(c > 0, (c - F.lit(1)).cast("bigint"))
+    return cells.select(
+        "transaction_date", *MARKET_CROP, amount(F.call_function("div", F.col("_kept"), _scale())).alias("price_c"),
+        amount(F.col("_kept") % _scale()).alias("volume_c"), "has_conflict", "has_unknown",
     )
 
 
