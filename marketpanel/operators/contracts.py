@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketpanel.schemas import FINAL_ROLE, SOURCE_ROLES
+from marketpanel.sources.sinks import materialize
 
 HASH = "^sha256:[0-9a-f]{64}$"
 SOURCE_ID = "^[a-z0-9][a-z0-9._-]*$"
@@ -122,7 +123,8 @@ def run_violations(runs: DataFrame, candidates: DataFrame, summary: DataFrame) -
     rows, first_key).
 
     `runs` has a row a run of a document, `candidates` a row a candidate of a decision (with the selected observation
-    id of its decision), `summary` a row a document. The three are read as published, never the observations. Counts
+    id of its decision), `summary` a row a document. The three are read as published, never the observations; candidates
+    may be derived, and are read a few times, each time into small folds or numbers. Counts
     must agree along each run: raw = normalised = eligible + suppressed, no run has more candidates or chosen ones
     than it says, and the document's totals are those of its runs.
     """
@@ -149,7 +151,11 @@ def run_violations(runs: DataFrame, candidates: DataFrame, summary: DataFrame) -
 
     def of_rows(rows: DataFrame, rules, key: str) -> DataFrame:
         flags = {f"_bad_{i}": broken(bad) for i, (_, bad) in enumerate(rules)}
-        seen = rows.withColumns(flags).groupBy("document").agg(
+        # Only rows that break a rule are folded, as the first of them are texts.
+        bad = F.lit(False)
+        for f in flags:
+            bad = bad | F.col(f)
+        seen = rows.withColumns(flags).filter(bad).groupBy("document").agg(
             *[F.count_if(f).alias(f) for f in flags], *[F.min(F.when(F.col(f), F.col(key))).alias(f"{f}_first") for f in flags])
         return _listed(seen, document, [_entry(rule, F.col(f), F.col(f"{f}_first")) for f, (rule, _) in zip(flags, rules)])
 
@@ -157,15 +163,23 @@ def run_violations(runs: DataFrame, candidates: DataFrame, summary: DataFrame) -
         return rows.groupBy("document").agg(F.lit(rule).alias("rule"), F.count(F.lit(1)).alias("rows"), F.min(F.col(key).cast("string")).alias("first_key"))
 
     repeated_runs = runs.groupBy("document", "run_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    repeated_ids = candidates.groupBy("document", "observation_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    decisions = candidates.groupBy("document", "identity").agg(
-        F.count_if("is_eligible").alias("eligible"), F.max(F.when(F.col("is_eligible"), F.col("observation_id"))).alias("chosen"),
-        F.max("selected").alias("selected"), (~F.min("selected").eqNullSafe(F.max("selected"))).alias("differs"),
-    )
+    # Ids meet by their hash, and in full where hashes meet.
+    hashed = candidates.withColumn("_hash", F.xxhash64("observation_id"))
+    met_ids = materialize(hashed.groupBy("document", "_hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "met-ids")
+    repeated_ids = hashed.join(met_ids, ["document", "_hash"], "left_semi").groupBy("document", "observation_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Ids of a decision are only compared, so two hashes under different seeds stand for them and nothing is sorted.
+    both = lambda c: [F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), F.col(c))) for seed in (1, 2)]
+    differs, same = F.lit(False), F.lit(True)
+    states = []
+    for i, (chosen, selected) in enumerate(zip(both("observation_id"), both("selected"))):
+        states += [F.max(F.when(F.col("is_eligible"), chosen)).alias(f"chosen{i}"), F.min(selected).alias(f"low{i}"), F.max(selected).alias(f"high{i}")]
+        differs = differs | ~F.col(f"low{i}").eqNullSafe(F.col(f"high{i}"))
+        same = same & F.col(f"chosen{i}").eqNullSafe(F.col(f"high{i}"))
+    decisions = materialize(candidates.groupBy("document", "identity").agg(F.count_if("is_eligible").alias("eligible"), *states), "contract-decisions")
     several = decisions.filter("eligible > 1")
-    unmatched = decisions.filter((F.col("eligible") <= 1) & (F.col("differs") | ~F.col("chosen").eqNullSafe(F.col("selected"))))
+    unmatched = decisions.filter((F.col("eligible") <= 1) & (differs | ~same))
     # Candidates fold to a row a run, and meet the runs there.
-    used = candidates.groupBy("document", "run_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("is_eligible").alias("chosen"))
+    used = materialize(candidates.groupBy("document", "run_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("is_eligible").alias("chosen")), "contract-runs")
     met = used.join(runs.groupBy("document", "run_id").agg(F.max("normalized_count").alias("has"), F.max("eligible_count").alias("may")), ["document", "run_id"], "left")
     orphans = met.filter(F.col("has").isNull())
     beyond = met.filter((F.col("candidates") > F.col("has")) | (F.col("chosen") > F.col("may")))

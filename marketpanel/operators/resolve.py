@@ -15,6 +15,7 @@ from marketpanel.functions.text import row_hash
 from marketpanel.operators.skew import attach, content_digest
 from marketpanel.schemas import FINAL_ROLE
 from marketpanel.sources.adapters import observation_id
+from marketpanel.sources.sinks import materialize
 from marketpanel.sources.tables import ARRIVAL, IDENTITY
 
 
@@ -156,10 +157,12 @@ def decisions(observations: DataFrame) -> DataFrame:
     One row per candidate instead of a nested list, because one identity may hold any number.
     """
     selected = winners(observations)
-    needed = selected.filter((F.col("candidate_rows") > 1) | F.col("winner").isNull())
+    # Written, so that its size is known before the observations are exchanged to meet it.
+    needed = materialize(
+        selected.filter((F.col("candidate_rows") > 1) | F.col("winner").isNull()).select(*IDENTITY, "winner", "is_ambiguous"), "needed-decisions")
     position = F.struct(*ARRIVAL)
     return attach(
-        observations, needed.select(*IDENTITY, "winner", "is_ambiguous"), IDENTITY
+        observations, needed, IDENTITY
     ).select(
         *IDENTITY, *ARRIVAL, "source_id", "source_role", "source_precedence", "row_hash",
         F.coalesce(F.col("winner") == position, F.lit(False)).alias("is_eligible"),

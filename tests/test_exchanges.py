@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from marketpanel.operators import scope
+from marketpanel.plans import contracts as contract_plans
 from marketpanel.plans import ingest
 from marketpanel.plans import scope as scope_plans
 from marketpanel.sources.tables import Tables
@@ -61,3 +62,12 @@ def test_hashes_of_upserted_rows_are_made_after_the_exchanges(spark):
     plan = _plan(ingest.upsert(Tables(spark, SF)))
     last = plan[:plan.index("Exchange")]
     assert "sha2(" in last and "sha2(" not in plan[len(last):]
+
+
+def test_run_documents_write_no_hashes_of_rows(spark, monkeypatch):
+    written = {}
+    kept = contract_plans.materialize
+    monkeypatch.setattr(contract_plans, "materialize", lambda rows, name: written.setdefault(name, kept(rows, name)))
+    contract_plans._documents(Tables(spark, SF))
+    assert "row_hash" not in written["run-feed"].columns
+    assert all("observation_id" not in rows.columns for rows in written.values())
