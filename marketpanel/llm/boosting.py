@@ -1,12 +1,18 @@
-"""Small boosted trees for binary labels, fitted on a bounded sample and applied to arrays in tasks."""
+"""Small boosted trees for binary labels, fitted on arrays or on all rows of a table, and applied to arrays in tasks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BINS = 32
+UNIT = 1 << 24  # sums over a table are integers of this unit, so that they don't depend on the order of the rows
+FREQUENCY = 1_000_000  # of a row of weight one in a quantile
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -63,6 +69,86 @@ class BoostedTrees:
         sums_g, sums_h = np.bincount(node - size, g, size), np.bincount(node - size, h, size)
         return feature, cut, -self.rate * sums_g / (sums_h + self.damping)
 
+    def fit_rows(self, rows: DataFrame, width: int) -> DataFrame:
+        """Fit on all rows (x, y, w, held, ...) that are not held: `width` features, a label of 0 or 1, a weight.
+
+        The edges of bins are exact quantiles. A level of a tree is one pass over the binned rows, of which each task
+        sends a sum of gradients and curvatures a node, feature and bin: as much at any size. Returns all rows as
+        (bins, ..., n), equal ones counted together; without two labels outside the held ones there are no trees.
+        """
+        from marketpanel.sources.sinks import materialize
+
+        learned = rows.filter(~F.col("held"))
+        shares = [float(p) for p in np.linspace(0, 1, BINS)[1:-1]]
+        often = F.greatest(F.lit(1).cast("bigint"), F.round(F.col("w") * FREQUENCY).cast("bigint"))
+        found = learned.agg(*[F.percentile(F.col("x")[k], F.array(*map(F.lit, shares)), often).alias(f"q{k}") for k in range(width)]).first()
+        self.edges = [np.unique(np.array(q if q is not None else [], float)) for q in found]
+        kept = [c for c in rows.columns if c != "x"]
+
+        def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                codes = [r.tobytes() for r in self._binned(x).astype(np.uint8)]
+                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), *(batch.column(c) for c in kept)], names=["bins", *kept])
+
+        kinds = dict(rows.dtypes)
+        coded = rows.mapInArrow(binned, "bins binary, " + ", ".join(f"{c} {kinds[c]}" for c in kept))
+        coded = materialize(coded.groupBy("bins", *kept).agg(F.count(F.lit(1)).alias("n")), "binned-rows")
+        learned = coded.filter(~F.col("held")).select("bins", F.col("y").cast("double").alias("y"), (F.col("w") * F.col("n")).alias("w"))
+        sums = learned.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("y")).alias("y"), F.min("y").alias("low"), F.max("y").alias("high")).first()
+        if sums.w is None or sums.low == sums.high:
+            return coded
+        share = min(max(float(sums.y / sums.w), 1e-3), 1 - 1e-3)
+        self.start = float(np.log(share / (1 - share)))
+        for _ in range(self.rounds):
+            size = 1 << self.depth
+            feature, cut, value = np.zeros(size, np.int64), np.full(size, BINS, np.int64), np.zeros(size)  # BINS: all go left
+            for level in range(self.depth):
+                first, d = 1 << level, self.damping
+                left = np.cumsum(self._sums(learned, width, feature, cut, level), axis=3)
+                for k in range(first, 2 * first):
+                    g, h = left[:, k - first]
+                    total_g, total_h = g[0, -1], h[0, -1]
+                    gain = g**2 / (h + d) + (total_g - g) ** 2 / (total_h - h + d) - total_g**2 / (total_h + d)
+                    f, at = divmod(int(np.argmax(gain)), BINS)
+                    if gain[f, at] > 1e-6:
+                        feature[k], cut[k] = f, at
+                    low = g[feature[k], min(cut[k], BINS - 1)], h[feature[k], min(cut[k], BINS - 1)]
+                    if level == self.depth - 1:
+                        value[2 * k - size] = -self.rate * low[0] / (low[1] + d)
+                        value[2 * k + 1 - size] = -self.rate * (total_g - low[0]) / (total_h - low[1] + d)
+            self.trees.append((feature, cut, value))
+        return coded
+
+    def _sums(self, rows: DataFrame, width: int, feature: np.ndarray, cut: np.ndarray, level: int) -> np.ndarray:
+        """Sums of gradients and curvatures by node of a level, feature and bin, over all rows (bins, y, w)."""
+        shape = (2, 1 << level, width, BINS)
+        cells = shape[1] * width * BINS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((2, cells), np.int64)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width).astype(np.int64)
+                y, w = (batch.column(c).to_numpy() for c in ("y", "w"))
+                node, places = np.ones(len(bins), np.int64), np.arange(len(bins))
+                for _ in range(level):
+                    node = 2 * node + (bins[places, feature[node]] > cut[node])
+                cell = (((node - (1 << level)) * width)[:, None] + np.arange(width)) * BINS + bins
+                p = sigmoid(self.margin(bins))
+                for k, x in enumerate((w * (p - y), w * p * (1 - p))):
+                    total[k] += np.bincount(cell.ravel(), np.repeat(np.rint(x * UNIT), width), cells).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+        out = np.zeros(2 * cells, np.int64)
+        for r in rows.mapInArrow(run, "sums binary").collect():
+            out += np.frombuffer(r.sums, np.int64)
+        return out.reshape(shape) / UNIT
+
+    def margin(self, bins: np.ndarray) -> np.ndarray:
+        return self.start + sum((self._leaf(t, bins) for t in self.trees), np.zeros(len(bins)))
+
     def _leaf(self, tree, bins: np.ndarray) -> np.ndarray:
         feature, cut, value = tree
         node, rows = np.ones(len(bins), np.int64), np.arange(len(bins))
@@ -71,8 +157,7 @@ class BoostedTrees:
         return value[node - len(value)]
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        bins = self._binned(x)
-        return sigmoid(self.start + sum((self._leaf(t, bins) for t in self.trees), np.zeros(len(x))))
+        return sigmoid(self.margin(self._binned(x)))
 
 
 def isotonic(scores: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

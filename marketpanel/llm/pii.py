@@ -4,14 +4,13 @@ Exact patterns give the base spans, which always stay. High-recall generators pr
 may overlap; boosted trees judge them by their format and the words around them. The trees learn from
 candidates that the exact patterns decide: one that meets a valid base span is right if the kinds agree,
 one of a base shape that fails its test is wrong; a written-out address is judged by its domain, colon groups
-by whether they are an IPv6 address. The sample is drawn by kind, form and label, so that no rare one starves. Scores are calibrated on a part of the sample that the trees did not see,
+by whether they are an IPv6 address. All of them are learned from, weighted by kind, form and label, so that no rare one starves. Scores are calibrated on a third of the candidates that the trees did not see,
 and a kind's threshold is the least one whose calibrated precision, less its error, is high enough.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from ipaddress import IPv6Address
@@ -21,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketpanel.llm.boosting import BoostedTrees, isotonic
-from marketpanel.llm.common import bounded_sample, cuts, query, slices, table
+from marketpanel.llm.boosting import BoostedTrees, isotonic, sigmoid
+from marketpanel.llm.common import cuts, query, slices, table
 from marketpanel.sources.sinks import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-# The trees are fitted on at most so many candidates of decided label, those of the smallest hashes of each
-# kind, form and label; what a small group leaves goes to the others.
-SAMPLE = 20_000
+# The candidates of decided label weigh so much in the trees, all together: each kind, form and label has an equal share,
+# spread over all its candidates; one that has fewer counts them full, and what it leaves goes to the others.
+WEIGHT = 20_000
+DIGITS = 4  # of a score; calibration counts all candidates of each score
 PRECISION = 0.98
 LEAST_LABELS = 50  # of each label and kind; below, a kind adds nothing
 SLICE = 8 << 20
@@ -162,6 +162,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
+WIDTH = len(features("0", "card", 0, 1))
+
+
 @dataclass
 class PrivateModel:
     trees: BoostedTrees | None
@@ -175,7 +178,7 @@ class PrivateModel:
         spans = [s for s in loose(text) if s not in decided and s[0] in self.thresholds]
         if not spans:
             return []
-        scores = self.trees.predict(np.array([features(text, *s) for s in spans], float))
+        scores = np.round(self.trees.predict(np.array([features(text, *s) for s in spans], float)), DIGITS)
         taken = [(a, b) for _, a, b in base]
         out: list[Span] = []
         for score, span in sorted(zip(scores.tolist(), spans), key=lambda x: (-x[0], x[1][1], KINDS.index(x[1][0]), x[1][2])):
@@ -208,7 +211,7 @@ def training_candidates(docs: DataFrame) -> DataFrame:
 
 
 def quotas(counts: list[int], size: int) -> list[int]:
-    """Rows of each group in a sample of `size`: all of the small groups, and equal shares of what they leave."""
+    """Weight of each group of `size`: the counts of the small groups, and equal shares of what they leave."""
     out = [0] * len(counts)
     for left, k in zip(range(len(counts), 0, -1), sorted(range(len(counts)), key=counts.__getitem__)):
         out[k] = min(counts[k], size // left)
@@ -216,39 +219,42 @@ def quotas(counts: list[int], size: int) -> list[int]:
     return out
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, precision: float = PRECISION) -> PrivateModel:
-    """Trees and thresholds from at most `sample` candidates. Without both labels there is no model."""
+def fit(docs: DataFrame, sample: int = WEIGHT, precision: float = PRECISION) -> PrivateModel:
+    """Trees and thresholds from all candidates; `sample` is what they weigh together in the trees, and leaves none out.
+    Without both labels there is no model."""
     candidates = materialize(training_candidates(docs), "pii-candidates")
-    groups = candidates.groupBy("kind", "loose", "valid").agg(F.count(F.lit(1)).alias("n")).orderBy("kind", "loose", "valid").collect()
-    rows, weights = [], []
-    for g, size in zip(groups, quotas([g.n for g in groups], sample)):
-        own = candidates.filter((F.col("kind") == g.kind) & (F.col("loose") == g.loose) & (F.col("valid") == g.valid))
-        taken = bounded_sample(own, size, "place").collect() if size else []
-        rows += taken
-        weights += [g.n / max(1, len(taken))] * len(taken)
-    if not rows:
-        return PrivateModel(None, {})
-    # Mixed again by place, so that every third row is of any group.
-    order = sorted(range(len(rows)), key=lambda k: zlib.crc32(rows[k].place.encode()))
-    rows, weights = [rows[k] for k in order], np.array(weights)[order]
-    x, y = np.array([r.x for r in rows], float), np.array([r.valid for r in rows], float)
-    held = np.arange(len(rows)) % 3 == 0
-    if min(y[~held].sum(), (1 - y[~held]).sum()) < LEAST_LABELS:
+    groups = ("kind", "loose", "valid")
+    held = F.crc32(F.col("place").cast("binary")) % 3 == 0
+    counts = candidates.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.count_if(~held).alias("learned")).orderBy(*groups).collect()
+    if min(sum(c.learned for c in counts if c.valid == label) for label in (True, False)) < LEAST_LABELS:
         return PrivateModel(None, {})
-    trees = BoostedTrees().fit(x[~held], y[~held])
-    scores, thresholds = trees.predict(x[held]), {}
-    form, weight = np.array([r.loose for r in rows])[held], weights[held]
-    for k, kind in enumerate(KINDS):
-        # Only loose forms are added; those of emails and addresses share no shape with the base spans.
-        own = (x[held][:, 0] == k) & (form | (kind not in ("email", "ip")))
-        if min(y[held][own].sum(), (1 - y[held][own]).sum()) < LEAST_LABELS:
+    weight = F.lit(0.0)
+    for c, size in zip(counts, quotas([c.n for c in counts], sample)):
+        weight = F.when((F.col("kind") == c.kind) & (F.col("loose") == c.loose) & (F.col("valid") == c.valid), size / c.n).otherwise(weight)
+    trees = BoostedTrees()
+    coded = trees.fit_rows(candidates.select("x", "kind", "loose", F.col("valid").cast("int").alias("y"), weight.alias("w"), held.alias("held")), WIDTH)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("kind"), batch.column("y"), batch.column("n"), pa.array(np.round(sigmoid(trees.margin(bins)), DIGITS))], names=["kind", "y", "n", "score"]
+            )
+
+    # Only loose forms are added; those of emails and addresses share no shape with the base spans.
+    own = coded.filter(F.col("held") & (F.col("loose") | ~F.col("kind").isin("email", "ip"))).select("bins", "kind", "y", "n")
+    by_score = own.mapInArrow(scored, "kind string, y int, n bigint, score double").groupBy("kind", "score").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("valid")
+    ).collect()  # at most 10,001 scores a kind
+    thresholds = {}
+    for kind in KINDS:
+        scores, n, valid = np.array(sorted((r.score, r.n, r.valid) for r in by_score if r.kind == kind), float).reshape(-1, 3).T
+        if min(valid.sum(), (n - valid).sum()) < LEAST_LABELS:
             continue
-        ends, shares = isotonic(scores[own], y[held][own], weight[own])
-        starts = np.r_[-1.0, ends[:-1]]
-        for low, share in zip(starts, shares):
-            above = weight[own][scores[own] > low]
-            n = above.sum() ** 2 / (above**2).sum()  # rows of equal weight that tell as much
-            if share - np.sqrt(share * (1 - share) / n + 0.25 / n**2) >= precision:
+        ends, shares = isotonic(scores, valid / n, n)
+        for low, share in zip(np.r_[-1.0, ends[:-1]], shares):
+            above = n[scores > low].sum()
+            if share - np.sqrt(share * (1 - share) / above + 0.25 / above**2) >= precision:
                 thresholds[kind] = float(np.nextafter(low, 1))
                 break
     return PrivateModel(trees, thresholds)
