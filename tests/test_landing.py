@@ -247,3 +247,21 @@ def test_rows_account_for_raw_records(spark):
     assert out == {
         "a": (2, 2, "success"), "b": (1, 1, "record_not_object"), "c": (0, 0, "unreadable_page"), "d": (1, 0, "records_not_accounted"), "e": (0, 0, "unreadable_page"),
         "f": (0, 1, "records_not_accounted")}
+
+
+def test_a_filter_on_the_reason_makes_no_text_twice(spark):
+    """The filter goes below the join to where texts are made; there each of them is named once or twice, not for each rule."""
+    texts = ["5.", ".5", "+0.1000000000", "9" * 32 + ".123456", "1\t", " 7\n", "1e2", "1e-7", "1e-6", "", "x", "NaN", "-1", "9" * 33, "0.1234567", None, "12d", "Infinity"]
+    raw = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select(
+        "i", "t", F.concat(F.lit("115.08."), F.lpad((F.col("i") + 1).cast("string"), 2, "0")).alias("trade_date"), F.lit("N05").alias("category_code"), F.lit("A1").alias("crop_code"),
+        F.lit("c").alias("crop_name"), F.lit("104").alias("market_code"), F.lit("m").alias("market_name"), F.lit("2").alias("high_price"), F.reverse(F.reverse("t")).alias("mid_price"),
+        F.lit("1").alias("low_price"), F.lit("1").alias("avg_price"), F.lit("3").alias("volume"), F.lit("s").alias("source_id"), F.lit("f").alias("fetched_at"))
+    items = spark.createDataFrame([("i", "n", "c", True, ["A1"])], "canonical_id string, display_name string, category string, enabled boolean, market_crop_codes array<string>")
+    rows = landing.normalize_rows(raw, items)
+    right = {r.i for r in raw.select("i", landing.exact_amount(F.coalesce("t", F.lit("0"))).alias("a")).collect() if r.a is not None}
+    found = rows.select(F.dayofmonth("transaction_date").alias("day"), "reject", "mid_price").collect()
+    assert {r.day - 1 for r in found if r.reject is None} == right == {r.day - 1 for r in found if r.mid_price is not None}
+    assert {r.reject for r in found} == {None, "bad_price"}
+    kept = rows.filter("reject IS NULL").groupBy("transaction_date").count()
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(reverse(") <= 1
