@@ -265,3 +265,14 @@ def test_a_filter_on_the_reason_makes_no_text_twice(spark):
     kept = rows.filter("reject IS NULL").groupBy("transaction_date").count()
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("reverse(reverse(") <= 1
+
+
+def test_a_number_reads_its_text_once(spark):
+    given = ["-0", "-1e-999", "1,2,3", ",", "-5", "+7", "1e309", " 4\t", None, "", "٣"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    found = rows.select(numeric.parse_amount(F.col("t")).alias("v"), "i").orderBy("i").collect()
+    assert [r.v for r in found] == [0.0, 0.0, 123.0, None, None, 7.0, None, 4.0, None, None, None]
+    assert [str(r.v) for r in found[:2]] == ["0.0", "0.0"]
+    kept = rows.select(numeric.parse_amount(F.reverse(F.reverse("t"))).alias("v")).filter("v IS NOT NULL").groupBy().count()
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("reverse(reverse(") <= 2  # its form and its value
