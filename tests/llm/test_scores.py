@@ -187,3 +187,62 @@ def test_language_model_bits_per_byte(spark):
     rows = {r.doc_id: r for r in score_texts(docs).collect()}
     for d, size in {1: 15, 2: 15, 3: 1, 4: 7}.items():  # words with a blank after each, and the end
         assert math.isclose(rows[d].bits_per_byte, -rows[d].score / math.log10(2) / size, rel_tol=1e-9)
+
+
+def test_language_model_reads_across_words(spark):
+    """The order of words counts; with the same words before and after, a text scores as the one it repeats."""
+    texts = ["the cat sat on the mat while a dog ran home"] * 40 + ["home ran dog a while mat the on sat cat the", "the cat sat on the mat while a dog ran home"]
+    rows = {r.doc_id: r for r in score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert rows[40].n_tokens == rows[41].n_tokens and math.isclose(rows[40].base_score, rows[41].base_score)
+    assert rows[41].score > rows[40].score + 5
+    assert math.isclose(rows[41].score, rows[0].score, rel_tol=1e-9)
+
+
+def test_positions_are_the_stream():
+    from marketpanel.llm import lm_score, mixing
+
+    bodies = [[b"the", b"a", b"of", b"\n"], [b"\n"], [b"wonder", b"x", b"yes", b"\n"]]
+    found = Counter(mixing.edge_positions(lm_score._stream(bodies))[0].sequences().tolist())
+    found.update(mixing.word_positions([w for words in bodies for w in words])[0].sequences().tolist())
+    streams = [b"\0\0\0 " + b" ".join(words) for words in bodies]
+    assert found == Counter(int.from_bytes(s[k - 4:k + 1], "big") for s in streams for k in range(4, len(s)))
+
+
+def test_word_counts_over_parts(spark, monkeypatch):
+    """Counts of a word so far are those of all words, however these are cut into parts."""
+    import random
+
+    import numpy as np
+
+    from marketpanel.llm import lm_score, mixing
+
+    rng = random.Random(1)
+    words = sorted({bytes(rng.choice(b"ab\x01") for _ in range(rng.randint(1, 9))) for _ in range(900)})
+    counts = {w: (rng.randint(0, 5), rng.randint(0, 5)) for w in words}
+    rows = spark.createDataFrame([(w, *counts[w], k // 40) for k, w in enumerate(words)], "key binary, a bigint, b bigint, part int")
+    spanning = lm_score.spanning_sums(rows)
+    assert len(spanning) > 5
+    below = Counter()
+    for w, (a, b) in counts.items():
+        for k in range(3, len(w) + 1):
+            for j in range(9):
+                below[w[:k], j, ((w + b" ")[k] | 256) >> (8 - j)] += a + b
+    for at in range(0, len(words), 40):
+        part = words[at:at + 40]
+        taken, positions, sizes, codes = lm_score._part(rows.filter(f"part = {at // 40}").toArrow(), spanning)
+        assert sorted(taken.column("key").to_pylist()) == part
+        expected = []
+        for w in taken.column("key").to_pylist():
+            for k in range(3, len(w) + 1):
+                nodes = [((w + b" ")[k] | 256) >> (8 - j) for j in range(8)]
+                expected.append([mixing.packed(*(np.array([float(below[w[:k], j + 1, n << 1 | bit])]) for bit in (0, 1)))[0] for j, n in enumerate(nodes)])
+        assert (codes[1] == np.array(expected).reshape(-1, 8)).all()
+
+
+def test_tables_grow_with_the_sequences():
+    import numpy as np
+
+    from marketpanel.llm.mixing import order_tables
+
+    sizes = [len(order_tables(np.arange(n) * 7919, [np.ones(n)])[0].codes) for n in (1_000, 10_000, 100_000)]
+    assert sizes[0] < sizes[1] / 4 < sizes[2] / 16
