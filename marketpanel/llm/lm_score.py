@@ -61,10 +61,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     edges: list[np.ndarray] = []
     size = 0
 
-    def rows(block: int, kind: str, keys, flat: np.ndarray, owner: np.ndarray, half: np.ndarray) -> Iterator[pa.RecordBatch]:
-        counts = [np.bincount(flat[half == h], minlength=len(keys)) for h in (1, 2)]
-        ends = np.cumsum(np.bincount(flat, minlength=len(keys)))
-        raw = owner[np.argsort(flat, kind="stable")].tobytes()
+    def rows(block: int, kind: str, keys, counts: list[np.ndarray], ends: np.ndarray, raw: bytes) -> Iterator[pa.RecordBatch]:
         for at in range(0, len(keys), 20_000):
             stop = min(len(keys), at + 20_000)
             cuts = np.r_[ends[at - 1] if at else 0, ends[at:stop]] * 2
@@ -80,14 +77,26 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = (part << 32) | number
         lengths = np.array([len(f) for f in found], np.int64)
         owner = np.repeat(np.arange(len(docs), dtype=np.uint16), lengths)
-        half = np.array([d[1] for d in docs], np.int8)[owner]
+        halves = np.array([d[1] for d in docs], np.int8)
         flat = np.concatenate(found)
         found.clear()
-        yield from rows(block, "key", list(codes), flat, owner, half)
+        half = halves[owner]
+        counts = [np.bincount(flat[half == h], minlength=len(codes)) for h in (1, 2)]
+        ends = np.cumsum(np.bincount(flat, minlength=len(codes)))
+        raw = owner[np.argsort(flat, kind="stable")].tobytes()
+        del flat, half
+        yield from rows(block, "key", list(codes), counts, ends, raw)
         codes.clear()
-        keys, flat = np.unique(np.concatenate(edges), return_inverse=True)
+        flat = np.concatenate(edges)
         edges.clear()
-        yield from rows(block, "edge", keys.astype(np.int64), flat, owner, half)
+        order = np.argsort(flat)
+        flat, owner = flat[order], owner[order]
+        del order
+        starts = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+        keys, half = flat[starts].astype(np.int64), halves[owner]
+        del flat
+        counts = [np.add.reduceat((half == h).astype(np.int64), starts) for h in (1, 2)]
+        yield from rows(block, "edge", keys, counts, np.r_[starts[1:], len(owner)], owner.tobytes())
         ids = np.array([d[0] or 0 for d in docs], np.int64)
         null = np.array([d[0] is None for d in docs], np.uint8)
         bytes_ = np.array([d[2] for d in docs], np.int64)
@@ -182,17 +191,18 @@ def spanning_sums(words: DataFrame) -> dict[bytes, np.ndarray]:
     return {beginning: out[k] for beginning, k in found.items()}
 
 
-def _part(rows: pa.Table, spanning: dict[bytes, np.ndarray]) -> tuple[pa.Table, Positions, np.ndarray, list[np.ndarray]]:
-    """(rows sorted by word and blank, their positions, how many each word has, the word's codes of half a and of all)."""
+def _part(rows: pa.Table, spanning: dict[bytes, np.ndarray], which: int) -> tuple[pa.Table, Positions, np.ndarray]:
+    """(rows sorted by word and blank, their positions, how many each word has). `which`: counts of half a or of all."""
     words = rows.column("key").to_pylist()
     low, high = min(words), max(words)
-    own = {x: spanning[x] for key in (low, high) for k in range(HEAD, len(key) + 1) if (x := key[:k]) in spanning} if spanning else {}
+    own = {x: spanning[x][which:which + 1] for key in (low, high) for k in range(HEAD, len(key) + 1) if (x := key[:k]) in spanning} if spanning else {}
     order = sorted(range(len(words)), key=lambda k: words[k] + b" ")
     rows = rows.take(pa.array(order, pa.int64()))
     words = [words[k] for k in order]
     a, b = _numbers(rows, "a", "b")
     positions, counts = word_positions(words)
-    return rows, positions, counts, word_codes(words, [a, a + b], own)
+    positions.words = word_codes(words, [a + b if which else a], own)[0]
+    return rows, positions, counts
 
 
 def _learned(mixers: list[Mixer]) -> pa.RecordBatch:
@@ -220,8 +230,8 @@ def learn_mixer(words: DataFrame, edges: DataFrame, tables: Tables, spanning: di
         return step
 
     def of_words(rows: pa.Table) -> pa.Table:
-        rows, positions, counts, codes = _part(rows, shared.value[1])
-        positions.words, mixer = codes[0], Mixer()
+        rows, positions, counts = _part(rows, shared.value[1], 0)
+        mixer = Mixer()
         learn(mixer, positions, np.repeat(_numbers(rows, "b")[0], counts), 0)
         return pa.Table.from_batches([_learned([mixer])])
 
@@ -256,8 +266,7 @@ def _scored(shared):
 
     def run(rows: pa.Table) -> pa.Table:
         tables, mixer, spanning = shared.value
-        rows, positions, counts, codes = _part(rows, spanning)
-        positions.words = codes[1]
+        rows, positions, counts = _part(rows, spanning, 1)
         logp = np.bincount(np.repeat(np.arange(len(counts)), counts), _in_steps(mixer, positions, tables), len(counts))
         a, b = _numbers(rows, "a", "b")
         return pa.table([rows.column("key"), pa.array((a + b).astype(np.int64)), pa.array(logp, pa.float64())], names=["key", "c", "logp"])

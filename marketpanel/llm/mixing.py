@@ -89,13 +89,13 @@ class Tables:
     bits: tuple[int, ...]
     codes: np.ndarray
 
-    def slots(self, before: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-        return _slots(self.bits, before, node)
-
     def read(self, rows: Positions, j: int):
         """(node of the symbol's tree, its bit, codes in each context) of the j-th bit."""
         node, bit = _node(rows.symbols, j)
-        codes = [self.codes[s] for s in self.slots(rows.before, node)]
+        codes, start = [], 0
+        for order, size in enumerate(self.bits, 1):
+            codes.append(self.codes[start:start + (1 << size)][_slot(order, size, rows.before, node)])
+            start += 1 << size
         codes.append(rows.words[:, j] if rows.words is not None else np.choose(rows.back - 1, codes[:HEAD]))
         return node, bit, codes
 
@@ -105,14 +105,9 @@ def _node(symbols: np.ndarray, j: int):
     return symbols >> np.uint64(8 - j) | np.uint64(1 << j), (symbols >> np.uint64(7 - j) & np.uint64(1)).astype(np.int64)
 
 
-def _slots(bits: tuple[int, ...], before: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-    out, start = [], 0
-    spread = node * _B
-    for order, n in enumerate(bits, 1):
-        context = ((before & np.uint64((1 << 8 * order) - 1)) + np.uint64(order << 40)) * _A
-        out.append((((context ^ spread) * _A) >> np.uint64(64 - n)).astype(np.int64) + start)
-        start += 1 << n
-    return out
+def _slot(order: int, size: int, before: np.ndarray, node: np.ndarray) -> np.ndarray:
+    context = ((before & np.uint64((1 << 8 * order) - 1)) + np.uint64(order << 40)) * _A
+    return (((context ^ (node * _B)) * _A) >> np.uint64(64 - size)).astype(np.int64)
 
 
 def order_tables(sequences: np.ndarray, weights: list[np.ndarray]) -> list[Tables]:
@@ -123,16 +118,19 @@ def order_tables(sequences: np.ndarray, weights: list[np.ndarray]) -> list[Table
     bits = tuple(
         max(12, int(np.ceil(np.log2(8 * max(1, len(np.unique(sequences & np.uint64((1 << 8 * (k + 1)) - 1)))))))) for k in range(1, ORDERS + 1)
     )
-    size = sum(1 << b for b in bits)
-    cells = [[np.zeros(size) for _ in range(2)] for _ in weights]
-    for j in range(8):
-        node, bit = _node(symbols, j)
-        for slot in _slots(bits, before, node):
-            for w, own in zip(weights, cells):
-                for value in (0, 1):
-                    rows = bit == value
-                    np.add.at(own[value], slot[rows], w[rows])
-    return [Tables(bits, packed(*own)) for own in cells]
+    out = [np.empty(sum(1 << b for b in bits), np.uint16) for _ in weights]
+    start = 0
+    for order, size in enumerate(bits, 1):
+        cells = np.zeros((len(weights), 2 << size))
+        for j in range(8):
+            node, bit = _node(symbols, j)
+            cell = _slot(order, size, before, node) * 2 + bit
+            for own, w in zip(cells, weights):
+                np.add.at(own, cell, w)
+        for codes, own in zip(out, cells):
+            codes[start:start + (1 << size)] = packed(own[0::2], own[1::2])
+        start += 1 << size
+    return [Tables(bits, codes) for codes in out]
 
 
 def word_codes(words: list[bytes], weights: list[np.ndarray], spanning: dict[bytes, np.ndarray]) -> list[np.ndarray]:

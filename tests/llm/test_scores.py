@@ -229,14 +229,14 @@ def test_word_counts_over_parts(spark, monkeypatch):
                 below[w[:k], j, ((w + b" ")[k] | 256) >> (8 - j)] += a + b
     for at in range(0, len(words), 40):
         part = words[at:at + 40]
-        taken, positions, sizes, codes = lm_score._part(rows.filter(f"part = {at // 40}").toArrow(), spanning)
+        taken, positions, sizes = lm_score._part(rows.filter(f"part = {at // 40}").toArrow(), spanning, 1)
         assert sorted(taken.column("key").to_pylist()) == part
         expected = []
         for w in taken.column("key").to_pylist():
             for k in range(3, len(w) + 1):
                 nodes = [((w + b" ")[k] | 256) >> (8 - j) for j in range(8)]
                 expected.append([mixing.packed(*(np.array([float(below[w[:k], j + 1, n << 1 | bit])]) for bit in (0, 1)))[0] for j, n in enumerate(nodes)])
-        assert (codes[1] == np.array(expected).reshape(-1, 8)).all()
+        assert (positions.words == np.array(expected).reshape(-1, 8)).all()
 
 
 def test_tables_grow_with_the_sequences():
