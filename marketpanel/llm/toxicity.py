@@ -7,8 +7,8 @@ full only with intent or target. A clause scores the weighted sum of what its pa
 with an insult or threat are read. Boosted trees turn a text's clause scores into a probability.
 
 The weights of words and stems are lower bounds of their log odds among labelled training documents, so
-that the lexicon follows the labels' languages. Half of the training sample gives the lexicon, the other
-half the trees.
+that the lexicon follows the labels' languages. Half of the labelled documents outside the held fold gives the lexicon,
+the other half the trees; all of them are learned from.
 """
 
 from __future__ import annotations
@@ -25,16 +25,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketpanel.llm.boosting import BoostedTrees
-from marketpanel.llm.common import bounded_sample, query, slices, table
+from marketpanel.llm.common import query, slices, table
+from marketpanel.sources.sinks import materialize
 
-# At most so many labelled documents, those of the smallest hashes, are learned from.
-SAMPLE = 30_000
 FOLDS, HELD_FOLD = 5, 0
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings that count as stems
 LEAST_DOCS = 3
 DEVIATIONS = 2.5
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 5.0
 SLICE = 4 << 20
+WIDTH = 11  # features of a text
 
 OTHER, INSULT, THREAT, INTENT, TARGET, NEGATION, REPORT, QUOTE = range(8)
 # Words that are symbols before anything is learned, in the languages of the corpus.
@@ -148,10 +148,11 @@ class Grammar:
         scores = sorted(self.clauses(symbols, weights, ends), reverse=True)
         n = max(1, len(symbols))
         marked = weights[weights > 0]
-        return [
+        found = [
             sum(scores), *(scores[:3] + [0.0] * 3)[:3], len(scores), sum(scores) / n, len(marked), len(marked) / n,
             float(marked.max()) if len(marked) else 0.0, float(np.sort(marked)[-2]) if len(marked) > 1 else 0.0, float(np.log1p(len(symbols))),
         ]
+        return [round(x, 4) for x in found]  # so that a table has a bounded number of different ones
 
 
 def in_fold(doc_id: Column) -> Column:
@@ -187,7 +188,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def learn_lexicon(docs: DataFrame) -> dict[str, float]:
-    """Words and stems whose log odds of a toxic document are surely high, from the sample."""
+    """Words and stems whose log odds of a toxic document are surely high, from all rows."""
     n = {r.toxic: r["count"] for r in docs.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
         return {}
@@ -203,7 +204,7 @@ def learn_lexicon(docs: DataFrame) -> dict[str, float]:
 class ToxicityModel:
     lexicon: dict[str, float]
     trees: BoostedTrees | None
-    share: float  # of toxic documents in the sample, the score without trees
+    share: float  # of toxic documents among those of the trees, the score without trees
 
 
 def _features(docs: DataFrame, lexicon: dict[str, float], *extra: str) -> DataFrame:
@@ -221,23 +222,26 @@ def _features(docs: DataFrame, lexicon: dict[str, float], *extra: str) -> DataFr
     return docs.select(*extra, "text").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in extra) + ", x array<double>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
-    """A model from at most `sample` labelled documents outside the held fold. Of several labels of a
-    document the highest counts, null labels count as none. The sample's ids are few enough to be
-    broadcast, so the documents are filtered where they are read."""
+def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """A model from all labelled documents outside the held fold. Of several labels of a document the highest counts,
+    null labels count as none. The lexicon comes from counts of terms and the trees from sums over all rows."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(
         F.max("toxic").cast("int").alias("toxic")
     )
-    chosen = bounded_sample(known.filter(~in_fold(F.col("doc_id"))), sample, "doc_id")
-    rows = _texts(docs).join(F.broadcast(chosen), "doc_id")
+    rows = _texts(docs).filter(~in_fold(F.col("doc_id")))
     first = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
-    lexicon = learn_lexicon(rows.filter(first))
-    seen = _features(rows.filter(~first), lexicon, "doc_id", "toxic").orderBy("doc_id").collect()
-    y = np.array([r.toxic for r in seen], float)
-    share = float(y.mean()) if len(y) else 0.0
+    lexicon = learn_lexicon(rows.filter(first).join(known, "doc_id"))
+    # Features are narrow, so it is these that meet the labels, not the texts.
+    seen = _features(rows.filter(~first), lexicon, "doc_id").join(known, "doc_id").select(
+        "x", F.col("toxic").alias("y"), F.lit(1.0).alias("w"), F.lit(False).alias("held")
+    )
+    seen = materialize(seen, "toxicity-features")
+    share = seen.agg(F.avg("y")).first()[0] or 0.0
     if not 0 < share < 1:
         return ToxicityModel(lexicon, None, share)
-    return ToxicityModel(lexicon, BoostedTrees().fit(np.array([r.x for r in seen]), y), share)
+    trees = BoostedTrees()
+    trees.fit_rows(seen, WIDTH)
+    return ToxicityModel(lexicon, trees, share)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -246,3 +246,19 @@ def test_tables_grow_with_the_sequences():
 
     sizes = [len(order_tables(np.arange(n) * 7919, [np.ones(n)])[0].codes) for n in (1_000, 10_000, 100_000)]
     assert sizes[0] < sizes[1] / 4 < sizes[2] / 16
+
+
+def test_toxicity_learns_from_all_labels(spark):
+    """What only the labelled documents of the largest hashes show is learned, too."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    ids = spark.range(45_000).select(F.col("id").alias("doc_id"))
+    rank = F.row_number().over(Window.orderBy(F.xxhash64("doc_id")))
+    late = ids.filter(~toxicity.in_fold(F.col("doc_id"))).withColumn("toxic", (rank > 30_000).cast("int"))
+    text = F.when(F.col("toxic") == 1, "you are a zorgx they say").otherwise("nothing to see here today")
+    model = toxicity.fit(late.select("doc_id", text.alias("text")), late)
+    assert model.lexicon.get("zorgx", 0) > 1
+    new = spark.createDataFrame([(1, "what a zorgx you are"), (2, "nothing here today")], "doc_id bigint, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(new, model).collect()}
+    assert scores[1] > 0.5 > scores[2]
