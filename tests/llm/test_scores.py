@@ -262,3 +262,26 @@ def test_toxicity_learns_from_all_labels(spark):
     new = spark.createDataFrame([(1, "what a zorgx you are"), (2, "nothing here today")], "doc_id bigint, text string")
     scores = {r.doc_id: r.score for r in toxicity.score_toxicity(new, model).collect()}
     assert scores[1] > 0.5 > scores[2]
+
+
+def test_toxicity_moves_words_once_at_any_size_of_labels(spark, monkeypatch):
+    """The labels' join is the same exchange below and above the limit of broadcasts, and a text takes no word along twice."""
+    rows = [(k, "\u00dcbung one  One,\ttwo. " * 50 + "\u0391\u03a3 \u0391\u03a3, one\u00a0two") for k in range(200)] + [(200, None), (None, "one"), (7, "again")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 200, 2)] + [(k, 1) for k in range(1, 200, 4)], "doc_id bigint, toxic int")
+    learned = []
+    monkeypatch.setattr(toxicity, "learn_lexicon", lambda docs: learned.append(docs) or {})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            toxicity.fit(docs, labels)
+            plan = learned[-1]._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    given = {d: t for d, t in rows if d in toxic and d != 7}
+    found = [r for r in learned[-1].filter("doc_id <> 7").collect()]
+    assert found and all(r.toxic == toxic[r.doc_id] and toxicity._terms(r.text) == toxicity._terms(given[r.doc_id]) for r in found)
+    assert all(len(r.text) < len(given[r.doc_id]) / 10 for r in found)
